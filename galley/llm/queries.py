@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from galley.llm.jaccard import op6_jaccard_join
+from galley.llm.packing import op7_best_fit_packing
+from galley.llm.piece_bpe import op10_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
