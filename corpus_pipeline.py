@@ -1,15 +1,63 @@
-"""The corpus pipeline: quality classifier, line dedup, near-duplicate join, substring dedup, packing."""
+"""The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, substring dedup, best-fit packing.
+
+Each stage takes the rows its predecessor kept and returns the columns of documents; the last returns the packed
+pieces with their places. Stages are written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from galley.llm import common, line_dedup, packing, quality, span_dedup
+from galley.llm.jaccard import JaccardJoin
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier keeps."""
+    found = quality.classify_documents(docs, common.read(spark, sf_dir, "labels"))
+    return found.where("keep").select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated multi-line chunks."""
+    return line_dedup.line_dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, five-word shingles and a similarity of 0.8: that of least id. Rows
+    that share the id stay together. Documents without words, or without an id, have no copies and stay."""
+    groups = JaccardJoin(docs, k=5, num=4, den=5).groups()
+    late = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(common.materialize(late, "late"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without sentences that repeated spans cover."""
+    return span_dedup.span_dedup(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids, each with its sequence and offset."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
+STAGES = [
+    ("quality", quality_filter),
+    ("lines", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("spans", repeated_spans),
+    ("packing", packed),
+]
+#: The classifier and the packing are no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
