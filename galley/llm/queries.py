@@ -12,15 +12,18 @@ from galley.llm.packing import op7_best_fit_packing
 from galley.llm.piece_bpe import op10_sentencepiece
 from galley.llm.quality import op2_quality
 from galley.llm.span_dedup import op4_span_dedup
+from galley.llm.vectors import OP5_SQL, OP9_SQL, op5_embedding_dedup, op9_max_score
 from galley.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_span_dedup": op4_span_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
+    "op9_max_score": op9_max_score,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_max_score": OP9_SQL}
