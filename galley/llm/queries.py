@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galley.llm.chat import OP1_SQL, op1_prefix_tree
 from galley.llm.jaccard import op6_jaccard_join
 from galley.llm.line_dedup import op3_line_dedup
 from galley.llm.packing import op7_best_fit_packing
@@ -16,6 +17,7 @@ from galley.llm.vectors import OP5_SQL, OP9_SQL, op5_embedding_dedup, op9_max_sc
 from galley.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_tree": op1_prefix_tree,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_span_dedup": op4_span_dedup,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_max_score": op9_max_score,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_max_score": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_prefix_tree": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_max_score": OP9_SQL}
