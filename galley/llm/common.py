@@ -33,6 +33,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """Mark a join side that grows with the input: it is shuffled and sorted at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound Arrow batches, so that long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

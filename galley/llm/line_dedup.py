@@ -92,11 +92,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = common.materialize(chunks.groupBy("h").count().where("count > 1").select("h"), "again")
     place = F.struct("id", "key", "at")
     bodies = rows.mapInArrow(_chunks(bloom(again)), "id long, key long, at int, h long, body binary")
-    bodies = common.materialize(bodies.join(again, "h", "left_semi").withColumn("place", place), "bodies")
+    bodies = common.materialize(bodies.join(common.large(again), "h", "left_semi").withColumn("place", place), "bodies")
     first = common.materialize(bodies.groupBy("h").agg(F.min("place").alias("place")), "first")
     own = bodies.select("h", "place", "body")
-    first = own.join(first, ["h", "place"], "left_semi").dropDuplicates(["h"]).select("h", F.col("place").alias("kept"), F.col("body").alias("held"))
-    pairs = own.join(common.materialize(first, "held"), "h")
+    first = own.join(common.large(first), ["h", "place"], "left_semi").dropDuplicates(["h"]).select("h", F.col("place").alias("kept"), F.col("body").alias("held"))
+    pairs = own.join(common.large(common.materialize(first, "held")), "h")
     pairs = common.materialize(pairs.select("h", "place", "kept", F.when(F.col("body") != F.col("held"), F.col("body")).alias("body")), "compared")
     same = pairs.where("body is null and place <> kept").select("place")
     clash = pairs.where("body is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galley.llm import textkit
+from galley.llm import common, textkit
 
 KEY, CUTS = "__galley_key", "__galley_cuts"
 
@@ -27,7 +27,7 @@ def cut(docs: DataFrame, cuts: DataFrame, cutter: Callable[[str, list[int]], str
     """
     names = docs.columns
     sides = docs.withColumn(KEY, F.xxhash64(F.col(f"`{text_col}`"))).alias("d").join(
-        cuts.select(F.col("id").alias("__galley_id"), F.col("key").alias("__galley_of"), F.col("cuts").alias(CUTS)),
+        common.large(cuts.select(F.col("id").alias("__galley_id"), F.col("key").alias("__galley_of"), F.col("cuts").alias(CUTS))),
         F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("__galley_id")) & (F.col(f"d.{KEY}") == F.col("__galley_of")),
         "left",
     )

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from galley.llm import textkit
 
 #: Bytes of text handled together, and segments remembered between such units in one task. Speed and memory only.
-UNIT, REMEMBER = 6 << 20, 400_000
+UNIT, REMEMBER = 10 << 20, 1_500_000
 
 
 def units(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

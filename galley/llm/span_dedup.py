@@ -97,9 +97,9 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = rows.mapInArrow(_spans(), "h1 long, h2 long").groupBy("h1", "h2").count()
     again = common.materialize(counted.where("count > 1").select("h1", "h2"), "again")
     found = rows.mapInArrow(_spans(bloom(again.select("h1"))), "id long, key long, at int, size int, h1 long, h2 long")
-    found = common.materialize(found.join(again, ["h1", "h2"], "left_semi").withColumn("place", F.struct("id", "key", "at")), "places")
+    found = common.materialize(found.join(common.large(again), ["h1", "h2"], "left_semi").withColumn("place", F.struct("id", "key", "at")), "places")
     first = common.materialize(found.groupBy("h1", "h2").agg(F.min("place").alias("kept")), "first")
-    late = found.join(first, ["h1", "h2"]).where("place <> kept")
+    late = found.join(common.large(first), ["h1", "h2"]).where("place <> kept")
     cuts = late.select("id", "key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("cut"))
     return cuts.groupBy("id", "key").agg(F.collect_set("cut").alias("cuts"))
 
