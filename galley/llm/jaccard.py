@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm import common, textkit
+from galley.llm.bloom import bloom, may_hold
 from galley.llm.graph import components
 
 U = np.uint64
 #: Minimum hashes that choose leaders, and how many must agree before a leader is compared. Speed only.
-SEEDS = np.random.default_rng(7).integers(1, 2**63, 8, dtype=U) * U(2) + U(1)
-AGREE = 5
+SEEDS = np.random.default_rng(7).integers(1, 2**63, 12, dtype=U) * U(2) + U(1)
+AGREE = 7
 #: The order of n-grams puts frequent ones last. It needs no exact counts: a task reports n-grams in at least
 #: LOCAL of its documents (the TASK_TOP most frequent), and the TABLE most frequent of those with FREQUENT or
 #: more are sent to all tasks, at most 16 bytes each. Any order gives the same result. Speed only.
@@ -98,14 +99,30 @@ def _sets(k: int, num: int, den: int, table):
     return build
 
 
-def _stored(k: int):
+def _stored(k: int, wanted):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, grams in _grams(batches, k):
+        kept = (b.filter(pa.array(may_hold(wanted.value, np.asarray(b.column("id").fill_null(0))))) for b in batches)
+        for ids, grams in _grams(kept, k):
             yield pa.RecordBatch.from_arrays([ids, pa.array([g.tobytes() for g in grams], pa.binary())], ["id", "grams"])
 
     return build
 
 
+def _entries(mixed):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per prefix n-gram that other groups may hold too, with its position."""
+        for batch in batches:
+            prefix = batch.column("prefix")
+            h, ends = np.asarray(prefix.flatten()), np.asarray(prefix.offsets) - prefix.offsets[0].as_py()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            keep = np.flatnonzero(may_hold(mixed.value, h)) if len(h) else np.zeros(0, np.int64)
+            rows = batch.select(["node", "n", "grp"]).take(pa.array(row[keep]))
+            at = pa.array((keep - ends[row[keep]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep])], ["node", "n", "grp", "pos", "h"])
+
+    return explode
+
+
 def _compare(num: int, den: int):
     """Keep pairs that link. Rows come sorted by b, so that b's set is decoded once for all its partners, and
     the answer for a partner is derived from the one before it when they differ little: only the n-grams that
@@ -160,7 +177,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> None:
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
-        common.batch_rows(self.spark)
+        common.batch_rows(self.spark, 400)
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.sets = common.materialize(self.docs.mapInArrow(_sets(k, num, den, self._table()), SETS), "sets")
         full = self.sets.where("n > 0 and id is not null")
@@ -176,7 +193,7 @@ class JaccardJoin:
 
     def members(self) -> DataFrame:
         """(id, n, node): every row with its class; node is null without a set or id."""
-        return self.sets.select("id", "n", "d1", "d2").join(self.classes, ["d1", "d2", "n"], "left").select(
+        return self.sets.select("id", "n", "d1", "d2").join(common.large(self.classes), ["d1", "d2", "n"], "left").select(
             "id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")
         )
 
@@ -184,16 +201,22 @@ class JaccardJoin:
         """pairs (a, b) of nodes, a < b, that link."""
         pairs = common.materialize(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        chosen = self.docs.join(ids, "id", "left_semi").mapInArrow(_stored(self.k), "id long, grams binary")
-        grams = common.materialize(chosen, "grams")
-        out = pairs.join(grams.toDF("a", "left"), "a").join(grams.toDF("b", "right"), "b")
+        chosen = self.docs.mapInArrow(_stored(self.k, bloom(ids)), "id long, grams binary")
+        grams = common.materialize(chosen.join(common.large(ids), "id", "left_semi"), "grams")
+        out = pairs.join(common.large(grams.toDF("a", "left")), "a").join(common.large(grams.toDF("b", "right")), "b")
         return out.sortWithinPartitions("b", F.length("left"), "a").mapInArrow(_compare(self.num, self.den), "a long, b long").distinct()
 
     def _leaders(self) -> DataFrame:
         nodes = self.classes.select(F.col("node").alias("id"))
-        mins = self.sets.select("id", "mins").join(nodes, "id", "left_semi").select("id", F.posexplode("mins").alias("i", "m"))
-        lead = common.materialize(mins.groupBy("i", "m").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z"), "leads")
-        found = mins.join(lead, ["i", "m"]).where("a < id").groupBy("a", F.col("id").alias("b")).count()
+        mins = self.sets.select("id", "mins").join(common.large(nodes), "id", "left_semi").select("id", F.posexplode("mins").alias("i", "m"))
+        met = common.materialize(mins.groupBy("i", "m").agg(F.count("id").alias("c")).where("c > 1"), "met")
+        mins = common.materialize(mins.join(common.large(met), ["i", "m"]), "mins")
+        liked = common.materialize(mins.groupBy("id").agg(F.sum("c").alias("liked")), "liked")
+        first = F.max(F.struct("liked", (-F.col("id")).alias("id")))
+        lead = mins.join(liked, "id").groupBy("i", "m").agg(first.alias("top"), F.min("id").alias("least"))
+        lead = lead.select("i", "m", F.explode(F.array_distinct(F.array(-F.col("top.id"), "least"))).alias("a"))
+        mins = mins.join(common.materialize(lead, "lead"), ["i", "m"]).where("a <> id")
+        found = mins.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.countDistinct("i").alias("count"))
         return found.where(F.col("count") >= AGREE).select("a", "b")
 
     def _candidates(self, groups: DataFrame) -> DataFrame:
@@ -201,14 +224,14 @@ class JaccardJoin:
         num, den, both = self.num, self.den, self.num + self.den
         nodes = self.classes.select("node").distinct().join(groups, "node", "left")
         nodes = nodes.select("node", F.coalesce("component", "node").alias("grp"))
-        rows = self.sets.where("n > 0").select(F.col("id").alias("node"), "n", "prefix").join(nodes, "node")
+        rows = self.sets.where("n > 0").select(F.col("id").alias("node"), "n", "prefix").join(common.large(nodes), "node")
         width = float(np.log(den / num)) * 1.001  # rounding cannot part two partners
-        entries = rows.select(
-            "node", F.col("n").cast("int").alias("n"), "grp", F.floor(F.log("n") / width).cast("int").alias("block"),
-            F.posexplode("prefix").alias("pos", "h"),
-        )
-        mixed = entries.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h", "lo")
-        entries = common.materialize(entries.join(common.materialize(mixed, "mixed"), "h"), "entries")
+        rows = common.materialize(rows, "prefixes")
+        mixed = rows.select("grp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        mixed = common.materialize(mixed.where("lo < hi").select("h", "lo"), "mixed")
+        entries = rows.mapInArrow(_entries(bloom(mixed.select("h"))), "node long, n long, grp long, pos int, h long")
+        entries = entries.withColumn("block", F.floor(F.log("n") / width).cast("int"))
+        entries = common.materialize(entries.join(common.large(mixed), "h"), "entries")
         # A block is one size class: partners of n are in n's own and the two beside it.
         probe = entries.where("grp <> lo").withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))))
         x, y = probe.alias("x"), entries.alias("y")
@@ -217,7 +240,7 @@ class JaccardJoin:
             f"x.grp <> y.grp and (y.grp = y.lo or x.node < y.node) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
             f" and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need}"
         )
-        met = x.join(y, ["h", "block"]).where(fits).select(
+        met = x.join(common.large(y), ["h", "block"]).where(fits).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "h",
             F.expr(f"{need} - ({num} * greatest(x.n, y.n) + {den - 1}) div {den} + 1").alias("least"),
         )
@@ -233,7 +256,7 @@ class JaccardJoin:
     def groups(self) -> DataFrame:
         """(id, n_shingles, component): one row per row of docs; component is the smallest id reachable by links."""
         found = common.materialize(components(self.links()), "components")
-        return self.members().join(found, "node", "left").select(
+        return self.members().join(common.large(found), "node", "left").select(
             "id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component")
         )
 
