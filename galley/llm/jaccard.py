@@ -118,7 +118,9 @@ def _entries(mixed):
             keep = np.flatnonzero(may_hold(mixed.value, h)) if len(h) else np.zeros(0, np.int64)
             rows = batch.select(["node", "n", "grp"]).take(pa.array(row[keep]))
             at = pa.array((keep - ends[row[keep]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep])], ["node", "n", "grp", "pos", "h"])
+            first, last = keep == ends[row[keep]], keep + 1 == ends[row[keep] + 1]
+            prev, after = pa.array(h[np.maximum(keep - 1, 0)], mask=first), pa.array(h[np.minimum(keep + 1, len(h) - 1)] if len(h) else h, mask=last)
+            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep]), prev, after], ["node", "n", "grp", "pos", "h", "prev", "next"])
 
     return explode
 
@@ -229,7 +231,7 @@ class JaccardJoin:
         rows = common.materialize(rows, "prefixes")
         mixed = rows.select("grp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         mixed = common.materialize(mixed.where("lo < hi").select("h", "lo"), "mixed")
-        entries = rows.mapInArrow(_entries(bloom(mixed.select("h"))), "node long, n long, grp long, pos int, h long")
+        entries = rows.mapInArrow(_entries(bloom(mixed.select("h"))), "node long, n long, grp long, pos int, h long, prev long, next long")
         entries = entries.withColumn("block", F.floor(F.log("n") / width).cast("int"))
         entries = common.materialize(entries.join(common.large(mixed), "h"), "entries")
         # A block is one size class: partners of n are in n's own and the two beside it.
@@ -240,12 +242,17 @@ class JaccardJoin:
             f"x.grp <> y.grp and (y.grp = y.lo or x.node < y.node) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
             f" and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need}"
         )
-        met = x.join(common.large(y), ["h", "block"]).where(fits).select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "h",
+        # Sets that share one prefix n-gram often share those beside it. A run of shared neighbours is met at its two
+        # ends only; the places of the ends in a's prefix give its length, and their sum the shared n-grams.
+        first, last = "not coalesce(x.prev = y.prev, false)", "not coalesce(x.next = y.next, false)"
+        pos = "if(x.node < y.node, x.pos, y.pos)"
+        met = x.join(common.large(y), ["h", "block"]).where(f"{fits} and ({first} or {last})").select(
+            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
+            F.expr(f"if({last}, {pos} + 1, 0) - if({first}, {pos}, 0)").alias("c"),
             F.expr(f"{need} - ({num} * greatest(x.n, y.n) + {den - 1}) div {den} + 1").alias("least"),
         )
         # n-grams after both prefixes can add no more than the larger set's rest, so the prefixes must share the others.
-        return met.groupBy("a", "b").agg(F.count("h").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
+        return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
 
     def links(self) -> DataFrame:
         """(a, b): links between classes, a < b, enough to connect every group of linked classes."""
