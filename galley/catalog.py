@@ -5,6 +5,134 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from galley.functions import text as text_functions
+from galley.operators import keyed, match, text_search
+from galley.sources.tables import load, star
+
+PANTRY = ["red", "small", "gear", "blue widget"]
+CHOSEN = {"flag": ["R", "A"], "priority": ["1-URGENT", "2-HIGH"]}
+_LINKS = "links AS (SELECT l_orderkey AS recipe_id, l_partkey AS ingredient_id, min(l_linenumber) AS position, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)"
+_TAGS = """tags AS (SELECT o_orderkey AS recipe_id, 'priority' AS kind, o_orderpriority AS value FROM orders
+UNION SELECT l_orderkey, 'flag', l_returnflag FROM lineitem UNION SELECT l_orderkey, 'status', l_linestatus FROM lineitem)"""
+_HIT = " OR ".join(f"(' ' || lower(p_name) || ' ') LIKE '% {n} %'" for n in PANTRY)
+_MATCHED = f"""{_LINKS}, counts AS (
+  SELECT recipe_id, count(*) FILTER (p_type <> 'ECONOMY') AS n_core, count(*) FILTER (p_type <> 'ECONOMY' AND ({_HIT})) AS n_matched,
+    bool_or({_HIT}) AS touched FROM links JOIN part ON p_partkey = ingredient_id GROUP BY recipe_id),
+found AS (SELECT recipe_id, n_core, n_matched, n_core - n_matched AS missing,
+  CASE WHEN n_core > 0 THEN n_matched / n_core ELSE 0.0 END AS coverage FROM counts WHERE touched)"""
+
+
+def _pantry_match(s: SparkSession, d: str) -> DataFrame:
+    st = star(s, d)
+    top = match.ranked(match.within(match.matched(st, PANTRY), 1), 40)
+    recipes = st.recipes.select(F.col("id").alias("recipe_id"), "title", "minutes", "book_id")
+    books = st.books.select(F.col("id").alias("book_id"), "author")
+    return top.join(recipes, "recipe_id").join(books, "book_id").drop("book_id")
+
+
+def _ingredient_lines(s: SparkSession, d: str) -> DataFrame:
+    st = star(s, d)
+    rows = st.links.join(st.ingredients.select(F.col("id").alias("ingredient_id"), "canonical"), "ingredient_id")
+    lines = F.sort_array(F.collect_list(F.struct("position", "ingredient_id", "canonical")))
+    return rows.groupBy("recipe_id").agg(F.array_join(F.transform(lines, lambda x: x["canonical"]), "; ").alias("lines"))
+
+
+def _editions(s: SparkSession, d: str) -> DataFrame:
+    docs = load(s, d, "documents")
+    return docs.groupBy(F.sha2(F.lower(F.trim("text")), 256).alias("edition")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
+
+
+def _upsert(s: SparkSession, d: str) -> DataFrame:
+    rows = load(s, d, "events").select("user_id", "event_id", "event_type", "value")
+    old, new = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")
+    return keyed.upsert(old, new, ["user_id", "event_type"], "event_id")
+
+
+def _favourites(s: SparkSession, d: str) -> DataFrame:
+    recipes = star(s, d).recipes
+    keys = keyed.occurrences(recipes.where("section = 'F'")).select("book_id", "title_key", "occurrence")
+    return keyed.resolve(keys, recipes)
+
+
+def _last_purchase(s: SparkSession, d: str) -> DataFrame:
+    e = load(s, d, "events")
+    what = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return e.select("event_id", keyed.last_before(e, "user_id", "event_id", what, 400).alias("purchase"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pantry_match": _pantry_match,
+    "pantry_coverage": lambda s, d: match.matched(star(s, d), PANTRY),
+    "pantry_relaxed": lambda s, d: match.relaxed(match.matched(star(s, d), PANTRY), 0),
+    "expand_names": lambda s, d: match.expand(star(s, d).ingredients, PANTRY).select("id"),
+    "core_counts": lambda s, d: match.core_counts(star(s, d)),
+    "facet_counts": lambda s, d: match.facets(star(s, d).tags, CHOSEN),
+    "tags_any": lambda s, d: match.has_any(star(s, d).recipes, star(s, d).tags, CHOSEN).select("id"),
+    "tags_all": lambda s, d: match.has_all(star(s, d).recipes, star(s, d).tags, "flag", ["R", "N"]).select("id"),
+    "tags_none": lambda s, d: match.has_none(star(s, d).recipes, star(s, d).tags, "flag", ["R"]).select("id"),
+    "without_ingredient": lambda s, d: match.without(star(s, d).recipes, star(s, d), ["red"]).select("id"),
+    "time_cap": lambda s, d: star(s, d).recipes.where("minutes <= 60").select("id", "minutes"),
+    "author_like": lambda s, d: (st := star(s, d)).recipes.join(st.books.where(F.col("author").ilike("%01%")).select(F.col("id").alias("book_id"), "author"), "book_id").select("id", "author"),
+    "quickest": lambda s, d: star(s, d).recipes.orderBy(F.coalesce("minutes", F.lit(999999)), "id").limit(25).select("id", "minutes"),
+    "ingredient_use": lambda s, d: star(s, d).links.groupBy("ingredient_id").agg(F.count("*").alias("n_recipes")),
+    "popular_ingredients": lambda s, d: (st := star(s, d)).links.groupBy("ingredient_id").agg(F.count("*").alias("n")).join(st.ingredients.where("not is_staple").select(F.col("id").alias("ingredient_id"), "canonical"), "ingredient_id").orderBy(F.desc("n"), "ingredient_id").limit(24),
+    "tag_counts": lambda s, d: star(s, d).tags.groupBy("kind", "value").agg(F.count("*").alias("n")),
+    "headline_stats": lambda s, d: star(s, d).recipes.agg(F.count("*").alias("recipes"), F.countDistinct("book_id").alias("books"), F.count_if(F.col("minutes") <= 30).alias("quick"), F.max("minutes").alias("longest")),
+    "by_author": lambda s, d: (st := star(s, d)).recipes.join(st.books.select(F.col("id").alias("book_id"), "author"), "book_id").groupBy("author").agg(F.count("*").alias("n")),
+    "title_groups": lambda s, d: star(s, d).books.groupBy(F.lower("title").alias("folded")).agg(F.max("title").alias("title"), F.count("*").alias("n")),
+    "occurrence_keys": lambda s, d: keyed.occurrences(star(s, d).recipes).select("id", "book_id", "title_key", "occurrence"),
+    "favourites_resolved": _favourites,
+    "upsert_newest": _upsert,
+    "ingredient_lines": _ingredient_lines,
+    "edition_groups": _editions,
+    "full_text_all": lambda s, d: text_search.search(load(s, d, "documents"), "doc_id", "text", ["the", "and"]),
+    "full_text_prefix": lambda s, d: text_search.search(load(s, d, "documents"), "doc_id", "text", ["ein", "ver"]),
+    "cache_names": lambda s, d: load(s, d, "pages").select("page_id", text_functions.cache_name(F.col("url"), F.col("page_id").cast("string")).alias("name")),
+    "last_purchase": _last_purchase,
+    "purchase_runs": lambda s, d: keyed.islands(load(s, d, "events"), "user_id", "event_id", F.col("event_type") == "purchase", 3, 3),
+    "quantity_by_ingredient": lambda s, d: load(s, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.countDistinct("l_orderkey").alias("recipes")),
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "pantry_match": f"""WITH {_MATCHED}, top AS (SELECT * FROM found WHERE missing <= 1 ORDER BY coverage DESC, missing, recipe_id LIMIT 40)
+SELECT recipe_id, n_core, n_matched, missing, coverage, o_orderpriority AS title, floor(o_totalprice / 1000)::INT AS minutes, c_name AS author
+FROM top JOIN orders ON o_orderkey = recipe_id JOIN customer ON c_custkey = o_custkey""",
+    "pantry_coverage": f"WITH {_MATCHED} SELECT * FROM found",
+    "pantry_relaxed": f"""WITH {_MATCHED}, t AS (SELECT min(missing) AS m FROM found)
+SELECT found.* FROM found, t WHERE missing <= CASE WHEN m <= 0 THEN 0 WHEN m <= 2 THEN 2 WHEN m <= 4 THEN 4 ELSE 99 END""",
+    "expand_names": f"SELECT p_partkey AS id FROM part WHERE {_HIT}",
+    "core_counts": f"WITH {_LINKS} SELECT recipe_id, count(*) FILTER (p_type <> 'ECONOMY') AS n_core, count(*) AS n_links FROM links JOIN part ON p_partkey = ingredient_id GROUP BY recipe_id",
+    "facet_counts": f"""WITH {_TAGS}, f AS (SELECT recipe_id, bool_or(kind = 'flag' AND value IN ('R', 'A')) AS a, bool_or(kind = 'priority' AND value IN ('1-URGENT', '2-HIGH')) AS b FROM tags GROUP BY recipe_id)
+SELECT kind, value, count(*) AS n FROM tags JOIN f USING (recipe_id) WHERE (kind = 'flag' OR a) AND (kind = 'priority' OR b) GROUP BY kind, value""",
+    "tags_any": f"WITH {_TAGS} SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT recipe_id FROM tags WHERE kind = 'flag' AND value IN ('R', 'A')) AND o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "tags_all": "SELECT o_orderkey AS id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N')",
+    "tags_none": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
+    "without_ingredient": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = o_orderkey AND (' ' || lower(p_name) || ' ') LIKE '% red %')",
+    "time_cap": "SELECT o_orderkey AS id, floor(o_totalprice / 1000)::INT AS minutes FROM orders WHERE floor(o_totalprice / 1000) <= 60",
+    "author_like": "SELECT o_orderkey AS id, c_name AS author FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_name ILIKE '%01%'",
+    "quickest": "SELECT o_orderkey AS id, floor(o_totalprice / 1000)::INT AS minutes FROM orders ORDER BY 2, 1 LIMIT 25",
+    "ingredient_use": "SELECT l_partkey AS ingredient_id, count(DISTINCT l_orderkey) AS n_recipes FROM lineitem GROUP BY 1",
+    "popular_ingredients": "SELECT l_partkey AS ingredient_id, count(DISTINCT l_orderkey) AS n, lower(p_name) AS canonical FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type <> 'ECONOMY' GROUP BY ALL ORDER BY n DESC, 1 LIMIT 24",
+    "tag_counts": f"WITH {_TAGS} SELECT kind, value, count(*) AS n FROM tags GROUP BY kind, value",
+    "headline_stats": "SELECT count(*) AS recipes, count(DISTINCT o_custkey) AS books, count(*) FILTER (floor(o_totalprice / 1000) <= 30) AS quick, max(floor(o_totalprice / 1000))::INT AS longest FROM orders",
+    "by_author": "SELECT c_name AS author, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1",
+    "title_groups": "SELECT lower(c_mktsegment) AS folded, max(c_mktsegment) AS title, count(*) AS n FROM customer GROUP BY 1",
+    "occurrence_keys": "SELECT o_orderkey AS id, o_custkey AS book_id, lower(trim(o_orderpriority)) AS title_key, (row_number() OVER (PARTITION BY o_custkey, lower(trim(o_orderpriority)) ORDER BY o_orderdate, o_orderkey) - 1)::INT AS occurrence FROM orders",
+    "favourites_resolved": """WITH k AS (SELECT o_custkey AS book_id, lower(trim(o_orderpriority)) AS title_key, (row_number() OVER (PARTITION BY o_custkey, lower(trim(o_orderpriority)) ORDER BY o_orderdate, o_orderkey) - 1)::INT AS occurrence FROM orders WHERE o_orderstatus = 'F'),
+r AS (SELECT o_custkey AS book_id, lower(trim(o_orderpriority)) AS title_key, (row_number() OVER (PARTITION BY o_custkey, lower(trim(o_orderpriority)) ORDER BY o_orderdate, o_orderkey) - 1)::INT AS occurrence, o_orderkey AS id FROM orders)
+SELECT * FROM k LEFT JOIN r USING (book_id, title_key, occurrence)""",
+    "upsert_newest": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
+    "ingredient_lines": f"WITH {_LINKS} SELECT recipe_id, string_agg(lower(p_name), '; ' ORDER BY position, ingredient_id) AS lines FROM links JOIN part ON p_partkey = ingredient_id GROUP BY recipe_id",
+    "edition_groups": "SELECT sha256(lower(trim(text))) AS edition, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1",
+    "full_text_all": "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])and')",
+    "full_text_prefix": "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])ein') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])ver')",
+    "cache_names": "SELECT page_id, substr(sha256(url || '|' || page_id), 1, 20) AS name FROM pages",
+    "last_purchase": "SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 400 PRECEDING AND CURRENT ROW) AS purchase FROM events",
+    "purchase_runs": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS place FROM events),
+h AS (SELECT user_id, place, CASE WHEN place - lag(place) OVER (PARTITION BY user_id ORDER BY place) > 3 THEN 1 ELSE 0 END AS new FROM p WHERE event_type = 'purchase'),
+r AS (SELECT user_id, place, sum(new) OVER (PARTITION BY user_id ORDER BY place) AS run FROM h)
+SELECT user_id, min(place) AS first, max(place) AS last, count(*) AS hits FROM r GROUP BY user_id, run HAVING count(*) >= 3""",
+    "quantity_by_ingredient": "SELECT l_partkey, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS recipes FROM lineitem GROUP BY 1",
+}
