@@ -221,7 +221,8 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema).select(names)
 
-    return files.select("file").repartition(F.col("file")).mapInArrow(run, RECORDS)
+    # A given number of partitions: Spark would join these few bytes into one task, which would read all archives.
+    return files.select("file").repartition(min(max(1, files.count()), 10_000), "file").mapInArrow(run, RECORDS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
