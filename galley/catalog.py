@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions import durations, measures
 from galley.functions import text as text_functions
-from galley.operators import keyed, match, text_search
+from galley.operators import keyed, match, shopping, text_search
 from galley.sources.tables import load, star
 
 PANTRY = ["red", "small", "gear", "blue widget"]
@@ -21,7 +22,7 @@ _MATCHED = f"""{_LINKS}, counts AS (
   SELECT recipe_id, count(*) FILTER (p_type <> 'ECONOMY') AS n_core, count(*) FILTER (p_type <> 'ECONOMY' AND ({_HIT})) AS n_matched,
     bool_or({_HIT}) AS touched FROM links JOIN part ON p_partkey = ingredient_id GROUP BY recipe_id),
 found AS (SELECT recipe_id, n_core, n_matched, n_core - n_matched AS missing,
-  CASE WHEN n_core > 0 THEN n_matched / n_core ELSE 0.0 END AS coverage FROM counts WHERE touched)"""
+  CASE WHEN n_core > 0 THEN n_matched / n_core ELSE 1.0 END AS coverage FROM counts WHERE touched)"""
 
 
 def _pantry_match(s: SparkSession, d: str) -> DataFrame:
@@ -62,6 +63,51 @@ def _last_purchase(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", keyed.last_before(e, "user_id", "event_id", what, 400).alias("purchase"))
 
 
+def _pantry_ranked(s: SparkSession, d: str) -> DataFrame:
+    st = star(s, d)
+    found = match.matched(st, PANTRY).join(st.recipes.select(F.col("id").alias("recipe_id"), "minutes"), "recipe_id")
+    scored = found.withColumn("score", match.score(F.lit(1.0), F.col("minutes"), F.col("coverage"), F.col("missing"), F.col("n_matched")))
+    return scored.orderBy(F.desc("score"), "recipe_id").limit(40).select("recipe_id", F.round("score", 6).alias("score"))
+
+
+def _editions_ranked(s: SparkSession, d: str) -> DataFrame:
+    rows = star(s, d).recipes.withColumn("edition", F.concat_ws("|", F.lower(F.trim("title")), F.col("book_id")))
+    return match.one_per_edition(rows, "edition", [F.coalesce("minutes", F.lit(999999)), "id"]).select("id", "edition")
+
+
+def _shopping_star(s: SparkSession, d: str) -> DataFrame:
+    lines = load(s, d, "lineitem")
+    unit = measures.lookup(F.col("l_returnflag"), {"R": "g", "A": "tbsp"})
+    return shopping.totals(lines.select(F.col("l_partkey").alias("key"), F.col("l_quantity").alias("quantity"), unit.alias("unit")))
+
+
+def _overlay(s: SparkSession, d: str) -> DataFrame:
+    events = load(s, d, "events")
+    edits = keyed.newest(events.select((F.col("user_id")).alias("id"), "event_id", F.col("props").alias("fields")), ["id"], "event_id")
+    recipes = star(s, d).recipes.select("id", "title", "minutes", F.col("minutes").alias("k"))
+    return keyed.overlay(recipes, edits.select("id", "fields"), ["id"], "k int").select("id", "title", "minutes", "k")
+
+
+def _literals(rows: list[tuple], column: Callable[[], dict], schema: str = "x string") -> Callable[[SparkSession, str], DataFrame]:
+    """A query over fixed inputs, each with its place i."""
+    return lambda s, d: s.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {schema}").select("i", *(c.alias(n) for n, c in column().items()))
+
+
+LINES = [("2 tbsp olive oil",), ("1 1/2 cups flour",), ("1½ cups whole milk",), ("2-3 tablespoons parsley",), ("100g dark chocolate",), ("a pinch of saffron",), ("1 x 400g can chopped tomatoes",), ("Preheat the oven to 200C.",)]
+TIMES = [("Prep: 15 mins  Cook: 30 mins", ""), ("Ready in 1 hour 10 minutes", ""), ("Total 1-1/2 hours", ""), ("Serves 4", "Simmer for 20 minutes. Bake for 25 minutes."), ("Serves 4", "Marinate overnight. Grill for 8 minutes.")]
+STEPS = [("Bake until golden, 8 to 10 minutes.",), ("Cook 2½ to 3 minutes more.",), ("Rest for half an hour.",), ("Take a 15-minute walk.",), ("Bake 1 hour 15 minutes.",)]
+
+
+def _quantity() -> dict:
+    q = measures.parse_quantity(F.col("x"))
+    return {"quantity": q["quantity"], "unit": q["unit"], "rest": q["rest"]}
+
+
+def _times() -> dict:
+    t = durations.extract_time(F.col("x"), F.col("y"))
+    return {"total": t["total"], "source": t["source"], "long_wait": t["long_wait"]}
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pantry_match": _pantry_match,
     "pantry_coverage": lambda s, d: match.matched(star(s, d), PANTRY),
@@ -93,6 +139,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "last_purchase": _last_purchase,
     "purchase_runs": lambda s, d: keyed.islands(load(s, d, "events"), "user_id", "event_id", F.col("event_type") == "purchase", 3, 3),
     "quantity_by_ingredient": lambda s, d: load(s, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.countDistinct("l_orderkey").alias("recipes")),
+    "pantry_ranked": _pantry_ranked,
+    "one_per_edition": _editions_ranked,
+    "shopping_totals": _shopping_star,
+    "edits_overlay": _overlay,
+    "round_measures": lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", measures.round_g(F.col("l_extendedprice")).alias("g"), measures.round_ml(F.col("l_quantity") * 2.5).alias("ml")),
+    "metric_lines": lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", measures.to_metric(F.col("l_quantity"), F.lit("lb"), F.lit(None)).alias("metric")),
+    "nice_numbers": lambda s, d: load(s, d, "lineitem").select("l_quantity").distinct().select("l_quantity", measures.nice_number(F.col("l_quantity") / 4).alias("written")),
+    "conversation_text": lambda s, d: load(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " · ").alias("text")),
+    "complete_title": lambda s, d: star(s, d).ingredients.where(F.col("canonical").startswith("b")).groupBy("canonical").agg(F.count("*").alias("n")).orderBy("canonical").limit(8),
+    "parse_quantity": _literals(LINES, _quantity),
+    "extract_time": _literals(TIMES, _times, "x string, y string"),
+    "find_timers": _literals(STEPS, lambda: {"labels": F.array_join(F.transform(durations.find_timers(F.col("x")), lambda t: t["label"]), ", ")}),
+    "scale_servings": _literals([("4",), ("4 to 6",), ("8 scones",), ("",), (None,)], lambda: {"base": measures.servings_base(F.col("x")), "doubled": measures.scale_servings(F.col("x"), 2)}),
+    "printed_metric": _literals([("1 lb (454 g) ground beef",), ("1 (26-oz [737-g]) bag frozen fries",), ("1 (4- to 5-lb [1.8- to 2.3-kg]) pork butt",), ("2 cups flour",)], lambda: {"metric": measures.printed_metric(F.col("x"))}),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,4 +195,29 @@ h AS (SELECT user_id, place, CASE WHEN place - lag(place) OVER (PARTITION BY use
 r AS (SELECT user_id, place, sum(new) OVER (PARTITION BY user_id ORDER BY place) AS run FROM h)
 SELECT user_id, min(place) AS first, max(place) AS last, count(*) AS hits FROM r GROUP BY user_id, run HAVING count(*) >= 3""",
     "quantity_by_ingredient": "SELECT l_partkey, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS recipes FROM lineitem GROUP BY 1",
+    "pantry_ranked": f"""WITH {_MATCHED}, s AS (SELECT recipe_id, 100 * coverage - 34 * missing + 8 + 6 * greatest(0, 1 - floor(o_totalprice / 1000) / 180) + 6 * least(n_matched, 6) / 6 AS score
+FROM found JOIN orders ON o_orderkey = recipe_id) SELECT recipe_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, recipe_id LIMIT 40""",
+    "one_per_edition": """SELECT o_orderkey AS id, lower(trim(o_orderpriority)) || '|' || o_custkey AS edition FROM orders
+QUALIFY row_number() OVER (PARTITION BY lower(trim(o_orderpriority)), o_custkey ORDER BY floor(o_totalprice / 1000), o_orderkey) = 1""",
+    "shopping_totals": """SELECT l_partkey AS key, sum(l_quantity) FILTER (l_returnflag = 'R') AS grams, NULL::DOUBLE AS ml, sum(3 * l_quantity) FILTER (l_returnflag = 'A') AS tsp,
+count(*) AS n_lines FROM lineitem GROUP BY 1""",
+    "edits_overlay": """WITH e AS (SELECT user_id AS id, (props->>'k')::INT AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT o_orderkey AS id, o_orderpriority AS title, floor(o_totalprice / 1000)::INT AS minutes, CASE WHEN e.id IS NULL THEN floor(o_totalprice / 1000)::INT ELSE e.k END AS k FROM orders LEFT JOIN e ON e.id = o_orderkey""",
+    "round_measures": """WITH v AS (SELECT *, l_quantity * 2.5 AS m, CASE WHEN l_extendedprice < 20 THEN 1 WHEN l_extendedprice < 1000 THEN 5 ELSE 25 END AS sg,
+CASE WHEN l_quantity * 2.5 < 20 THEN 1 WHEN l_quantity * 2.5 < 100 THEN 5 WHEN l_quantity * 2.5 < 1000 THEN 10 ELSE 50 END AS sm FROM lineitem)
+SELECT l_orderkey, l_linenumber, (round_even(l_extendedprice / sg, 0) * sg)::BIGINT AS g, (round_even(m / sm, 0) * sm)::BIGINT AS ml FROM v""",
+    "metric_lines": """WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity * 453.592 AS x FROM lineitem),
+r AS (SELECT *, (CASE WHEN x < 20 THEN round_even(x, 0) WHEN x < 1000 THEN round_even(x / 5, 0) * 5 ELSE round_even(x / 25, 0) * 25 END)::BIGINT AS g FROM v)
+SELECT l_orderkey, l_linenumber, CASE WHEN g >= 1000 THEN regexp_replace(format('{:.2f}', g / 1000), '\\.?0+$', '') || ' kg' ELSE g || ' g' END AS metric FROM r""",
+    "nice_numbers": """WITH v AS (SELECT DISTINCT l_quantity, l_quantity / 4 AS x FROM lineitem)
+SELECT l_quantity, CASE WHEN x >= 20 THEN round_even(x, 0)::INT::VARCHAR WHEN x >= 10 THEN floor(round_even(x * 2, 0) / 2)::INT::VARCHAR || CASE WHEN round_even(x * 2, 0)::INT % 2 = 1 THEN '½' ELSE '' END
+ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x) WHEN 0.25 THEN '¼' WHEN 0.5 THEN '½' WHEN 0.75 THEN '¾' ELSE '' END END AS written FROM v""",
+    "conversation_text": "SELECT conv_id, string_agg(coalesce(text, ''), ' · ' ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY 1",
+    "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE starts_with(lower(p_name), 'b') GROUP BY 1 ORDER BY 1 LIMIT 8",
+    "parse_quantity": """SELECT * FROM (VALUES (0, 2.0::DOUBLE, 'tbsp', 'olive oil'), (1, 1.5, 'cup', 'flour'), (2, 1.5, 'cup', 'whole milk'), (3, 2.5, 'tbsp', 'parsley'), (4, 100.0, 'g', 'dark chocolate'),
+(5, 1.0, 'pinch', 'saffron'), (6, 400.0, 'g', 'chopped tomatoes'), (7, NULL, NULL, 'Preheat the oven to 200C')) t(i, quantity, unit, rest)""",
+    "extract_time": "SELECT * FROM (VALUES (0, 45, 'labels-summed', false), (1, 70, 'label', false), (2, 90, 'label', false), (3, 45, 'method', false), (4, 8, 'method', true)) t(i, total, source, long_wait)",
+    "find_timers": "SELECT * FROM (VALUES (0, '8–10 min'), (1, '2½–3 min'), (2, '30 min'), (3, ''), (4, '1 h 15 min')) t(i, labels)",
+    "scale_servings": "SELECT * FROM (VALUES (0, 4, '8'), (1, 4, '8 to 12'), (2, 8, '16 scones'), (3, NULL, ''), (4, NULL, '')) t(i, base, doubled)",
+    "printed_metric": "SELECT * FROM (VALUES (0, '454 g'), (1, '737 g'), (2, '2.3 kg'), (3, NULL)) t(i, metric)",
 }

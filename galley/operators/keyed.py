@@ -31,6 +31,22 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], version: str) ->
     return best.select("row.*")
 
 
+def newest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
+    """The row of each key with the largest version."""
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), version).alias("row")).select("row.*")
+
+
+def overlay(rows: DataFrame, edits: DataFrame, key: Sequence[str], schema: str) -> DataFrame:
+    """rows with the fields of the corrections' JSON laid over them. A field that is named with null becomes null; one that
+    is not named keeps its value. edits: key and fields, one row a key."""
+    names = [part.split()[0] for part in schema.split(",")]
+    both = rows.join(edits.select(*key, "fields"), list(key), "left")
+    said = F.json_object_keys("fields")
+    value = F.from_json("fields", schema)
+    named = {n: F.when(F.coalesce(F.array_contains(said, n), F.lit(False)), value[n]).otherwise(F.col(n)) for n in names}
+    return both.withColumns(named).drop("fields")
+
+
 def without_keys(old: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(gone.select(*key), list(key), "left_anti")
 

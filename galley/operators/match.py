@@ -47,7 +47,7 @@ def matched(star: Star, names: Sequence[str]) -> DataFrame:
     missing = F.col("n_core") - F.col("n_matched")
     return counts.where("touched").select(
         "recipe_id", "n_core", "n_matched", missing.alias("missing"),
-        F.when(F.col("n_core") > 0, F.col("n_matched") / F.col("n_core")).otherwise(0.0).alias("coverage"),
+        F.when(F.col("n_core") > 0, F.col("n_matched") / F.col("n_core")).otherwise(1.0).alias("coverage"),
     )
 
 
@@ -67,6 +67,20 @@ def ranked(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return found.orderBy(F.desc("coverage"), "missing", "recipe_id").offset(offset).limit(limit)
 
 
+def score(confidence: Column, minutes: Column, coverage: Column, missing: Column, n_matched: Column) -> Column:
+    """Rank of a matched recipe: coverage first, then few missing, trust in the reading, little time, many matches."""
+    quick = F.when(minutes.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - minutes / 180))
+    return 100 * coverage - 34 * F.greatest(F.lit(0), missing) + 8 * confidence + 6 * quick + F.least(n_matched, F.lit(6))
+
+
+def one_per_edition(rows: DataFrame, edition: str, order: Sequence[Column | str]) -> DataFrame:
+    """The first row of each edition by order; rows without an edition all stay. One aggregation with partial results, so
+    an edition that holds a third of all rows is no hot group."""
+    names = rows.columns
+    first = rows.where(F.col(edition).isNotNull()).groupBy(edition).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("row")).select("row.*")
+    return first.unionByName(rows.where(F.col(edition).isNull()))
+
+
 def has_any(recipes: DataFrame, tags: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
     """Any value within a kind, and every kind."""
     for kind, values in wanted.items():
