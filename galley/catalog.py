@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import durations, measures
+from galley.functions import classify, durations, measures, titles
 from galley.functions import text as text_functions
 from galley.operators import keyed, match, shopping, text_search
 from galley.sources.tables import load, star
@@ -153,6 +153,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "find_timers": _literals(STEPS, lambda: {"labels": F.array_join(F.transform(durations.find_timers(F.col("x")), lambda t: t["label"]), ", ")}),
     "scale_servings": _literals([("4",), ("4 to 6",), ("8 scones",), ("",), (None,)], lambda: {"base": measures.servings_base(F.col("x")), "doubled": measures.scale_servings(F.col("x"), 2)}),
     "printed_metric": _literals([("1 lb (454 g) ground beef",), ("1 (26-oz [737-g]) bag frozen fries",), ("1 (4- to 5-lb [1.8- to 2.3-kg]) pork butt",), ("2 cups flour",)], lambda: {"metric": measures.printed_metric(F.col("x"))}),
+    "classify_recipes": _literals(
+        [("Pancakes", "", "flour,egg"), ("Beef stew", "", ""), ("Lemon tart", "Mains", ""), ("Crème brûlée", "Spanish plates", "creme fraiche"), ("Noodles", "", "fish sauce,lime"), ("Thai soup", None, None), ("Thing", "", "miso,mirin")],
+        lambda: {"meals": F.array_join(classify.meals(F.col("x"), F.col("y"), F.split("z", ",")), ", "), "cuisine": classify.cuisine(F.col("x"), F.col("y"), F.split("z", ","))["cuisine"]}, "x string, y string, z string",
+    ),
+    "diagnose_errors": _literals([("BadZipFile: a",), ("MemoryError",), ("odd",), (None,)], lambda: {"retry": classify.diagnose(F.col("x"))["retry"], "cause": F.substring(classify.diagnose(F.col("x"))["cause"], 1, 22)}),
+    "display_titles": _literals([("MOM'S PIE AND CREAM",), ("bbq chicken of the day",), ("Mixed Case title",), ("BLT",), ("",)], lambda: {"shown": titles.display_title(F.col("x"))}),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -220,4 +226,7 @@ ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x
     "find_timers": "SELECT * FROM (VALUES (0, '8–10 min'), (1, '2½–3 min'), (2, '30 min'), (3, ''), (4, '1 h 15 min')) t(i, labels)",
     "scale_servings": "SELECT * FROM (VALUES (0, 4, '8'), (1, 4, '8 to 12'), (2, 8, '16 scones'), (3, NULL, ''), (4, NULL, '')) t(i, base, doubled)",
     "printed_metric": "SELECT * FROM (VALUES (0, '454 g'), (1, '737 g'), (2, '2.3 kg'), (3, NULL)) t(i, metric)",
+    "classify_recipes": "SELECT * FROM (VALUES (0, 'breakfast', 'american'), (1, 'lunch, dinner', NULL), (2, 'lunch, dinner', NULL), (3, 'lunch, dinner', 'french'), (4, 'lunch, dinner', NULL), (5, 'lunch', 'thai'), (6, 'lunch, dinner', 'japanese')) t(i, meals, cuisine)",
+    "diagnose_errors": "SELECT * FROM (VALUES (0, false, 'The file is not readab'), (1, true, 'The book was too large'), (2, true, 'The book could not be '), (3, true, 'The book could not be ')) t(i, retry, cause)",
+    "display_titles": "SELECT * FROM (VALUES (0, 'Mom''s Pie and Cream'), (1, 'BBQ Chicken of the Day'), (2, 'Mixed Case title'), (3, 'BLT'), (4, '')) t(i, shown)",
 }
