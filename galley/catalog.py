@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import classify, durations, measures, prose, titles
+from galley.functions import classify, durations, measures, nouns, prose, titles
 from galley.functions import text as text_functions
 from galley.operators import keyed, match, shopping, text_search
 from galley.sources.tables import load, star
@@ -160,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diagnose_errors": _literals([("BadZipFile: a",), ("MemoryError",), ("odd",), (None,)], lambda: {"retry": classify.diagnose(F.col("x"))["retry"], "cause": F.substring(classify.diagnose(F.col("x"))["cause"], 1, 22)}),
     "display_titles": _literals([("MOM'S PIE AND CREAM",), ("bbq chicken of the day",), ("Mixed Case title",), ("BLT",), ("",)], lambda: {"shown": titles.display_title(F.col("x"))}),
     "convert_prose": _literals([("Preheat the oven to 350°F.",), ("Use a 9-inch tin.",), ("Roll to 1/4 inch thick.",), ("Add 2 lbs of potatoes.",), ("air fry at 400°F (200°C)",), ("Simmer for 20 minutes.",)], lambda: {"metric": prose.convert_text(F.col("x"))}),
+    "singular_words": _literals([("Leaves",), ("potatoes",), ("berries",), ("radishes",), ("hummus",), ("greens",), ("onions",), (None,)], lambda: {"word": nouns.singular(F.col("x"))}),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -231,4 +232,5 @@ ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x
     "diagnose_errors": "SELECT * FROM (VALUES (0, false, 'The file is not readab'), (1, true, 'The book was too large'), (2, true, 'The book could not be '), (3, true, 'The book could not be ')) t(i, retry, cause)",
     "display_titles": "SELECT * FROM (VALUES (0, 'Mom''s Pie and Cream'), (1, 'BBQ Chicken of the Day'), (2, 'Mixed Case title'), (3, 'BLT'), (4, '')) t(i, shown)",
     "convert_prose": "SELECT * FROM (VALUES (0, 'Preheat the oven to 175°C.'), (1, 'Use a 23 cm tin.'), (2, 'Roll to 0.5 cm thick.'), (3, 'Add 905 g of potatoes.'), (4, 'air fry at 200°C'), (5, 'Simmer for 20 minutes.')) t(i, metric)",
+    "singular_words": "SELECT * FROM (VALUES (0, 'leaf'), (1, 'potato'), (2, 'berry'), (3, 'radish'), (4, 'hummus'), (5, 'greens'), (6, 'onion'), (7, NULL)) t(i, word)",
 }
