@@ -1,4 +1,4 @@
-"""Operator 3. Line dedup by content-defined chunks of lines."""
+"""Operator 3. Line dedup by content-defined chunks of lines: each two lines that follow each other."""
 
 from __future__ import annotations
 
@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 from galley.llm import common, rewrite, textkit
 from galley.llm.bloom import bloom, may_hold
 
-#: A chunk may end after a line where the rolling hash of WINDOW lines is 0 modulo DIVISOR, once it has LEAST lines.
-WINDOW, DIVISOR, LEAST = 2, 3, 2
-U = np.uint64
 
+def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of lines; first line, last line, row and number in the row of chunks.
 
-def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of chunks, their row, and whether they have two lines or more that are not blank.
-
-    Lines end with a newline, which belongs to them. Boundaries depend on line contents alone, so text put in front
-    shifts them but does not change them.
+    Lines end with a newline, which belongs to them. A chunk starts at each line that is not blank and ends with the
+    next such line of the text, so chunks overlap by a line, whatever is repeated over two lines or more is made of
+    whole chunks, and text put in front shifts chunks but does not change them.
     """
     breaks = np.zeros(len(data), bool)
     if len(data):
@@ -29,39 +26,26 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         breaks[offsets[1:][np.diff(offsets) > 0] - 1] = True
     ends = np.flatnonzero(breaks) + 1
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    body = ends - (data[ends - 1] == 10)
-    line = textkit.Rolling(textkit._TABLE[data], textkit._R).of(starts, body)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    roll = textkit.Rolling(line)
-    at = np.arange(len(line))
-    mark = np.zeros(len(line), bool)
-    mark[WINDOW - 1 :] = roll.of(at[: len(at) - WINDOW + 1], at[: len(at) - WINDOW + 1] + WINDOW)[: max(0, len(at) - WINDOW + 1)] % U(DIVISOR) == 0
-    heads = np.searchsorted(row, np.unique(row))
-    final = set((np.concatenate([heads[1:], [len(row)]]) - 1).tolist()) if len(row) else set()
-    first, firsts, lasts = 0, [], []
-    for i in np.flatnonzero(mark | np.isin(at, list(final))).tolist():
-        if i in final or i - first + 1 >= LEAST:
-            firsts.append(first)
-            lasts.append(i)
-            first = i + 1
-    firsts, lasts = np.array(firsts, np.int64), np.array(lasts, np.int64)
-    solid = np.concatenate([[0], np.cumsum(body > starts)])
-    return starts[firsts], ends[lasts], row[firsts], solid[lasts + 1] - solid[firsts] >= 2
+    inked = np.concatenate([[0], np.cumsum(~textkit.SPACE[data])])
+    solid = np.flatnonzero(inked[ends] > inked[starts])
+    row = np.searchsorted(offsets, starts[solid], "right") - 1
+    same = row[1:] == row[:-1]
+    row = row[:-1][same]
+    return starts, ends, solid[:-1][same], solid[1:][same], row, np.arange(len(row)) - np.searchsorted(row, row)
 
 
 def _chunks(bodies=None):
-    """Rows of multi-line chunks: id, key, number in the text, hash; with a Bloom filter of hashes, the bytes of those in it."""
+    """Rows of chunks: id, key, number in the text, hash; with a Bloom filter of hashes, the bytes of those in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textkit.slices(whole):
                 data, offsets = textkit.utf8(batch.column("text"))
-                lo, hi, row, many = chunk_bounds(data, offsets)
-                number = np.arange(len(row)) - np.searchsorted(row, row)
+                starts, ends, first, last, row, number = chunk_bounds(data, offsets)
+                lo, hi = starts[first], ends[last]
                 bare = hi - (data[hi - 1] == 10) if len(hi) else hi  # a last line may lack its newline
                 h = textkit.Rolling(textkit._TABLE[data], textkit._R).of(lo, bare).view(np.int64)
-                keep = many if bodies is None else many & may_hold(bodies.value, h)
-                keep = np.flatnonzero(keep)
+                keep = np.arange(len(h)) if bodies is None else np.flatnonzero(may_hold(bodies.value, h))
                 rows = batch.select(["id", "key"]).take(pa.array(row[keep]))
                 columns, names = [*rows.columns, pa.array(number[keep].astype(np.int32)), pa.array(h[keep])], ["id", "key", "at", "h"]
                 if bodies is not None:
@@ -73,16 +57,21 @@ def _chunks(bodies=None):
 
 
 def _drop(text: str, cuts: list[int]) -> str:
+    """cuts: the numbers of the chunks to remove."""
     data = np.frombuffer(text.encode(), np.uint8)
-    lo, hi, _, _ = chunk_bounds(data, np.array([0, len(data)]))
-    gone = set(cuts)
-    return b"".join(data[a:b].tobytes() for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)) if i not in gone).decode()
+    starts, ends, first, last, _, _ = chunk_bounds(data, np.array([0, len(data)]))
+    gone = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(gone, first[cuts], 1)
+    np.add.at(gone, last[cuts] + 1, -1)
+    kept = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+    return b"".join(data[a:b].tobytes() for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)).decode()
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, cuts): numbers of the chunks of a row that repeat an earlier one, byte for byte.
 
-    The first of equal chunks, by id (null ids first), key and place, stays. Hashes are counted before any text
+    The first of equal chunks, by id (null ids first), key and place, stays, and so does one that shares a line with
+    it, as in three equal lines. Hashes are counted before any text
     moves; only the bytes of chunks whose hash repeats are shuffled, and each is compared with the first of its hash.
     Chunks that share a hash but not the bytes are compared among themselves in a second step.
     """
@@ -98,17 +87,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = own.join(common.large(first), ["h", "place"], "left_semi").dropDuplicates(["h"]).select("h", F.col("place").alias("kept"), F.col("body").alias("held"))
     pairs = own.join(common.large(common.materialize(first, "held")), "h")
     pairs = common.materialize(pairs.select("h", "place", "kept", F.when(F.col("body") != F.col("held"), F.col("body")).alias("body")), "compared")
-    same = pairs.where("body is null and place <> kept").select("place")
+    apart = "place <> kept and not (place.id <=> kept.id and place.key = kept.key and place.at = kept.at + 1)"
+    same = pairs.where("body is null").where(apart).select("place")
     clash = pairs.where("body is not null")
     least = clash.groupBy("h", "body").agg(F.min("place").alias("kept"))
-    odd = clash.drop("kept").join(least, ["h", "body"]).where("place <> kept").select("place")
+    odd = clash.drop("kept").join(least, ["h", "body"]).where(apart).select("place")
     return same.union(odd).groupBy("place.id", "place.key").agg(F.collect_set("place.at").alias("cuts"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the multi-line chunks that repeat an earlier one anywhere in docs.
+    """docs without the passages of two lines or more that repeat an earlier one anywhere in docs.
 
-    Chunks of one line, or with fewer than two lines that are not blank, always stay. A text may end up empty; its row
+    Blank lines, of white space alone, do not count as lines; those inside a passage are part of it. A single line that
+    is repeated stays. The first of equal lines always stays. A text may end up empty; its row
     stays. Rows with the same id and text are cut alike. Null and empty texts pass unchanged; all columns are kept and
     n_chars, if there, is set anew.
     """
@@ -116,5 +107,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated multi-line chunks."""
+    """All documents without repeated passages of lines."""
     return line_dedup(common.read(spark, sf_dir, "documents"))
