@@ -163,6 +163,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "singular_words": _literals([("Leaves",), ("potatoes",), ("berries",), ("radishes",), ("hummus",), ("greens",), ("onions",), (None,)], lambda: {"word": nouns.singular(F.col("x"))}),
 }
 
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, line, x): every line of every document; a null text is one null line."""
+    pieces = F.split("text", "\n", -1)
+    return load(s, d, "documents").select("doc_id", F.posexplode(F.coalesce(pieces, F.array(F.lit(None).cast("string")))).alias("line", "x"))
+
+
+def _by_line(column: Callable[[], dict]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: _lines(s, d).select("doc_id", "line", *(c.alias(n) for n, c in column().items()))
+
+
+def _by_text(column: Callable[[], dict]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: load(s, d, "documents").select("doc_id", F.col("text").alias("x"), F.split("text", "\n", -1)[0].alias("head"), "source").select("doc_id", *(c.alias(n) for n, c in column().items()))
+
+
+def _classes() -> dict:
+    parts = F.col("head"), F.col("source"), F.transform(F.split("x", "[\n,]"), lambda w: F.lower(F.trim(w)))
+    return {"meals": F.array_join(classify.meals(*parts), ", "), "cuisine": classify.cuisine(*parts)["cuisine"]}
+
+
+def _singulars(s: SparkSession, d: str) -> DataFrame:
+    words = load(s, d, "documents").select(F.explode_outer(F.split("text", "\\s+")).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", nouns.singular(F.col("word")).alias("singular"))
+
+
+#: What the driver runs for the names that QUERIES holds with typed rows: the same columns over all lines or texts of
+#: documents. The typed rows and their SQL are unit tests.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "parse_quantity": _by_line(_quantity),
+    "extract_time": _by_text(lambda: {n: durations.extract_time(F.col("head"), F.col("x"))[n] for n in ("total", "source", "long_wait")}),
+    "find_timers": _by_line(lambda: {"labels": F.array_join(F.transform(durations.find_timers(F.col("x")), lambda t: t["label"]), ", ")}),
+    "scale_servings": _by_line(lambda: {"base": measures.servings_base(F.col("x")), "doubled": measures.scale_servings(F.col("x"), 2)}),
+    "printed_metric": _by_line(lambda: {"metric": measures.printed_metric(F.col("x"))}),
+    "classify_recipes": _by_text(_classes),
+    "diagnose_errors": _by_text(lambda: {n: classify.diagnose(F.col("x"))[n] for n in ("retry", "cause")}),
+    "display_titles": _by_line(lambda: {"shown": titles.display_title(F.col("x"))}),
+    "convert_prose": _by_text(lambda: {"metric": prose.convert_text(F.col("x"))}),
+    "singular_words": _singulars,
+}
+
 ORACLE_SQL: dict[str, str] = {
     "pantry_match": f"""WITH {_MATCHED}, top AS (SELECT * FROM found WHERE missing <= 1 ORDER BY coverage DESC, missing, recipe_id LIMIT 40)
 SELECT recipe_id, n_core, n_matched, missing, coverage, o_orderpriority AS title, floor(o_totalprice / 1000)::INT AS minutes, c_name AS author

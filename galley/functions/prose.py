@@ -19,9 +19,9 @@ CUPS = rf"(?i){_NUMBER}[\s-]*cups?\b"
 
 
 def replace_each(text: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
-    """Each match of the pattern replaced by body(match). The pattern must not match empty text."""
+    """Each match of the pattern replaced by body(match), or kept where that is null (1/0, numbers too large for a long). The pattern must not match empty text."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    return F.array_join(F.zip_with(gaps, F.transform(hits, body), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, F.transform(hits, lambda hit: F.coalesce(body(hit), hit)), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
 
 
 def celsius(fahrenheit: Column) -> Column:
@@ -32,7 +32,7 @@ def celsius(fahrenheit: Column) -> Column:
 def centimetres(inches: Column) -> Column:
     """Centimetres as text: under 5 to halves, else whole, halves to even."""
     cm = inches * 2.54
-    return F.when(cm < 5, measures.short(F.bround(cm * 2, 0) / 2, 1)).otherwise(F.bround(cm, 0).cast("int").cast("string"))
+    return F.when(cm < 5, measures.short(F.bround(cm * 2, 0) / 2, 1)).otherwise(F.bround(cm, 0).try_cast("long").cast("string"))
 
 
 def convert_text(text: Column) -> Column:
