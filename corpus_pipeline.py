@@ -51,7 +51,7 @@ STAGES = [
     ("spans", repeated_spans),
     ("packing", packed),
 ]
-#: The classifier and the packing are no SQL; tests hold the pipeline against brute force.
+#: The classifier and the packing are no SQL; a test checks which ids stay, the operators' tests the rest.
 ORACLE_SQL = None
 
 
