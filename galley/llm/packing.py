@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,34 +16,67 @@ from pyspark.sql import functions as F
 
 from galley.llm import common, segments
 
-#: Pieces packed together in one task, and rounds of exchange between groups that may waste sequences.
-GROUP, ROUNDS = 32_768, 4
+#: Pieces packed together in one task; rounds of exchange between groups that may waste sequences, of either kind; and
+#: the share of a sequence, 1 / LOOSE, that is empty in those exchanged at the end.
+GROUP, ROUNDS, LOOSE = 32_768, 4, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", bin long, offset long, open boolean"
+PLACED = PIECES + ", bin long, offset long, open boolean, loose boolean"
+
+
+#: Segments the library encodes at once: what it returns for each takes many times their bytes.
+AT_ONCE = 4096
+#: Segments that are one word of letters which no normal form changes but for their case, and words to try that on.
+_LETTERS = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(f"[ \n]?([A-Za-z{_LETTERS}]+)")
+_TRIED = ["the", " The", "\nQUEENS", " forêt", " naïveté", " MAßSTAB", f" {_LETTERS}", " unbelievably", "s", " zzzqqqxxx"]
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> segments.SegmentCoder:
+def _tokenizer(path: str):
+    """The tokenizer, and a function from words that _PLAIN matches to their ids: the library's model on the lower-case
+    word, without its costly general pattern. None where the tokenizer treats such words in another way."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    whole = Tokenizer.from_file(path)
+    model, spelt = whole.model, {}
+    for c in _LETTERS:
+        parts = whole.pre_tokenizer.pre_tokenize_str(c) if whole.pre_tokenizer else []
+        spelt[ord(c)] = parts[0][0] if len(parts) == 1 else "?"
+
+    def one(word: str) -> list[int]:
+        return [x.id for x in model.tokenize(word.lower().translate(spelt))]
+
+    tried = [(x, m[1]) for x in _TRIED if (m := _PLAIN.fullmatch(x))]
+    same = all(whole.encode(x, add_special_tokens=False).ids == one(w) for x, w in tried)
+    return whole, one if same else None
+
+
+def _coder(path: str) -> segments.SegmentCoder:
+    whole, one = _tokenizer(path)
 
     def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+        out, sizes = [], []
+        for lo in range(0, len(words), AT_ONCE):
+            part = words.slice(lo, AT_ONCE).to_pylist()
+            ids = [one(m[1]) if one and (m := _PLAIN.fullmatch(w)) else None for w in part]
+            rest = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(rest, whole.encode_batch_fast([part[i] for i in rest], add_special_tokens=False), strict=True):
+                ids[i] = x.ids
+            sizes += [len(x) for x in ids]
+            out.append(np.fromiter((i for x in ids for i in x), np.uint32, sum(sizes[lo:])))
+        return np.concatenate(out), np.array(sizes, np.int64)
 
-    return segments.SegmentCoder(segments.led_by((0x20, 0x0A)), encode)
+    # The pattern splits there too, whatever follows; special tokens hold none of these signs.
+    return segments.SegmentCoder(segments.led_by((0x20, 0x0A), b".,;:!?"), encode)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1) -> DataFrame:
     """Token pieces of at most capacity: (doc_id, piece, start, length, ids_crc32). The text's ids, then end_id."""
-    common.batch_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(tokenizer)
         for unit in segments.units(batches):
-            ids, bounds = _coder(tokenizer).ids(unit.column("text"))
+            ids, bounds = coder.ids(unit.column("text"))
             ids, at, out = ids.astype("<u4"), bounds.tolist(), ([], [], [], [], [])
             end = np.array([end_id], "<u4")
             for doc, lo, hi in zip(unit.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
@@ -80,10 +114,10 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(left, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best of two families of dual feasible functions: no packing has fewer bins."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1]
-    size, best = np.arange(capacity + 1), -(-int(lengths.sum()) // capacity)
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """The best of two families of dual feasible functions: no packing has fewer bins. count: items by length, 0 to capacity."""
+    size, total_size = np.arange(capacity + 1), int((np.arange(capacity + 1) * count).sum())
+    best = -(-total_size // capacity)
     below, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
     e = np.arange(1, capacity // 2 + 1)  # sizes over capacity - e count as whole, those under e as nothing
     kept = total[capacity - e + 1] - total[e] + capacity * (below[capacity + 1] - below[capacity - e + 1])
@@ -95,58 +129,67 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int) -> DataFrame:
+def counts(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    return np.bincount(lengths, minlength=capacity + 1)
+
+
+def certified(placed: DataFrame, capacity: int) -> tuple[int, int]:
+    """Sequences of a packing, and the dual-feasible bound of all its pieces together. One row a length is gathered."""
+    rows = placed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).toArrow()
+    count = np.zeros(capacity + 1, np.int64)
+    count[np.asarray(rows["length"], np.int64)] = np.asarray(rows["n"], np.int64)
+    return int(sum(rows["bins"].to_pylist())), lower_bound(count, capacity)
+
+
+def pack(items: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """Place rows with a length of 1 to capacity: adds sequence_id and offset.
 
-    Rows are dealt evenly, whatever their ids, to groups of about GROUP rows, each packed by best-fit decreasing in
+    Rows are dealt evenly, whatever their ids, to groups of about `group` rows, each packed by best-fit decreasing in
     one task. A group whose bin count equals its dual-feasible lower bound is certified. From groups with a gap, the
-    rows of bins that are not full go to new groups and are packed again; a round is kept if it saves bins. Rows of
-    certified groups and of full bins never move. Only sums come to the driver. An empty table gives no rows.
+    rows of bins that are not full go to new groups and are packed again; a round is kept if it saves bins. At the end
+    the emptiest bins of all groups, certified ones too, exchange their rows in the same way, since the sum of the
+    groups' bounds may exceed the bound of the whole. Only sums come to the driver. An empty table gives no rows.
     """
+    names = [c.split()[0] for c in PIECES.split(", ")]
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets, left = best_fit(pdf["length"].to_numpy(), capacity)
-        gap = len(left) > lower_bound(pdf["length"].to_numpy(), capacity)
-        pdf["bin"] = pdf["g"] * GROUP * 4 + bins
-        pdf["offset"], pdf["open"] = offsets, gap & (left[bins] > 0)
-        return pdf[[c.split()[0] for c in PLACED.split(", ")]]
+    def packed(rows: DataFrame, n: int, step: int) -> DataFrame:
+        def place(pdf: pd.DataFrame) -> pd.DataFrame:
+            lengths = pdf["length"].to_numpy()
+            bins, offsets, left = best_fit(lengths, capacity)
+            gap = len(left) > lower_bound(counts(lengths, capacity), capacity)
+            pdf["bin"] = (pdf["g"] * group * 4 + bins) * (2 * ROUNDS + 1) + step
+            pdf["offset"], pdf["open"], pdf["loose"] = offsets, gap & (left[bins] > 0), left[bins] * LOOSE >= capacity
+            return pdf[[c.split()[0] for c in PLACED.split(", ")]]
 
-    def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
-        dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-n // GROUP)))))
-        return common.materialize(dealt.groupBy("g").applyInPandas(place, PLACED), name)
+        dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-n // group)))))
+        return common.materialize(dealt.groupBy("g").applyInPandas(place, PLACED), "packed")
 
     def bins_of(rows: DataFrame) -> tuple[int, int]:
         """Rows, and bins: every bin has one row at offset 0."""
         found = rows.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         return found[0], found[1]
 
-    current, n = common.materialize(items, "pieces"), None
-    closed, step = [], 0
-    n = current.count()
-    current = packed(current, n, "packed")
-    for step in range(ROUNDS):
-        moving = current.where("open")
-        n, before = bins_of(moving)
-        if before < 2:
-            break
-        again = packed(moving.drop("bin", "offset", "open"), n, "packed")
-        if bins_of(again)[1] >= before:
-            break
-        closed.append(current.where("not open").withColumn("bin", F.col("bin") * (ROUNDS + 1) + step))
-        current = again
-    else:
-        step = ROUNDS
-    out = current.withColumn("bin", F.col("bin") * (ROUNDS + 1) + step)
-    for rows in closed:
-        out = out.unionByName(rows)
-    return out.withColumnRenamed("bin", "sequence_id").drop("open")
+    items = common.materialize(items, "pieces")
+    current, step = packed(items, items.count(), 0), 0
+    for flag in ("open", "loose"):
+        for _ in range(ROUNDS):
+            moving = current.where(flag)
+            n, before = bins_of(moving)
+            if before < 2:
+                break
+            step += 1
+            again = packed(moving.select(names), n, step)
+            if bins_of(again)[1] >= before:
+                break
+            current = current.where(f"not {flag}").unionByName(again)
+    return current.withColumnRenamed("bin", "sequence_id").drop("open", "loose")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
     """Pieces of all documents with their place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A null or empty text is one piece of the end id. Rows that share an id, or have none, are packed each on its
-    own. Only documents of more than capacity ids are cut. Other columns are ignored.
+    own. Only documents of more than capacity ids are cut. Other columns are ignored; an empty table gives no rows.
     """
     return pack(pieces(docs, tokenizer, capacity), capacity)
 

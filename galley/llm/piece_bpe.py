@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ CHAR = 1 << 20
 WIDE = 1 << 22
 NONE = np.int64(2**62)
 BLANK = 0x2581
-#: Words of more symbols take one merge after the other from a heap, so that time stays near linear in length.
-LONG_WORD = 400
+#: Bytes whose cuts are found together.
+BLOCK = 4 << 20
 
 
 class PieceModel:
@@ -51,6 +51,15 @@ class PieceModel:
                     rows.append((left * WIDE + right, order[model.get_score(i)], i))
         rows.sort()
         self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        self.lone = self._lone()
+        inside = sorted({c for piece in text if len(piece) > 1 for c in piece})
+        self.kinds, self.kind = len(inside) + 1, np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in inside]] = np.arange(1, len(inside) + 1)
+        self.kind[0x20] = self.kind[BLANK]
+        self.apart = np.ones(self.kinds**2, bool)  # pairs of kinds of characters that follow each other in no piece
+        for piece in text:
+            at = self.kind[[ord(c) for c in piece]]
+            self.apart[at[:-1] * self.kinds + at[1:]] = False
         spelt = [b""] * n
         for i in normal:
             spelt[i] = model.id_to_piece(i).replace(chr(BLANK), " ").encode()
@@ -59,15 +68,48 @@ class PieceModel:
         self.spelt_sizes = np.array([len(x) for x in spelt], np.int64)
         self.spelt_starts = np.cumsum(self.spelt_sizes) - self.spelt_sizes
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
-        self.coder = segments.SegmentCoder(_cuts, self._encode)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each pair (NONE if it is no piece), and the piece it makes."""
+        """Rank of each pair (NONE if it is no piece), and its row in the table."""
         key = left * WIDE + right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), np.where(hit, self.made[at], -1)
+        return np.where(hit, self.ranks[at], NONE), np.where(hit, at, -1)
+
+    def _lone(self) -> np.ndarray:
+        """Rows (a, b) -> m whose merge may be followed, beside it, by one of no greater rank: some (m, y) or (x, m)
+        has such a rank though (b, y), or (x, a), has not. Merging several places at once could then differ from
+        merging one after the other; for all other rows it cannot, as merges elsewhere do not touch their places."""
+        left, right, lone = self.keys // WIDE, self.keys % WIDE, np.zeros(len(self.keys), bool)
+        for side, order in ((left, np.arange(len(left))), (right, np.argsort(right, kind="stable"))):
+            known = side[order]
+            lo, hi = np.searchsorted(known, self.made, "left"), np.searchsorted(known, self.made, "right")
+            row = np.repeat(np.arange(len(left)), hi - lo)
+            more = order[segments.gather(np.arange(len(known)), lo, hi - lo)]
+            better = self.ranks[more] <= self.ranks[row]
+            row, more = row[better], more[better]
+            now = self.pair(right[row], right[more])[0] if side is left else self.pair(left[more], left[row])[0]
+            lone[row[now >= self.ranks[row]]] = True
+        return lone
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of words: texts begin one, and so does a character that follows its predecessor in no piece, as no
+        merge can join the two. Blanks, digits and most signs are parted so, and so are scripts without blanks."""
+        first, lo, before = np.zeros(len(data) + 1, bool), 0, 0
+        while lo < len(data):
+            hi = min(len(data), lo + BLOCK)
+            while hi < len(data) and data[hi] & 0xC0 == 0x80:
+                hi += 1
+            part = data[lo:hi]
+            kind = self.kind.take(np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32))
+            pairs = kind.copy()
+            pairs[1:] += kind[:-1] * self.kinds
+            pairs[0] += before * self.kinds
+            first[lo:hi][(part & 0xC0) != 0x80] = self.apart.take(pairs)
+            lo, before = hi, kind[-1]
+        first[offsets[:-1]] = True
+        return np.flatnonzero(first[:-1])
 
     def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = textkit.utf8(words)
@@ -88,52 +130,58 @@ class PieceModel:
         return ids.astype(np.uint32), np.bincount(word, n, len(words)).astype(np.int64)
 
     def _merge(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rounds: each word merges its pair of least rank, the leftmost of equals; words without a pair leave."""
+        """Rounds: each word merges, at once, the leftmost of its pairs of least rank that do not overlap; words without
+        a pair leave. Words that hold a `lone` pair of least rank twice leave too: they are merged pair by pair."""
         out_word, out_symbol = [], []
-        sizes = np.bincount(word)
-        for w in np.flatnonzero(sizes > LONG_WORD):
-            done = self._merge_long(symbol[word == w].tolist())
-            out_symbol.append(np.array(done, np.int64))
-            out_word.append(np.full(len(done), w))
-        if out_word:
-            short = sizes[word] <= LONG_WORD
-            symbol, word = symbol[short], word[short]
-        rank = np.full(len(symbol), NONE)
-        made = np.full(len(symbol), -1)
         inner = np.flatnonzero(word[1:] == word[:-1])
-        rank[inner], made[inner] = self.pair(symbol[inner], symbol[inner + 1])
+        rank, row = np.full(len(symbol), NONE), np.full(len(symbol), -1)
+        rank[inner], row[inner] = self.pair(symbol[inner], symbol[inner + 1])
         while len(symbol):
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            least = np.minimum.reduceat(rank, starts)
             lengths = np.diff(np.concatenate([starts, [len(word)]]))
-            live = least < NONE
-            if not live.all():
-                stay = np.repeat(live, lengths)
-                out_word.append(word[~stay])
-                out_symbol.append(symbol[~stay])
-                word, symbol, rank, made = word[stay], symbol[stay], rank[stay], made[stay]
-                least, lengths = least[live], lengths[live]
+            least = np.minimum.reduceat(rank, starts)
+            at = np.repeat(np.arange(len(starts)), lengths)
+            best = np.flatnonzero((rank == least[at]) & (rank < NONE))
+            places = np.bincount(at[best], minlength=len(starts))
+            apart = np.zeros(len(starts), bool)
+            apart[at[best[self.lone[row[best]]]]] = True
+            apart &= places > 1
+            for w in np.flatnonzero(apart).tolist():
+                done = self._one_by_one(symbol[starts[w] : starts[w] + lengths[w]].tolist())
+                out_symbol.append(np.array(done, np.int64))
+                out_word.append(np.full(len(done), word[starts[w]]))
+            gone = apart | (places == 0)
+            if gone.any():
+                over = np.repeat((places == 0) & ~apart, lengths)
+                out_word.append(word[over])
+                out_symbol.append(symbol[over])
+                stay = np.repeat(~gone, lengths)
+                moved = np.cumsum(stay) - 1
+                best = moved[best[stay[best]]]
+                word, symbol, rank, row = word[stay], symbol[stay], rank[stay], row[stay]
                 if not len(word):
                     break
-            best = np.flatnonzero(rank == np.repeat(least, lengths))
-            best = best[np.concatenate([[True], word[best[1:]] != word[best[:-1]]])]
-            symbol[best] = made[best]
+            # Of places that follow each other, every other one, from the left of the run.
+            first = np.concatenate([[True], np.diff(best) > 1])
+            run = np.arange(len(best)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            best = best[run % 2 == 0]
+            symbol[best] = self.made[row[best]]
             keep = np.ones(len(symbol), bool)
             keep[best + 1] = False
             at = best - np.arange(len(best))
-            word, symbol, rank, made = word[keep], symbol[keep], rank[keep], made[keep]
+            word, symbol, rank, row = word[keep], symbol[keep], rank[keep], row[keep]
             again = np.unique(np.concatenate([at, at[at > 0] - 1]))
             right = np.minimum(again + 1, len(symbol) - 1)
             joined = (right > again) & (word[again] == word[right])
-            rank[again], made[again] = NONE, -1
+            rank[again], row[again] = NONE, -1
             again, right = again[joined], right[joined]
-            rank[again], made[again] = self.pair(symbol[again], symbol[right])
+            rank[again], row[again] = self.pair(symbol[again], symbol[right])
         word, symbol = np.concatenate(out_word or [word]), np.concatenate(out_symbol or [symbol])
         order = np.argsort(word, kind="stable")
         return word[order], symbol[order]
 
-    def _merge_long(self, symbols: list[int]) -> list[int]:
-        """The same merges for one very long word."""
+    def _one_by_one(self, symbols: list[int]) -> list[int]:
+        """The merges of one word whose order between places matters, as in runs of blanks."""
         flat = np.array(symbols, np.int64)
         ranks, _ = self.pair(flat[:-1], flat[1:])
         heap = [(r, i, symbols[i], symbols[i + 1]) for i, r in enumerate(ranks.tolist()) if r < NONE]
@@ -159,17 +207,22 @@ class PieceModel:
             push(i)
         return [s for s in symbols if s >= 0]
 
-    @lru_cache(maxsize=65536)  # noqa: B019  one model lives as long as its process
     def _one(self, left: int, right: int) -> tuple[int, int]:
-        rank, made = self.pair(np.array([left]), np.array([right]))
-        return int(rank[0]), int(made[0])
+        return self._table.get(left * WIDE + right, (int(NONE), -1))
+
+    @cached_property
+    def _table(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+
+    def coder(self) -> segments.SegmentCoder:
+        return segments.SegmentCoder(self.cuts, self._encode)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, coder: segments.SegmentCoder | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with begin and end ids, and the bounds of each. Null texts are empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         full = pc.greater(pc.binary_length(texts), 0)
         led = pc.if_else(full, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
-        ids, bounds = self.coder.ids(led)
+        ids, bounds = (coder or self.coder()).ids(led)
         n = np.diff(bounds)
         ends = np.cumsum(n + 2)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
@@ -193,18 +246,6 @@ class PieceModel:
         return out
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Before every run of blanks: no piece holds a blank after another character. The blank's own sign counts too."""
-    space = data == 0x20
-    first = space.copy()
-    first[1:] &= ~space[:-1]
-    if len(data) > 3:
-        sign = (data[:-3] == 0xE2) & (data[1:-2] == 0x96) & (data[2:-1] == 0x81)
-        first[3:] &= ~sign
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    return np.flatnonzero(first)
-
-
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -212,11 +253,10 @@ def model(path: str) -> PieceModel:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, ids): the ids of every whole text, begin and end ids included. A null text is empty: two ids."""
-    common.batch_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = model(path).coder()
         for unit in segments.units(batches):
-            ids, bounds = model(path).encode(unit.column("text"))
+            ids, bounds = model(path).encode(unit.column("text"), coder)
             yield pa.RecordBatch.from_arrays(
                 [unit.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))], ["id", "ids"]
             )
@@ -239,12 +279,14 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again."""
-    common.batch_rows(docs.sparkSession)
-
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again. A null or empty text
+    is two ids and an empty text; rows that share an id, or have none, are each a row; long texts are never cut; other
+    columns are ignored; an empty table gives no rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = model(path).coder()
         for unit in segments.units(batches):
-            ids, bounds = model(path).encode(unit.column("text"))
+            ids, bounds = model(path).encode(unit.column("text"), coder)
             raw, at = ids.astype("<u4").tobytes(), (bounds * 4).tolist()
             coded = [hashlib.sha256(raw[lo:hi]).hexdigest() for lo, hi in zip(at[:-1], at[1:], strict=True)]
             text = [hashlib.sha256(t).hexdigest() for t in model(path).decode(ids, bounds)]

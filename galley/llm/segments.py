@@ -1,4 +1,4 @@
-"""Tokenise the distinct white-space-led segments of many texts once each, then spell every text from them."""
+"""Tokenise the distinct segments of many texts once each, then spell every text from them."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 
 from galley.llm import textkit
 
-#: Bytes of text handled together, and segments remembered between such units in one task. Speed and memory only.
-UNIT, REMEMBER = 10 << 20, 1_500_000
+#: Bytes of text handled together; bytes that the segments remembered between such units of one task may take, with
+#: their ids; the longest segment that is remembered. Speed and memory only.
+UNIT, REMEMBER, LONGEST = 4 << 20, 32 << 20, 128
 
 
 def units(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 class SegmentCoder:
     """Ids of texts. cuts(data, offsets) gives the segments' starts, which include the starts of texts that are not
-    empty; encode gives the ids of distinct segments as (flat, sizes). No id may depend on what is beyond a segment."""
+    empty; encode gives the ids of distinct segments as (flat, sizes). No id may depend on what is beyond a segment.
+
+    One coder serves one task: what it remembers, at most REMEMBER bytes, goes with it."""
 
     def __init__(self, cuts: Callable, encode: Callable) -> None:
         self.cuts, self.encode = cuts, encode
@@ -47,7 +50,7 @@ class SegmentCoder:
 
     def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
-        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the bounds of each (texts + 1)."""
@@ -57,33 +60,49 @@ class SegmentCoder:
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
         pieces = pieces.dictionary_encode()
         codes, distinct = np.asarray(pieces.indices), pieces.dictionary
-        found = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(pc.is_null(found))
-        if len(self.known) + len(new) > REMEMBER:
-            self.forget()
-            new, found = distinct, pa.nulls(len(distinct), pa.int32())
-        at = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
-        at[at < 0] = len(self.known) + np.arange(len(new))
+        at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=self.known), -1)).astype(np.int64)
+        fresh = at < 0
+        new = distinct.filter(pa.array(fresh))
+        at[fresh] = len(self.known) + np.arange(len(new))
+        flat, sizes = self.flat, self.sizes
         if len(new):
-            flat, sizes = self.encode(new)
-            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-            self.known = pa.concat_arrays([self.known, new])
-        first = np.cumsum(self.sizes) - self.sizes
+            own, lengths = self.encode(new)
+            flat, sizes = np.concatenate([flat, own.astype(np.uint32)]), np.concatenate([sizes, lengths.astype(np.int32)])
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
         code = at[codes]
-        sizes = self.sizes[code]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return gather(self.flat, first[code], sizes), ends[np.searchsorted(starts, offsets)]
+        lengths = sizes[code]
+        out = gather(flat, first[code], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.searchsorted(starts, offsets)]
+        if len(new):
+            self._remember(new, own.astype(np.uint32), sizes[len(self.known) :])
+        return out, ends
+
+    def _remember(self, new: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        short = np.asarray(pc.binary_length(new)) <= LONGEST
+        if not short.all():
+            flat, sizes, new = flat[np.repeat(short, sizes)], sizes[short], new.filter(pa.array(short))
+        added = new.nbytes + flat.nbytes + sizes.nbytes
+        if self.known.nbytes + self.flat.nbytes + self.sizes.nbytes + added > REMEMBER:
+            self.forget()
+            if added > REMEMBER:
+                return
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
 
 
-def led_by(white: tuple[int, ...]):
-    """Cut before every run of the given bytes, and at the start of every text."""
-    table = np.zeros(256, bool)
+def led_by(white: tuple[int, ...], signs: bytes = b""):
+    """Cut before every run of the bytes in white, before every sign that follows an ASCII letter, and at the start of
+    every text."""
+    table, mark, letter = (np.zeros(256, bool) for _ in range(3))
     table[list(white)] = True
+    mark[list(signs)] = True
+    letter[65:91] = letter[97:123] = True
 
     def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         blank = table[data]
         first = blank.copy()
         first[1:] &= ~blank[:-1]
+        first[1:] |= mark[data[1:]] & letter[data[:-1]]
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         return np.flatnonzero(first)
 
