@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one serves only where that is unset and all
+    tasks run in this machine's one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-galley-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/galley-{spark.sparkContext.applicationId}"
@@ -30,7 +35,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete materialized tables that only written results have read."""
+    for df in frames:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def large(df: DataFrame) -> DataFrame:
@@ -38,11 +52,7 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Undirected pairs, smaller id first, without loops and repeats."""
-    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def dicts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[dict]:
+    """Rows of a batch as dictionaries, made a few at a time. Spark bounds batches by bytes as well as by rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield from batch.slice(at, rows).to_pylist()

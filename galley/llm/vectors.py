@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from galley.llm import common
 from galley.llm.graph import components
 
-#: Vectors in a tile, leading dimensions kept as its box, and dimensions accumulated between two bounds.
-TILE, BOX, STEP = 1024, 6, 8
-#: Vectors in a search shard, queries in a block, slots that query blocks are copied to.
-SHARD, QUERIES, SLOTS = 4096, 512, 48
+#: Vectors in a tile, tiles in a block, leading dimensions kept as a box, dimensions accumulated between two bounds.
+TILE, BLOCK, BOX, STEP = 1024, 8, 6, 8
+#: Vectors the axes are fitted on, and that seed a search's thresholds: those of least hash of the id. Speed only.
+SAMPLE = 4096
+#: Vectors in a search shard, queries in a block, and terms probed between two bounds.
+SHARD, QUERIES, PROBE = 4096, 512, 8
 
 
 def finite(column: str) -> Column:
@@ -39,32 +41,24 @@ def by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(sizes == n))
 
 
-# ---------------------------------------------------------------- near-duplicates
+def sampled(vectors: DataFrame, key: str) -> dict[int, np.ndarray]:
+    """At most SAMPLE vectors, one for an id, by their length."""
+    rows = vectors.orderBy(F.xxhash64(key), key).select(key, "embedding").limit(SAMPLE).toArrow().combine_chunks()
+    once = np.unique(np.asarray(rows[key]), return_index=True)[1]
+    parts = [p for b in rows.to_batches() for p in by_length(b.take(pa.array(once)), "embedding")]
+    return {x.shape[1]: x.astype(float) for x in (matrix(p.column("embedding"), p.num_rows) for p in parts)}
 
 
-def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Per vector length, the axes of most variance first, from second moments of all unit vectors summed in Spark.
+# ---------------------------------------------------------------- near-duplicates
 
-    What comes to the driver is a matrix for each length of vectors. Any axes give the same links; good ones stop early.
-    """
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for batch in by_length(whole, "embedding"):
-                x = unit(matrix(batch.column("embedding"), batch.num_rows))
-                sums[x.shape[1]] = sums.get(x.shape[1], 0) + x.T @ x
-        for n, m in sums.items():
-            i = np.arange(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n * n, n)), pa.array(np.repeat(i, n)), pa.array(np.tile(i, n)), pa.array(m.ravel())], ["n", "i", "j", "v"])
-
-    rows = vectors.select("embedding").mapInArrow(moments, "n long, i long, j long, v double").groupBy("n", "i", "j").agg(F.sum("v").alias("v")).toArrow()
-    n, i, j, v = (np.asarray(rows[c]) for c in ("n", "i", "j", "v"))
+def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Per vector length of the sample, the axes of most variance first. Any axes give the same links; good ones stop
+    early. Lengths that the sample has none of keep their own axes."""
     out = {}
-    for size in np.unique(n).tolist():
-        m, at = np.zeros((size, size)), n == size
-        m[i[at], j[at]] = v[at]
-        out[size] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]
+    for size, x in sampled(vectors, "node").items():
+        u = unit(x)
+        out[size] = np.linalg.eigh(u.T @ u)[1][:, ::-1]
     return out
 
 
@@ -74,44 +68,76 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _rotated(basis):
+def turned(u: np.ndarray, basis: dict[int, np.ndarray]) -> np.ndarray:
+    return u @ basis[u.shape[1]] if u.shape[1] in basis else u
+
+
+PLACED = "label long, dim long, c0 long, c1 long, lead double, node long, size long, x binary"
+
+
+def _placed(basis, reach: float):
+    """Each vector with its cells along the two leading axes, as wide as links reach, and its third component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_length(whole, "embedding"):
-                u = unit(matrix(batch.column("embedding"), batch.num_rows))
-                y = u @ basis.value[u.shape[1]]
-                data = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (u, y)]
-                size = pa.array(np.full(len(u), u.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("label"), size, pa.array(y[:, 0].copy()), batch.column("node"), batch.column("size"), *data], ["label", "dim", "lead", "node", "size", "u", "y"])
+                x = matrix(batch.column("embedding"), batch.num_rows)
+                y = turned(unit(x), basis.value)
+                y = np.pad(y, ((0, 0), (0, max(0, 3 - y.shape[1]))))
+                cells = [pa.array(np.floor(y[:, i] / reach).astype(np.int64)) for i in (0, 1)]
+                data = pa.array([r.tobytes() for r in np.ascontiguousarray(x.astype(float))], pa.binary())
+                if x.dtype == np.float32:
+                    data = pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+                dim = pa.array(np.full(len(x), x.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("label"), dim, *cells, pa.array(y[:, 2].copy()), batch.column("node"), batch.column("size"), data],
+                    [c.split()[0] for c in PLACED.split(", ")],
+                )
 
     return run
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of at most TILE vectors of one label, in the order of their leading component."""
-    names = ["tile", "label", "dim", "lo", "hi", "node", "size", "u", "y"]
-    held, key, number, base = [], None, 0, TaskContext.get().partitionId() << 32
-
-    def close() -> pa.RecordBatch:
-        nonlocal number
-        number += 1
-        box = np.stack([np.frombuffer(r["y"], float)[:BOX] for r in held])
-        many = lambda c, t: pa.array([np.array([r[c] for r in held], t).tobytes()], pa.binary())
-        join = lambda c: pa.array([b"".join(r[c] for r in held)], pa.binary())
-        edge = lambda x: pa.array([x.tolist()], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([base + number]), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), edge(box.min(0)), edge(box.max(0)), many("node", np.int64), many("size", np.int64), join("u"), join("y")], names
-        )
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (len(held) == TILE or key != (row["label"], row["dim"])):
-                yield close()
-                held = []
-            key = (row["label"], row["dim"])
-            held.append(row)
-    if held:
-        yield close()
+TILES = "block long, tile long, label long, dim long, lo array<double>, hi array<double>, node binary, size binary, x binary"
+
+
+def floats(data: bytes, d: int) -> np.ndarray:
+    """Vectors as they were stored, in single or double precision; told apart by their bytes in a tile's first row."""
+    return np.frombuffer(data[1:], np.float32 if data[:1] == b"4" else np.float64).reshape(-1, d)
+
+
+def _tiles(basis, limit: int, many: int):
+    """Runs of at most limit vectors of one label in the order given; many tiles in a row are a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, number, block, base = [], None, 0, 0, TaskContext.get().partitionId() << 32
+        started = None
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, block, started
+            if key != started or number % many == 0:
+                block, number, started = block + 1, 0, key
+            number += 1
+            wide = len(held[0]["x"]) == 8 * key[1]
+            data = (b"8" if wide else b"4") + b"".join(r["x"] for r in held)
+            box = turned(unit(floats(data, key[1])), basis.value)[:, :BOX]
+            pack = lambda c: pa.array([np.array([r[c] for r in held], np.int64).tobytes()], pa.binary())
+            edge = lambda x: pa.array([x.tolist()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([base + block]), pa.array([number]), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), edge(box.min(0)), edge(box.max(0)), pack("node"), pack("size"), pa.array([data], pa.binary())],
+                [c.split()[0] for c in TILES.split(", ")],
+            )
+
+        for batch in batches:
+            for row in common.dicts(batch):
+                if held and (len(held) == limit or key != (row["label"], row["dim"])):
+                    yield close()
+                    held = []
+                key = (row["label"], row["dim"])
+                held.append(row)
+        if held:
+            yield close()
+
+    return run
 
 
 def linked(ya: np.ndarray, yb: np.ndarray, ua: np.ndarray, ub: np.ndarray, least: float, upper: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -162,67 +188,96 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(least: float):
-    """Per tile pair: the links of each vector, counted with copies, and edges that connect what links connect."""
+def _compare(least: float, reach: float, basis):
+    """Of each pair of blocks, tiles of the first come first and are held; those of the second are met one by one. Per
+    pair of tiles near enough: the links of each vector, counted with copies, and edges that connect what links do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                d, same = r["dim"], r["tile"] == r["other"]
-                node, size = (np.concatenate([np.frombuffer(r[c + s], np.int64) for s in ("", "2")]) for c in ("node", "size"))
-                (ua, ya), (ub, yb) = (tuple(np.frombuffer(r[c + s], float).reshape(-1, d) for c in "uy") for s in ("", "2"))
-                i, j = linked(ya, yb, ua, ub, least, same)
-                if not len(i):
+            for r in common.dicts(batch, 16):
+                if pair != r["pair"]:
+                    pair, held = r["pair"], []
+                u = unit(floats(r["x"], r["dim"]))
+                y = turned(u, basis.value)
+                mine = (np.frombuffer(r["node"], np.int64), np.frombuffer(r["size"], np.int64), u, y, y[:, :BOX].min(0), y[:, :BOX].max(0))
+                if r["side"] == 0:
+                    held.append(mine)
+                if r["side"] == 0 and not r["alone"]:
                     continue
-                j = j if same else j + len(ya)
-                count = np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node))
-                root = _forest(len(node), i, j)
-                at = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]]), pa.array(count[at].astype(np.int64))], ["a", "b", "n"])
+                for other in held:
+                    gap = np.maximum(0, np.maximum(other[4] - mine[5], mine[4] - other[5]))
+                    if (gap * gap).sum() > reach * reach:
+                        continue
+                    same = other is mine
+                    i, j = linked(other[3], y, other[2], u, least, same)
+                    if not len(i):
+                        continue
+                    node, size = (other[:2] if same else (np.concatenate([a, b]) for a, b in zip(other[:2], mine[:2], strict=True)))
+                    j = j if same else j + len(other[0])
+                    count = np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node))
+                    root = _forest(len(node), i, j)
+                    at = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]]), pa.array(count[at].astype(np.int64))], ["a", "b", "n"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def _block_pairs(tiles: DataFrame, reach: float) -> DataFrame:
+    """(pair, a, b, alone): blocks of one label whose boxes on the leading axes are within reach, each with itself too."""
+    ends = lambda c, f: F.array(*[f(F.get(F.col(c), i)) for i in range(BOX)])
+    blocks = tiles.groupBy("block", "label", "dim").agg(ends("lo", F.min).alias("lo"), ends("hi", F.max).alias("hi"))
+    cell = lambda c: F.floor(F.col(c)[0] / reach)
+    x = blocks.withColumn("cell", F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1))).alias("x")
+    y = blocks.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).alias("y")
+    gap = F.zip_with(F.arrays_zip("x.lo", "x.hi"), F.arrays_zip("y.lo", "y.hi"), lambda p, q: F.greatest(F.lit(0.0), p["lo"] - q["hi"], q["lo"] - p["hi"]))
+    near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + F.coalesce(g * g, F.lit(0.0))) <= reach * reach
+    pairs = x.join(common.large(y), ["label", "dim", "cell"]).where(F.col("x.block") <= F.col("y.block")).where(near)
+    pairs = pairs.select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
+    return pairs.select(F.xxhash64("a", "b").alias("pair"), "a", "b", (F.col("a") == F.col("b")).alias("alone"))
+
+
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE, block: int = BLOCK
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row.
 
     Two rows link when their labels are equal and not null and the cosine of their vectors is at least `least`, in
     double precision. Rows with a null id or label, or whose vector is null, empty, zero, or holds a null or
     non-finite component, link with nothing; vectors of different length never link. Equal vectors of one label are a
     class, compared once and counted with its size; rows that share an id each count. component_id is the smallest id
-    reachable, kept whether that is the row's own. Tiles hold at most TILE vectors however frequent a label is, and
-    only tiles whose boxes on the leading axes are near enough meet.
+    reachable, kept whether that is the row's own. Other columns are ignored; an empty table gives no rows.
+
+    Vectors are ordered by cells of the two leading axes and by the third, and cut into tiles of at most `tile`
+    vectors, `block` tiles to a block, however frequent a label is. Only blocks and tiles whose boxes on the leading
+    axes are near enough meet. A task holds one block and streams the other, so that a vector moves once for each
+    block its own may meet, not once for each tile.
     """
-    common.batch_rows(vectors.sparkSession, 2000)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"), F.col(f"`{label_col}`").cast("long").alias("label"))
     good = finite("embedding") & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
     classes = common.materialize(classes, "classes")
     basis = vectors.sparkSession.sparkContext.broadcast(axes(classes))
-    turned = classes.mapInArrow(_rotated(basis), "label long, dim long, lead double, node long, size long, u binary, y binary")
-    dealt = turned.repartitionByRange("label", "dim", "lead").sortWithinPartitions("label", "dim", "lead")
-    tiles = dealt.mapInArrow(_tiles, "tile long, label long, dim long, lo array<double>, hi array<double>, node binary, size binary, u binary, y binary")
-    tiles = common.materialize(tiles, "tiles")
-
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
-    meta = tiles.select("tile", "label", "dim", "lo", "hi")
-    cell = lambda c: F.floor(F.col(c)[0] / reach)
-    x = meta.withColumn("cell", F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1))).alias("x")
-    y = meta.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).alias("y")
-    gap = F.zip_with(F.arrays_zip("x.lo", "x.hi"), F.arrays_zip("y.lo", "y.hi"), lambda p, q: F.greatest(F.lit(0.0), p["lo"] - q["hi"], q["lo"] - p["hi"]))
-    pairs = x.join(y, ["label", "dim", "cell"]).where(F.col("x.tile") <= F.col("y.tile"))
-    pairs = pairs.where(F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= reach * reach)
-    pairs = common.materialize(pairs.select(F.col("x.tile").alias("tile"), F.col("y.tile").alias("other")).distinct(), "pairs")
-    other = tiles.select(*[F.col(c).alias(n) for c, n in (("tile", "other"), ("node", "node2"), ("size", "size2"), ("u", "u2"), ("y", "y2"))])
-    common.batch_rows(vectors.sparkSession, 8)
-    met = pairs.join(tiles.drop("lo", "hi"), "tile").join(other, "other").repartition(F.col("tile"), F.col("other"))
-    found = common.materialize(met.mapInArrow(_compare(least), "a long, b long, n long"), "links")
+    placed = classes.mapInArrow(_placed(basis, reach), PLACED)
+    order = ["label", "dim", "c0", "c1", "lead"]
+    tiles = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_tiles(basis, tile, block), TILES)
+    tiles = common.materialize(tiles, "tiles")
+    pairs = common.materialize(_block_pairs(tiles, reach), "pairs")
+    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = tiles.select("block", "tile", "dim", "node", "size", "x")
+    first = pairs.select("pair", F.col("a").alias("block"), "alone", F.lit(0).alias("side"))
+    second = pairs.where("not alone").select("pair", F.col("b").alias("block"), "alone", F.lit(1).alias("side"))
+    met = data.join(common.large(first.union(second)), "block").repartition(min(3 * pairs.count() + 1, 8 * slots), "pair").sortWithinPartitions("pair", "side", "tile")
+    found = common.materialize(met.mapInArrow(_compare(least, reach, basis), "a long, b long, n long"), "links")
+    common.release(tiles, pairs)
     counts = common.materialize(found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")), "counts")
     groups = common.materialize(components(found.select("a", "b")), "groups")
     named = classes.join(counts, "node", "left").join(groups, "node", "left").select(
         F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )
     named = common.materialize(named, "named")
+    common.release(classes, counts, found)
     out = rows.join(named, good & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -236,8 +291,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- exact top-k
 
 
-def _packed(limit: int, scale: int):
-    """Blocks of at most limit vectors of one length: ids, and floor(scale * component) as 64-bit integers."""
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), which doubles hold exactly."""
+    return np.floor(x.astype(float) * scale)
+
+
+PACKED = "block long, dim long, ids binary, x binary, bars binary"
+
+
+def _packed(limit: int, scale: int, seeds=None, k: int = 0):
+    """Blocks of at most limit vectors of one length: ids, and floor(scale * component). With seeds, a sample of the
+    vectors by length, one for an id, also a lower bound of each query's k-th best score: the sample's next one, as one
+    of the sample may be the query's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, base = 0, TaskContext.get().partitionId() << 32
@@ -247,14 +312,21 @@ def _packed(limit: int, scale: int):
             nonlocal number
             number += 1
             ids, parts = zip(*held.pop(dim), strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([base + number]), pa.array([dim]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["block", "dim", "ids", "x"]
-            )
-
-        for whole in batches:
-            for batch in by_length(whole, "embedding"):
-                x = np.floor(matrix(batch.column("embedding"), batch.num_rows).astype(float) * scale)
-                x = np.clip(x, -(2.0**62), 2.0**62).astype(np.int64)
+            x, bars = np.concatenate(parts), b""
+            if seeds is not None:
+                known = seeds.value.get(dim, np.zeros((0, dim)))
+                bars = np.full(len(x), -np.inf)
+                if len(known) > k and exact(x, known) is not object:
+                    bars = -np.partition(-(x @ known.T), k, axis=1)[:, k]
+                bars = bars.tobytes()
+            data = x.astype(np.int16) if np.abs(x).max(initial=0) < 2**15 else x
+            blob = (b"2" if data.dtype == np.int16 else b"8") + data.tobytes()
+            columns = [pa.array([base + number]), pa.array([dim]), *(pa.array([b], pa.binary()) for b in (np.concatenate(ids).tobytes(), blob, bars))]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PACKED.split(", ")])
+
+        for batch_of_any in batches:
+            for batch in by_length(batch_of_any, "embedding"):
+                x = whole(matrix(batch.column("embedding"), batch.num_rows), scale)
                 for at in range(0, len(x), limit):
                     dim = x.shape[1]
                     if sum(len(i) for i, _ in held.get(dim, [])) + len(x[at : at + limit]) > limit:
@@ -266,77 +338,139 @@ def _packed(limit: int, scale: int):
     return run
 
 
-def max_score(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query, ids and scores that hold its k best of this shard, the query's own id left out.
+def unpacked(blob: bytes, d: int) -> np.ndarray:
+    return np.frombuffer(blob[1:], np.int16 if blob[:1] == b"2" else np.float64).reshape(-1, d).astype(float)
+
+
+def exact(q: np.ndarray, x: np.ndarray):
+    """The type whose sums of these products are exact: single or double precision, or Python's integers."""
+    wide = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    return np.float32 if wide < 2**23 else np.float64 if wide < 2**52 else object
+
+
+def typed(x: np.ndarray, kind) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(x) if kind is object else x.astype(kind)
+
+
+class Shard:
+    """Postings of some vectors: for each dimension, a term, the vectors with a component other than 0 and its value. A
+    term that most vectors hold is kept as one value for each vector, in their order. lo and hi bound a term's values."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, kind) -> None:
+        self.ids, self.x, self.kind = ids, typed(x, kind), kind
+        self.lo, self.hi = x.min(0), x.max(0)
+        full = (x != 0).mean(0) >= 0.25
+        self.dense, self.where = np.flatnonzero(full), np.full(x.shape[1], -1)
+        self.where[self.dense] = np.arange(len(self.dense))
+        self.lists = np.ascontiguousarray(self.x[:, self.dense].T)
+        self.sparse = {t: (at, self.x[at, t]) for t in np.flatnonzero(~full).tolist() for at in [np.flatnonzero(x[:, t])]}
+        self.norms = np.sqrt((x * x).sum(1)) if kind is not object else None
 
-    Each dimension is a term; its bounds are what the shard's least and greatest component can give. Terms of the
-    widest bounds are essential and are scored for all; the others are probed only for vectors whose essential score
-    plus the others' bound, or the product of the norms left, still reaches the k-th best lower bound.
+    def traverse(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of weight times value over the postings of the terms, per vector."""
+        rows = self.where[terms]
+        full = rows >= 0
+        total = weights[full] @ self.lists[rows[full]] if full.any() else np.zeros(len(self.ids), self.kind)
+        for t, w in zip(terms[~full].tolist(), weights[~full], strict=True):
+            at, values = self.sparse[t]
+            total[at] += w * values
+        return total
+
+
+def max_score(shard: Shard, own: int, q: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ids and scores that hold the k best of the shard for one query whose own id is left out, as far as they reach
+    bar, a score that k vectors are known to reach; and the bar, raised.
+
+    Each term's bound is the most that its weight and the shard's values can give. Terms in ascending order of bound
+    are non-essential as long as together they stay below the bar, by the sum of their bounds or by the product of
+    norms: vectors cannot reach it by them alone. If no term is essential the shard is left. Else the postings of the
+    essential terms are traversed; the best of them are scored in full, which raises the bar; and the non-essential
+    terms are probed, those of greatest bound first, for the vectors that can still reach it.
     """
-    wide = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    kind = float if wide < 2**52 else object  # doubles hold these sums exactly, or Python's integers do
-    ends = np.stack([x.min(0), x.max(0)]).astype(float)
-    span = np.abs(q.astype(float)).mean(0) * (ends[1] - ends[0])
-    order = np.argsort(-span, kind="stable")
-    half = max(1, int(np.searchsorted(np.cumsum(span[order]), 0.7 * span.sum())) + 1)
-    essential, others = order[:half], order[half:]
-    qf, xf = q.astype(kind), x.astype(kind)
-    part = qf[:, essential] @ xf[:, essential].T
-    if kind is float and len(others):
-        each = q[:, others, None].astype(float) * ends.T[None, others]
-        norm = np.sqrt((q[:, others].astype(float) ** 2).sum(1))[:, None] * np.sqrt((x[:, others].astype(float) ** 2).sum(1))[None]
-        up, down = np.minimum(each.max(2).sum(1)[:, None], norm * (1 + 1e-12) + 1), np.maximum(each.min(2).sum(1)[:, None], -norm * (1 + 1e-12) - 1)
-    else:
-        up = down = None
-        part = qf @ xf.T
-    for r in range(len(qid)):
-        own = ids == qid[r]
-        if up is None:
-            at = np.flatnonzero(~own)
-            score = part[r, at]
-        else:
-            low = np.where(own, -np.inf, part[r] + down[r])
-            bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            at = np.flatnonzero((part[r] + up[r] >= bar) & ~own)
-            score = part[r, at] + xf[np.ix_(at, others)] @ qf[r, others]
-        score = np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in score], np.int64) if kind is object else score.astype(np.int64)
-        best = np.lexsort((ids[at], -score))[:k]
-        yield int(qid[r]), ids[at[best]], score[best]
+    w = typed(q, shard.kind)
+    bound = np.maximum(q * shard.lo, q * shard.hi)
+    order = np.argsort(bound, kind="stable")
+    sums = np.cumsum(bound[order])
+    norms = shard.norms
+    if norms is not None:
+        weight = np.sqrt(np.cumsum(q[order] ** 2))
+        sums = np.minimum(sums, weight * float(norms.max(initial=0)) * (1 + 1e-6) + 1)
+    else:  # integers beyond doubles: all terms are essential
+        bar = -np.inf
+    cut = int(np.argmax(sums >= bar)) if (sums >= bar).any() or norms is None else len(order)
+    empty = np.zeros(0, np.int64)
+    if cut == len(order):
+        return empty, np.zeros(0, shard.kind), bar
+    score = shard.traverse(order[cut:], w[order[cut:]])
+    at = np.flatnonzero(shard.ids != own)
+    score = score[at]
+    rest = order[:cut][::-1]
+    if len(at) > k and len(rest):
+        best = at[np.argpartition(-score, k)[:k]]
+        bar = max(bar, float((shard.x[best] @ w).min()))
+    for lo in range(0, len(rest), PROBE):
+        more = float(sums[cut - lo - 1])  # of the terms not probed yet
+        alive = score + np.minimum(more, weight[cut - lo - 1] * norms[at] * (1 + 1e-6) + 1) >= bar
+        at, score = at[alive], score[alive]
+        terms = rest[lo : lo + PROBE]
+        score = score + shard.x[np.ix_(at, terms)] @ w[terms]
+    reach = score >= bar
+    at, score = at[reach], score[reach]
+    top = np.lexsort((shard.ids[at], -score))[:k]
+    if len(top) == k:
+        bar = max(bar, float(score[top[-1]]))
+    return shard.ids[at[top]], score[top], bar
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard, bars = None, None, {}
         for batch in batches:
-            for r in batch.to_pylist():
-                d = r["dim"]
-                args = [np.frombuffer(r[c], np.int64) for c in ("qids", "q", "ids", "x")]
-                found = list(max_score(args[0], args[1].reshape(-1, d), args[2], args[3].reshape(-1, d), k))
-                n = [len(i) for _, i, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([f[0] for f in found], n).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"]
-                )
+            for r in common.dicts(batch, 8):
+                ids, q = np.frombuffer(r["qids"], np.int64), unpacked(r["q"], r["dim"])
+                x = unpacked(r["x"], r["dim"]) if held is None or held[0] != r["block"] else held[1]
+                kind = exact(q, x)
+                if held is None or held[0] != r["block"] or shard.kind is not kind:
+                    held, shard = (r["block"], x), Shard(np.frombuffer(r["ids"], np.int64), x, kind)
+                if len(bars) == 1024:  # thresholds of blocks met in this task save time only
+                    bars.clear()
+                known = bars.setdefault(r["asked"], np.frombuffer(r["bars"], float).copy())
+                out = ([], [], [])
+                for i, own in enumerate(ids.tolist()):
+                    found, score, known[i] = max_score(shard, own, q[i], known[i], k)
+                    for column, value in zip(out, (np.full(len(found), own), found, score), strict=True):
+                        column.append(value)
+                score = np.concatenate(out[2])
+                if len(score) and not -(2**63) <= min(score) <= max(score) < 2**63:
+                    raise OverflowError("a score is beyond 64 bits")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out[:2]] + [pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best integer inner products of each query with all other rows.
 
     Components are floor(scale * x), x as double. Ties go to the smaller id. Rows with a null id, or a vector that is
     null, empty, or holds a null or non-finite component, take no part; vectors of different length do not meet. Of
-    query rows that share an id one is asked, that of the least vector; candidates with the query's id are its own.
-    Scores outside 64 bits are cut to the range. Query blocks are copied to SLOTS slots, in which each meets the shards dealt there; each pair sends k
-    rows a query, and only those are ranked.
+    query rows that share an id one is asked, that of the least vector; candidates with the query's id are its own. A
+    query with fewer candidates has fewer rows. A score beyond 64 bits raises an error. Other columns are ignored; an
+    empty table gives no rows.
+
+    Vectors are cut into shards, queries into blocks. Each block is sent to as many slots as there are shuffle
+    partitions, where it meets the shards dealt there; each meeting gives at most k rows a query, and those are ranked.
     """
-    common.batch_rows(vectors.sparkSession, 2000)
+    spark = vectors.sparkSession
     rows = vectors.where(finite("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding", is_query.alias("asks"))
-    shards = common.materialize(rows.select("vec_id", "embedding").mapInArrow(_packed(SHARD, scale), "block long, dim long, ids binary, x binary"), "shards")
+    shards = common.materialize(rows.select("vec_id", "embedding").mapInArrow(_packed(shard, scale), PACKED), "shards")
+    seeds = spark.sparkContext.broadcast({d: whole(x, scale) for d, x in sampled(rows.select("vec_id", "embedding"), "vec_id").items()})
     asked = rows.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = common.materialize(asked.mapInArrow(_packed(QUERIES, scale), "block long, dim long, ids binary, x binary"), "queries")
-    copies = blocks.select("dim", F.col("ids").alias("qids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-    dealt = shards.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(SLOTS)).cast("int"))
-    common.batch_rows(vectors.sparkSession, 4)
-    found = dealt.join(copies, ["slot", "dim"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    blocks = common.materialize(asked.mapInArrow(_packed(block, scale, seeds, k), PACKED), "queries")
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = blocks.select("dim", F.col("block").alias("asked"), F.col("ids").alias("qids"), F.col("x").alias("q"), "bars", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    dealt = shards.drop("bars").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
+    met = dealt.join(common.large(copies), ["slot", "dim"])
+    found = met.select("dim", "block", "ids", "x", "asked", "qids", "q", "bars").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
