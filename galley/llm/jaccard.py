@@ -167,19 +167,20 @@ class JaccardJoin:
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z folded. A text with fewer than k words is one shingle; a null text,
     or one without words, has an empty set and links with nothing. Documents with equal sets form a class, named
-    by its smallest id; all further work is on classes. Rows that share an id count as one document that links
+    by its smallest id; all further work is on classes. A shingle stands for its 64 bits of a hash over XXH3's hashes of
+    its words, so that two texts of n and m shingles are mistaken in one with a chance of n * m / 2**64. Rows that share an id count as one document that links
     where any of its texts does; rows without an id are returned without a component. Other columns are ignored.
 
     Index lists are blocked by set size and hold the position of the n-gram in the set's prefix, so that a probe
     skips blocks of unfit size and entries too far back to reach the needed overlap. Answers are shared between
     highly similar sets: each class is first compared with a leader that agrees on most minimum hashes, and two
     classes known to be in one group need no comparison, so that index lists within one group vanish and a group
-    of thousands of near copies costs no more rows than it has members.
+    of thousands of near copies costs no more rows than it has members. That serves groups(); links() and linked()
+    compare those too. An empty table gives no rows.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> None:
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
-        common.batch_rows(self.spark, 400)
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.sets = common.materialize(self.docs.mapInArrow(_sets(k, num, den, self._table()), SETS), "sets")
         full = self.sets.where("n > 0 and id is not null")
@@ -206,7 +207,11 @@ class JaccardJoin:
         chosen = self.docs.mapInArrow(_stored(self.k, bloom(ids)), "id long, grams binary")
         grams = common.materialize(chosen.join(common.large(ids), "id", "left_semi"), "grams")
         out = pairs.join(common.large(grams.toDF("a", "left")), "a").join(common.large(grams.toDF("b", "right")), "b")
-        return out.sortWithinPartitions("b", F.length("left"), "a").mapInArrow(_compare(self.num, self.den), "a long, b long").distinct()
+        out = out.sortWithinPartitions("b", F.length("left"), "a").mapInArrow(_compare(self.num, self.den), "a long, b long").distinct()
+        out = common.materialize(out, "verified")
+        common.release(pairs, grams, *self.used)
+        self.used = []
+        return out
 
     def _leaders(self) -> DataFrame:
         nodes = self.classes.select(F.col("node").alias("id"))
@@ -216,6 +221,7 @@ class JaccardJoin:
         liked = common.materialize(mins.groupBy("id").agg(F.sum("c").alias("liked")), "liked")
         first = F.max(F.struct("liked", (-F.col("id")).alias("id")))
         lead = mins.join(liked, "id").groupBy("i", "m").agg(first.alias("top"), F.min("id").alias("least"))
+        self.used = [met, mins, liked]
         lead = lead.select("i", "m", F.explode(F.array_distinct(F.array(-F.col("top.id"), "least"))).alias("a"))
         mins = mins.join(common.materialize(lead, "lead"), ["i", "m"]).where("a <> id")
         found = mins.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.countDistinct("i").alias("count"))
@@ -234,6 +240,7 @@ class JaccardJoin:
         entries = rows.mapInArrow(_entries(bloom(mixed.select("h"))), "node long, n long, grp long, pos int, h long, prev long, next long")
         entries = entries.withColumn("block", F.floor(F.log("n") / width).cast("int"))
         entries = common.materialize(entries.join(common.large(mixed), "h"), "entries")
+        self.used = [rows, mixed, entries]
         # A block is one size class: partners of n are in n's own and the two beside it.
         probe = entries.where("grp <> lo").withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))))
         x, y = probe.alias("x"), entries.alias("y")
@@ -255,14 +262,29 @@ class JaccardJoin:
         return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
 
     def links(self) -> DataFrame:
+        """(a, b): every link between two classes, named by their smallest ids, a < b."""
+        return self._verified(self._candidates(self.classes.select("node", F.col("node").alias("component"))))
+
+    def spanning(self) -> DataFrame:
         """(a, b): links between classes, a < b, enough to connect every group of linked classes."""
-        near = common.materialize(self._verified(self._leaders()), "near")
+        near = self._verified(self._leaders())
         far = self._verified(self._candidates(components(near)))
         return common.materialize(near.union(far).distinct(), "links")
 
+    def linked(self) -> DataFrame:
+        """(id, n_shingles, node, n_links): each row's class, and the number of rows beside it that are in the same
+        class or in one linked with it."""
+        sizes = self.members().where("node is not null").groupBy("node").agg(F.count("*").alias("size"))
+        sizes = common.materialize(sizes, "sizes")
+        pairs = self.links()
+        both = pairs.union(pairs.select("b", "a"))
+        near = both.join(sizes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("more"))
+        sizes = common.materialize(sizes.join(near, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "counts")
+        return self.members().join(common.large(sizes), "node", "left").select("id", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def groups(self) -> DataFrame:
         """(id, n_shingles, component): one row per row of docs; component is the smallest id reachable by links."""
-        found = common.materialize(components(self.links()), "components")
+        found = common.materialize(components(self.spanning()), "components")
         return self.members().join(common.large(found), "node", "left").select(
             "id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component")
         )

@@ -34,7 +34,12 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends, solid[:-1][same], solid[1:][same], row, np.arange(len(row)) - np.searchsorted(row, row)
 
 
-def _chunks(bodies=None):
+def hashed(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A rolling hash of each range of bytes."""
+    return textkit.Rolling(textkit._TABLE[data], textkit._R).of(lo, hi)
+
+
+def _chunks(hash_of, bodies=None):
     """Rows of chunks: id, key, number in the text, hash; with a Bloom filter of hashes, the bytes of those in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +49,7 @@ def _chunks(bodies=None):
                 starts, ends, first, last, row, number = chunk_bounds(data, offsets)
                 lo, hi = starts[first], ends[last]
                 bare = hi - (data[hi - 1] == 10) if len(hi) else hi  # a last line may lack its newline
-                h = textkit.Rolling(textkit._TABLE[data], textkit._R).of(lo, bare).view(np.int64)
+                h = hash_of(data, lo, bare).view(np.int64)
                 keep = np.arange(len(h)) if bodies is None else np.flatnonzero(may_hold(bodies.value, h))
                 rows = batch.select(["id", "key"]).take(pa.array(row[keep]))
                 columns, names = [*rows.columns, pa.array(number[keep].astype(np.int32)), pa.array(h[keep])], ["id", "key", "at", "h"]
@@ -67,7 +72,7 @@ def _drop(text: str, cuts: list[int]) -> str:
     return b"".join(data[a:b].tobytes() for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)).decode()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=hashed) -> DataFrame:
     """(id, key, cuts): numbers of the chunks of a row that repeat an earlier one, byte for byte.
 
     The first of equal chunks, by id (null ids first), key and place, stays, and so does one that shares a line with
@@ -75,27 +80,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     moves; only the bytes of chunks whose hash repeats are shuffled, and each is compared with the first of its hash.
     Chunks that share a hash but not the bytes are compared among themselves in a second step.
     """
-    common.batch_rows(docs.sparkSession)
     rows = rewrite.keyed(docs, id_col, text_col)
-    chunks = common.materialize(rows.mapInArrow(_chunks(), "id long, key long, at int, h long"), "chunks")
+    chunks = common.materialize(rows.mapInArrow(_chunks(hash_of), "id long, key long, at int, h long"), "chunks")
     again = common.materialize(chunks.groupBy("h").count().where("count > 1").select("h"), "again")
     place = F.struct("id", "key", "at")
-    bodies = rows.mapInArrow(_chunks(bloom(again)), "id long, key long, at int, h long, body binary")
+    bodies = rows.mapInArrow(_chunks(hash_of, bloom(again)), "id long, key long, at int, h long, body binary")
     bodies = common.materialize(bodies.join(common.large(again), "h", "left_semi").withColumn("place", place), "bodies")
-    first = common.materialize(bodies.groupBy("h").agg(F.min("place").alias("place")), "first")
+    least = common.materialize(bodies.groupBy("h").agg(F.min("place").alias("place")), "first")
     own = bodies.select("h", "place", "body")
-    first = own.join(common.large(first), ["h", "place"], "left_semi").dropDuplicates(["h"]).select("h", F.col("place").alias("kept"), F.col("body").alias("held"))
-    pairs = own.join(common.large(common.materialize(first, "held")), "h")
+    first = own.join(common.large(least), ["h", "place"], "left_semi").dropDuplicates(["h"]).select("h", F.col("place").alias("kept"), F.col("body").alias("held"))
+    held = common.materialize(first, "held")
+    pairs = own.join(common.large(held), "h")
     pairs = common.materialize(pairs.select("h", "place", "kept", F.when(F.col("body") != F.col("held"), F.col("body")).alias("body")), "compared")
     apart = "place <> kept and not (place.id <=> kept.id and place.key = kept.key and place.at = kept.at + 1)"
     same = pairs.where("body is null").where(apart).select("place")
     clash = pairs.where("body is not null")
-    least = clash.groupBy("h", "body").agg(F.min("place").alias("kept"))
-    odd = clash.drop("kept").join(least, ["h", "body"]).where(apart).select("place")
-    return same.union(odd).groupBy("place.id", "place.key").agg(F.collect_set("place.at").alias("cuts"))
+    leading = clash.groupBy("h", "body").agg(F.min("place").alias("kept"))
+    odd = clash.drop("kept").join(leading, ["h", "body"]).where(apart).select("place")
+    cuts = same.union(odd).groupBy("place.id", "place.key").agg(F.collect_set("place.at").alias("cuts"))
+    cuts = common.materialize(cuts, "cuts")
+    common.release(chunks, again, bodies, least, held, pairs)
+    return cuts
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=hashed) -> DataFrame:
     """docs without the passages of two lines or more that repeat an earlier one anywhere in docs.
 
     Blank lines, of white space alone, do not count as lines; those inside a passage are part of it. A single line that
@@ -103,7 +111,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays. Rows with the same id and text are cut alike. Null and empty texts pass unchanged; all columns are kept and
     n_chars, if there, is set anew.
     """
-    return rewrite.cut(docs, common.materialize(repeats(docs, id_col, text_col), "cuts"), _drop, id_col, text_col)
+    return rewrite.cut(docs, repeats(docs, id_col, text_col, hash_of), _drop, id_col, text_col)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

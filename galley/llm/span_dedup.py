@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xxhash import xxh3_128_digest
+
 from galley.llm import common, rewrite, textkit
 from galley.llm.bloom import bloom, may_hold
 
@@ -23,10 +25,10 @@ _CLOSE[[ord(c) for c in "\"')]"]] = True
 
 def spans(data: np.ndarray, offsets: np.ndarray):
     """Sentences and spans of texts: per sentence its first byte and row; per span its first sentence, its number of
-    sentences and two 64-bit hashes of its words (ASCII case and white space do not count)."""
+    sentences and XXH3's 128 bits of its words, one blank between two and A-Z folded. From each sentence, and up to each
+    sentence, the shortest run with enough sentences and words is a span."""
     starts, ends, bounds = textkit.word_spans(data, offsets)
     n = len(starts)
-    words = textkit.word_hashes(data, starts, ends)
     row = np.searchsorted(offsets, starts, "right") - 1
     last = data[ends - 1] if n else np.zeros(0, np.uint8)
     inner = np.maximum(ends - 2, 0)
@@ -38,21 +40,35 @@ def spans(data: np.ndarray, offsets: np.ndarray):
         stop[-1] = True
         heads = np.concatenate([[0], np.flatnonzero(stop)[:-1] + 1])
         size = np.diff(np.concatenate([heads, [n]]))
-        stop |= (words % U(PART) == 0) & np.repeat(size > LONG, size)
+        long = np.flatnonzero(np.repeat(size > LONG, size))
+        stop[long] |= textkit.word_hashes(*_apart(data, starts[long], ends[long])) % U(PART) == 0
     heads = np.concatenate([[0], np.flatnonzero(stop)[:-1] + 1]) if n else np.zeros(0, np.int64)
     tails = np.concatenate([heads[1:], [n]]) if n else heads
     of_row = row[heads]
     m = np.arange(len(heads))
-    # The shortest run from each sentence with enough sentences and words.
-    by_words = np.searchsorted(tails, heads + WORDS)
-    end = np.maximum(m + SENTENCES - 1, by_words)
+    end = np.maximum(m + SENTENCES - 1, np.searchsorted(tails, heads + WORDS))
     fits = end < len(heads)
     fits[fits] &= of_row[end[fits]] == of_row[m[fits]]
-    first = m[fits]
-    lo, hi = heads[first], tails[end[fits]]
-    other = textkit.mix(words ^ U(0x632BE59BD9B4E019))
-    h = textkit.Rolling(words).of(lo, hi), textkit.Rolling(other).of(lo, hi)
-    return starts[heads], of_row, first, end[fits] - first + 1, h
+    first, last = m[fits], end[fits]
+    begin = np.minimum(m - SENTENCES + 1, np.searchsorted(heads, tails - WORDS, "right") - 1)
+    fits = begin >= 0
+    fits[fits] &= of_row[begin[fits]] == of_row[m[fits]]
+    both = np.unique(np.concatenate([first * (len(m) + 1) + last, begin[fits] * (len(m) + 1) + m[fits]]))
+    first, last = both // (len(m) + 1), both % (len(m) + 1)
+    text, at = textkit.normal(data, starts, ends)
+    view, lo, hi = memoryview(text), at[heads[first]].tolist(), at[tails[last]].tolist()
+    h = np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
+    return starts[heads], of_row, first, last - first + 1, (h[:, 0], h[:, 1])
+
+
+def _apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some words alone, a blank after each, and their bounds."""
+    size = ends - starts + 1
+    stops = np.cumsum(size)
+    at = np.repeat(starts - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+    out = np.concatenate([data, [np.uint8(32)]])[at]
+    out[stops - 1] = 32
+    return out, stops - size, stops - 1
 
 
 def _spans(wanted=None):
@@ -61,7 +77,7 @@ def _spans(wanted=None):
             for batch in textkit.slices(whole):
                 data, offsets = textkit.utf8(batch.column("text"))
                 _, of_row, first, size, (h1, h2) = spans(data, offsets)
-                h1, h2 = h1.view(np.int64), h2.view(np.int64)
+                h1, h2 = np.ascontiguousarray(h1), np.ascontiguousarray(h2)
                 if wanted is None:
                     yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2)], ["h1", "h2"])
                     continue
@@ -89,10 +105,9 @@ def _drop(text: str, cuts: list[int]) -> str:
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, cuts): sentences of a row that are covered by a span seen before.
 
-    The first of equal spans is by id (null ids first), key and place. Hashes are counted first, combined in each
-    task; places are made only for spans whose hash repeats. No group of equal spans meets in one task.
+    Spans are equal when 128 bits of a hash of their words are. The first of equal spans is by id (null ids first), key
+    and place. Hashes are counted first, combined in each task; places are made only for spans whose hash repeats. No group of equal spans meets in one task.
     """
-    common.batch_rows(docs.sparkSession)
     rows = rewrite.keyed(docs, id_col, text_col)
     counted = rows.mapInArrow(_spans(), "h1 long, h2 long").groupBy("h1", "h2").count()
     again = common.materialize(counted.where("count > 1").select("h1", "h2"), "again")
@@ -101,7 +116,9 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = common.materialize(found.groupBy("h1", "h2").agg(F.min("place").alias("kept")), "first")
     late = found.join(common.large(first), ["h1", "h2"]).where("place <> kept")
     cuts = late.select("id", "key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("cut"))
-    return cuts.groupBy("id", "key").agg(F.collect_set("cut").alias("cuts"))
+    cuts = common.materialize(cuts.groupBy("id", "key").agg(F.collect_set("cut").alias("cuts")), "cuts")
+    common.release(again, found, first)
+    return cuts
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +128,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with the same id and text are cut alike. Null and empty texts pass unchanged; all columns are kept and n_chars,
     if there, is set anew.
     """
-    return rewrite.cut(docs, common.materialize(covered(docs, id_col, text_col), "cuts"), _drop, id_col, text_col)
+    return rewrite.cut(docs, covered(docs, id_col, text_col), _drop, id_col, text_col)
 
 
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

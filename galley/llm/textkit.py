@@ -1,4 +1,4 @@
-"""Vectorised work on UTF-8 bytes: words, lines and sentences of many texts at once, and their 64-bit hashes."""
+"""Vectorised work on UTF-8 bytes: words, lines and sentences of many texts at once, and their hashes."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_901)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _R, _Q = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -48,7 +49,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any ranges of a sequence of numbers, by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any ranges of a sequence of numbers, by prefix sums of a polynomial modulo 2**64. Some sequences collide
+    whatever the base, so these are never taken as equality: what has equal ones is compared byte by byte, or they only
+    choose where to cut."""
 
     def __init__(self, values: np.ndarray, base: U = _Q) -> None:
         self.base, n = base, len(values)
@@ -92,21 +95,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte ranges; A-Z folded when lower."""
-    return Rolling((_LOWER if lower else _TABLE)[data], _R).of(starts, ends)
+def normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with A-Z folded and one blank after each, and where each begins (words + 1)."""
+    keep = np.zeros(len(data) + 1, bool)
+    keep[:-1] = ~SPACE[data]
+    sizes = ends - starts + 1
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.full(int(at[-1]), 32, np.uint8)
+    inner = np.ones(len(out), bool)
+    inner[at[1:] - 1] = False
+    out[inner] = _FOLD[data[keep[:-1]]]
+    return out, at
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3's 64 bits of each word with A-Z folded; each distinct word is hashed once."""
+    text, at = normal(data, starts, ends)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)]).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), U, len(words.dictionary))
+    return known[np.asarray(words.indices)]
+
+
+def runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each k words in a row: each step mixes the next word into all bits of what came before."""
+    n = max(0, len(words) - k + 1)
+    out = words[:n].copy()
+    for i in range(1, k):
+        out = mix((out ^ (out >> U(31))) * _R + words[i : n + i])
+    return out
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """Per row, its sorted distinct k-word shingles; the whole sequence when shorter; none when empty."""
-    roll, n = Rolling(words), len(words)
-    whole = roll.of(np.arange(max(0, n - k + 1)), np.arange(max(0, n - k + 1)) + k)
-    short = roll.of(bounds[:-1], bounds[1:])
-    for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+    whole = runs(words, k)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if hi - lo >= k:
             yield unique(whole[lo : hi - k + 1])
+        elif hi > lo:
+            yield np.array([xxhash.xxh3_64_intdigest(words[lo:hi].tobytes(), hi - lo)], U)
         else:
-            yield short[i : i + 1] if hi > lo else short[:0]
+            yield whole[:0]
 
 
 def unique(values: np.ndarray) -> np.ndarray:

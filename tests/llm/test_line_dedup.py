@@ -52,3 +52,12 @@ def test_runs_of_one_line_and_short_passages(spark, n):
 def test_blank_lines(spark):
     got = check(spark, ["x\n\ny\n\nz", "new\n\nx\n\ny\n", "x\n \nw", "x\n\nw"])
     assert got == {0: "x\n\ny\n\nz", 1: "new\n\n", 2: "x\n \nw", 3: "x\n\nw"}
+
+
+def test_hashes_that_clash(spark):
+    rnd = random.Random(3)
+    texts = ["\n".join(f"line {rnd.randint(0, 12)}" for _ in range(rnd.randint(0, 9))) for _ in range(60)]
+    few = lambda data, lo, hi: line_dedup.hashed(data, lo, hi) % line_dedup.textkit.U(3)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame, hash_of=few).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(list(enumerate(texts)))

@@ -20,16 +20,17 @@ def sentences(text):
 
 
 def brute(texts):
+    """From each sentence, and up to each sentence, the shortest run of 3 or more with 12 or more words is a span."""
     seen, out = set(), []
     for text in texts:
-        parts, gone = sentences(text or ""), set()
+        parts, gone, spans = sentences(text or ""), set(), set()
+        fits = lambda i, j: i >= 0 and j <= len(parts) and j - i >= 3 and sum(len(w) for _, w in parts[i:j]) >= 12
         for i in range(len(parts)):
-            for j in range(i + 3, len(parts) + 1):
-                run = tuple(w for _, words in parts[i:j] for w in words)
-                if len(run) >= 12:
-                    gone |= set(range(i, j)) if run in seen else set()
-                    seen.add(run)
-                    break
+            spans |= {next(((i, j) for j in range(i, len(parts) + 1) if fits(i, j)), None), next(((k, i + 1) for k in range(i, -1, -1) if fits(k, i + 1)), None)}
+        for i, j in sorted(spans - {None}):
+            run = tuple(w for _, words in parts[i:j] for w in words)
+            gone |= set(range(i, j)) if run in seen else set()
+            seen.add(run)
         edges = [at for at, _ in parts] + [len(text or "")]
         kept = "".join((text or "")[a:b] for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if n not in gone)
         out.append(None if text is None else text[: edges[0]] + kept)
@@ -46,3 +47,13 @@ def test_whole_output_equals_brute_force(spark):
     expected = brute(texts)
     assert [got[i] for i in range(len(texts))] == expected
     assert sum(a != b for a, b in zip(texts, expected, strict=True)) > 50
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    a, b = "x", "y"
+    for _ in range(10):
+        a, b = a + b, b + a
+    assert len(a) == 1024
+    texts = [f"{w}. one two three four. five six seven eight. nine ten eleven twelve now." for w in (a, b)]
+    got = {r.doc_id: r.text for r in span_dedup.span_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0] and got[1].startswith(f"{b}.")
