@@ -74,7 +74,7 @@ def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
         conv, k, node, position = object(), 0, None, 0
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in common.dicts(batch):
                 if r["conv_id"] != conv:
                     conv, k, node, position = r["conv_id"], 0, None, 0
                 formatted, lo, hi = format_turn(r["role"], r["text"])
@@ -96,7 +96,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
         conv, path, passed, inside = object(), [], None, 0
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in common.dicts(batch):
                 if r["conv_id"] != conv or r["k"] == 0:
                     conv, path, passed = r["conv_id"], [], None
                 head = r["passed"] != passed
@@ -149,7 +149,6 @@ class PrefixTree:
     """
 
     def __init__(self, turns: DataFrame) -> None:
-        common.batch_rows(turns.sparkSession, 1000)
         empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
         rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role").alias("role"), empty("text").alias("text"))
         ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -187,21 +186,21 @@ class PrefixTree:
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    names = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, positions long, attended long"
 
     def rows() -> Iterator[dict]:
         conv, state = object(), None
 
         def closed() -> dict:
-            turns, learned, n, chars, size = state
-            return {"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": learned.hexdigest(), "formatted_chars": size}
+            turns, learned, n, chars, size, positions, attended = state
+            return {"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": learned.hexdigest(), "formatted_chars": size, "positions": positions, "attended": attended}
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in common.dicts(batch):
                 if r["conv_id"] != conv:
                     if state:
                         yield closed()
-                    conv, state = r["conv_id"], [hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
+                    conv, state = r["conv_id"], [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0]
                 role, text = parse_turn(r["formatted"])
                 state[0].update(f"{role}\n{text}\n".encode())
                 masked = unescape(r["formatted"][r["learn_from"] : r["learn_to"]])
@@ -209,6 +208,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[2] += 1
                 state[3] += len(masked)
                 state[4] += len(r["formatted"])
+                state[5] += r["position"]
+                state[6] += r["attended"]
         if state:
             yield closed()
 
@@ -216,10 +217,12 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(tree: PrefixTree) -> DataFrame:
-    """Per conversation, what is read back from the tree's nodes along its path."""
-    nodes = common.materialize(tree.nodes(), "nodes").select("node", "formatted", "learn_from", "learn_to")
+    """Per conversation, what is read back from the tree's nodes along its path: with the texts, the sum of its turns'
+    first position ids, and the number of tokens that the attention intervals of its turns hold."""
+    held = F.aggregate("attend", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]).alias("attended")
+    nodes = common.materialize(tree.nodes().select("node", "formatted", "learn_from", "learn_to", "position", held), "nodes")
     rows = tree.paths().join(nodes, "node").repartition("conv_id").sortWithinPartitions("conv_id", "k")
-    out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, positions long, attended long"
     return rows.drop("node").mapInArrow(_read_back, out)
 
 
@@ -242,11 +245,12 @@ OP1_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-)
+), s AS (SELECT *, {len(TURN) + len(TEXT) + len(END)} + length({_sql_escape('role')}) + length({_sql_escape('text')}) AS size FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM s)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum({len(TURN) + len(TEXT) + len(END)} + length({_sql_escape('role')}) + length({_sql_escape('text')}))::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+  sum(size)::BIGINT AS formatted_chars, sum(position)::BIGINT AS positions, sum(position)::BIGINT AS attended
+FROM p GROUP BY conv_id
 """

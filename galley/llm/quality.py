@@ -80,7 +80,7 @@ def document_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = common.materialize(texts.join(chosen, "doc_id").select("doc_id", "quality", shape("text").alias("x")), "labelled")
-    table = found.orderBy("doc_id").toArrow()
+    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toArrow()  # rows that share an id count too
     x = np.array(table["x"].to_pylist(), float).reshape(-1, N)
     return fit(x, np.asarray(table["quality"], float))
 
@@ -91,7 +91,8 @@ def _strength(mean: float, between: float) -> float:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """docs with doc_score, host_posterior, path_posterior, quality and keep (quality >= threshold).
 
@@ -100,9 +101,10 @@ def classify(
     all documents, the more the fewer documents it has; how much follows from the spread between hosts and between
     paths, found by grouped sums over all documents. quality adds the path's log odds, less those of all documents,
     to the document's own. Null hosts and paths are the empty one; null and empty texts have a score like any other.
-    A result column that docs has already is replaced. Rows that share an id are scored each by its own text.
+    A result column that docs has already is replaced. Rows that share an id are scored each by its own text; an empty
+    table gives no rows. carry names the columns of docs that the result has, all if None; without the text among them
+    the scores are written once and every text is read by the classifier once only.
     """
-    common.batch_rows(docs.sparkSession)
     weights, mean, scale, rate = document_model(docs, labels, id_col, text_col)
 
     @F.arrow_udf("double")
@@ -112,6 +114,10 @@ def classify(
 
     h, q = F.coalesce(host.cast("string"), F.lit("")), F.coalesce(path.cast("string"), F.lit(""))
     scored = docs.withColumns({"doc_score": score(F.col(f"`{text_col}`")), "__galley_host": h, "__galley_path": q})
+    carry = docs.columns if carry is None else carry
+    scored = scored.select(*[F.col(f"`{c}`") for c in carry if c != "doc_score"], "doc_score", "__galley_host", "__galley_path")
+    if text_col not in carry:
+        scored = common.materialize(scored, "scored")
     by_path = scored.groupBy("__galley_host", "__galley_path").agg(
         F.count("*").alias("__galley_n"), F.sum("doc_score").alias("__galley_s"), F.sum(F.col("doc_score") * F.col("doc_score")).alias("__galley_ss")
     )
@@ -146,19 +152,19 @@ def classify(
     joined = joined.withColumn("path_posterior", (F.col("__galley_s") - own + at_path * F.col("host_posterior")) / (F.col("__galley_n") - 1 + at_path))
     total = _logit(own) + _logit(F.col("path_posterior")) - _logit(F.lit(overall))
     joined = joined.withColumn("quality", 1 / (1 + F.exp(-total))).withColumn("keep", F.col("quality") >= threshold)
-    names = [c for c in docs.columns if c not in ("doc_score", "host_posterior", "path_posterior", "quality", "keep")]
+    names = [c for c in carry if c not in ("doc_score", "host_posterior", "path_posterior", "quality", "keep")]
     return joined.select(*[F.col(f"`{c}`") for c in names], "doc_score", "host_posterior", "path_posterior", "quality", "keep")
 
 
-def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """classify() for the documents table: host and path are the parts of source before and after its first slash;
     the language stands in for a path where source has none."""
     source = F.regexp_replace(F.coalesce(F.col("source"), F.lit("")), "^[a-z]+://", "")
     rest = F.regexp_extract(source, "^[^/]*/([^/?#]*)", 1)
-    return classify(docs, labels, F.substring_index(source, "/", 1), F.when(rest != "", rest).otherwise(F.col("lang")))
+    return classify(docs, labels, F.substring_index(source, "/", 1), F.when(rest != "", rest).otherwise(F.col("lang")), carry=carry)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's scores and whether it is kept."""
-    found = classify_documents(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    found = classify_documents(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"), ["doc_id", "source", "lang"])
     return found.select("doc_id", "source", "lang", "doc_score", "host_posterior", "path_posterior", "quality", "keep")

@@ -180,7 +180,7 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes = b"", level:
             parts, size, n = [start], len(start), 0
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in common.dicts(batch, 100):
                 frame = writer.compress(record(row["page_id"], row["url"], row["html"].encode(), row["response"]))
                 parts.append(frame)
                 size, n = size + len(frame), n + 1
@@ -191,7 +191,6 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes = b"", level:
             [{"file": f, "records": r, "bytes": b} for f, r, b in done], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
         )
 
-    common.batch_rows(rows.sparkSession, 200)
     return common.materialize(rows.mapInArrow(run, "file string, records long, bytes long"), "files")
 
 
