@@ -140,14 +140,17 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages with response: the smallest page_id of an equal payload of at least `least` bytes where that is another page.
 
     Equal means the same SHA-1 and length. Null html is empty. Page ids may repeat: a row whose id is the smallest is
-    a response. Rows without an id are responses. Only digests are grouped; payloads stay where they are.
+    a response. Rows without an id are responses. Only digests are grouped and matched; a page then meets the row of its
+    own id, so that no payload many pages share is a key.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size"))
     first = rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
     first = common.materialize(first.where("c > 1").drop("c"), "first")
-    joined = rows.join(first, ["sha", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("response"))
+    others = rows.drop("url", "html").join(common.large(first), ["sha", "size"]).where(F.col("first") != F.col("page_id"))
+    others = common.materialize(others.select("page_id", "sha", "size", "first").distinct(), "revisits")
+    joined = rows.join(others, ["page_id", "sha", "size"], "left")
+    return joined.select("page_id", "url", "html", F.col("first").alias("response"))
 
 
 def write_archives(rows: DataFrame, folder: str, dictionary: bytes = b"", level: int = 6) -> DataFrame:
@@ -173,7 +176,7 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes = b"", level:
             nonlocal parts, size, n, count
             if n:
                 name = f"part-{attempt}-{count:04d}.warc.zst"
-                with system.open_output_stream(f"{root}/{name}") as out:
+                with system.open_output_stream(f"{root}/{name}", compression=None) as out:
                     out.write(b"".join(parts))
                 done.append((f"{folder}/{name}", n, size))
                 count += 1
@@ -207,7 +210,7 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 system, path = pafs.FileSystem.from_uri(file)
-                with system.open_input_stream(path) as f:
+                with system.open_input_stream(path, compression=None) as f:
                     data = f.read()
                 held, size = [], 0
                 for i, raw in enumerate(frames(data)):
