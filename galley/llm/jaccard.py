@@ -116,11 +116,11 @@ def _entries(mixed):
             h, ends = np.asarray(prefix.flatten()), np.asarray(prefix.offsets) - prefix.offsets[0].as_py()
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             keep = np.flatnonzero(may_hold(mixed.value, h)) if len(h) else np.zeros(0, np.int64)
-            rows = batch.select(["node", "n", "grp"]).take(pa.array(row[keep]))
+            rows = batch.select(["node", "n", "grp", "size"]).take(pa.array(row[keep]))
             at = pa.array((keep - ends[row[keep]]).astype(np.int32))
             first, last = keep == ends[row[keep]], keep + 1 == ends[row[keep] + 1]
             prev, after = pa.array(h[np.maximum(keep - 1, 0)], mask=first), pa.array(h[np.minimum(keep + 1, len(h) - 1)] if len(h) else h, mask=last)
-            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep]), prev, after], ["node", "n", "grp", "pos", "h", "prev", "next"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep]), prev, after], ["node", "n", "grp", "size", "pos", "h", "prev", "next"])
 
     return explode
 
@@ -174,8 +174,9 @@ class JaccardJoin:
     Index lists are blocked by set size and hold the position of the n-gram in the set's prefix, so that a probe
     skips blocks of unfit size and entries too far back to reach the needed overlap. Answers are shared between
     highly similar sets: each class is first compared with a leader that agrees on most minimum hashes, and two
-    classes known to be in one group need no comparison, so that index lists within one group vanish and a group
-    of thousands of near copies costs no more rows than it has members. That serves groups(); links() and linked()
+    classes known to be in one group need no comparison, so that index lists within one group vanish. Other sets meet
+    a group as one first, and its members only if they share enough n-grams with all of them together, so that a group
+    of thousands of near copies costs a stranger one row. That serves groups(); links() and linked()
     compare those too. An empty table gives no rows.
     """
 
@@ -230,35 +231,51 @@ class JaccardJoin:
     def _candidates(self, groups: DataFrame) -> DataFrame:
         """Pairs of nodes of different groups that may link, by their common prefix n-grams."""
         num, den, both = self.num, self.den, self.num + self.den
-        nodes = self.classes.select("node").distinct().join(groups, "node", "left")
-        nodes = nodes.select("node", F.coalesce("component", "node").alias("grp"))
+        nodes = self.classes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+        nodes = common.materialize(nodes, "nodes")
+        nodes = nodes.join(common.large(nodes.groupBy("grp").agg(F.count("*").alias("size"))), "grp")
         rows = self.sets.where("n > 0").select(F.col("id").alias("node"), "n", "prefix").join(common.large(nodes), "node")
         width = float(np.log(den / num)) * 1.001  # rounding cannot part two partners
         rows = common.materialize(rows, "prefixes")
         mixed = rows.select("grp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-        mixed = common.materialize(mixed.where("lo < hi").select("h", "lo"), "mixed")
-        entries = rows.mapInArrow(_entries(bloom(mixed.select("h"))), "node long, n long, grp long, pos int, h long, prev long, next long")
+        mixed = common.materialize(mixed.where("lo < hi").select("h"), "mixed")
+        entries = rows.mapInArrow(_entries(bloom(mixed)), "node long, n long, grp long, size long, pos int, h long, prev long, next long")
         entries = entries.withColumn("block", F.floor(F.log("n") / width).cast("int"))
         entries = common.materialize(entries.join(common.large(mixed), "h"), "entries")
         self.used = [rows, mixed, entries]
-        # A block is one size class: partners of n are in n's own and the two beside it.
-        probe = entries.where("grp <> lo").withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))))
-        x, y = probe.alias("x"), entries.alias("y")
-        need = f"((x.n + y.n) * {num} + {both - 1}) div {both}"
-        fits = (
-            f"x.grp <> y.grp and (y.grp = y.lo or x.node < y.node) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
-            f" and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need}"
-        )
+
+        def need(x: str, y: str) -> str:
+            """The overlap that sets of these sizes need, and the least of it that lies in both prefixes: what comes after
+            them can add no more than the larger set's rest."""
+            return f"(({x} + {y}) * {num} + {both - 1}) div {both}"
+
+        def least(x: str, y: str) -> str:
+            return f"{need(x, y)} - ({num} * greatest({x}, {y}) + {den - 1}) div {den} + 1"
+
+        # First each set meets whole groups, the larger of two being met: a group's list holds an n-gram once for each
+        # size block, however many members have it. A block is one size class: partners of n are in n's own and the two
+        # beside it, and the others are skipped.
+        lists = entries.groupBy("h", "block", "grp", "size").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).alias("y")
+        probe = entries.select("node", "n", "grp", "size", "h", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))).alias("block")).alias("x")
+        fit = f"(y.size > x.size or (y.size = x.size and y.grp < x.grp)) and {den} * y.hi >= {num} * x.n and {den} * x.n >= {num} * y.lo"
+        hits = probe.join(common.large(lists), ["h", "block"]).where(fit).groupBy("node", F.col("y.grp").alias("other"), "block")
+        hits = hits.agg(F.count("*").alias("c"), F.min("x.n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        hits = hits.withColumn("lo", F.expr(f"greatest(lo, (n * {num} + {den - 1}) div {den})")).withColumn("hi", F.expr(f"least(hi, n * {den} div {num})"))
+        close = hits.where(f"c >= least({least('n', 'lo')}, {least('n', 'hi')})").select("node", "other", "block")
+        close = common.materialize(close, "close")
+        self.used.append(close)
+        # Then it meets the members of the groups that are left.
+        x = entries.drop("block", "size").join(common.large(close), "node").alias("x")
+        y = entries.withColumn("other", F.col("grp")).alias("y")
+        fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need('x.n', 'y.n')}"
         # Sets that share one prefix n-gram often share those beside it. A run of shared neighbours is met at its two
         # ends only; the places of the ends in a's prefix give its length, and their sum the shared n-grams.
         first, last = "not coalesce(x.prev = y.prev, false)", "not coalesce(x.next = y.next, false)"
         pos = "if(x.node < y.node, x.pos, y.pos)"
-        met = x.join(common.large(y), ["h", "block"]).where(f"{fits} and ({first} or {last})").select(
+        met = x.join(common.large(y), ["h", "block", "other"]).where(f"{fits} and ({first} or {last})").select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
-            F.expr(f"if({last}, {pos} + 1, 0) - if({first}, {pos}, 0)").alias("c"),
-            F.expr(f"{need} - ({num} * greatest(x.n, y.n) + {den - 1}) div {den} + 1").alias("least"),
+            F.expr(f"if({last}, {pos} + 1, 0) - if({first}, {pos}, 0)").alias("c"), F.expr(least("x.n", "y.n")).alias("least"),
         )
-        # n-grams after both prefixes can add no more than the larger set's rest, so the prefixes must share the others.
         return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
 
     def links(self) -> DataFrame:
