@@ -18,6 +18,7 @@ from galley.llm.bloom import bloom, may_hold
 #: words whose hash is 0 modulo PART, so that tables and texts without full stops have spans too.
 SENTENCES, WORDS, LONG, PART = 3, 12, 16, 8
 U = np.uint64
+WIDE = 1 << 31
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _CLOSE[[ord(c) for c in "\"')]"]] = True
@@ -93,17 +94,17 @@ def _spans(wanted=None):
 
 
 def _drop(text: str, cuts: list[int]) -> str:
-    """cuts: the sentence numbers to remove."""
+    """cuts: spans to remove, each its first sentence and number of sentences as one number."""
     data = np.frombuffer(text.encode(), np.uint8)
     starts = spans(data, np.array([0, len(data)]))[0]
     edges = np.concatenate([starts, [len(data)]]).tolist()
-    gone = set(cuts)
+    gone = {i for c in cuts for i in range(c // WIDE, c // WIDE + c % WIDE)}
     kept = [data[: edges[0]].tobytes()] + [data[a:b].tobytes() for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i not in gone]
     return b"".join(kept).decode()
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, cuts): sentences of a row that are covered by a span seen before.
+    """(id, key, cuts): spans of a row that were seen before, as numbers that _drop reads.
 
     Spans are equal when 128 bits of a hash of their words are. The first of equal spans is by id (null ids first), key
     and place. Hashes are counted first, combined in each task; places are made only for spans whose hash repeats. No group of equal spans meets in one task.
@@ -115,8 +116,8 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = common.materialize(found.join(common.large(again), ["h1", "h2"], "left_semi").withColumn("place", F.struct("id", "key", "at")), "places")
     first = common.materialize(found.groupBy("h1", "h2").agg(F.min("place").alias("kept")), "first")
     late = found.join(common.large(first), ["h1", "h2"]).where("place <> kept")
-    cuts = late.select("id", "key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("cut"))
-    cuts = common.materialize(cuts.groupBy("id", "key").agg(F.collect_set("cut").alias("cuts")), "cuts")
+    span = (F.col("at").cast("long") * WIDE + F.col("size")).alias("cut")
+    cuts = common.materialize(late.select("id", "key", span).groupBy("id", "key").agg(F.collect_set("cut").alias("cuts")), "cuts")
     common.release(again, found, first)
     return cuts
 
