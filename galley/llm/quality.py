@@ -32,7 +32,7 @@ def features(texts: pa.Array) -> np.ndarray:
         words, size = np.diff(bounds).astype(float), np.diff(offsets).astype(float)
         w, b = np.maximum(words, 1), np.maximum(size, 1)
         last = data[ends - 1] if len(ends) else data[:0]
-        h = textkit.word_hashes(data, starts, ends)
+        h = textkit.quick_hashes(data, starts, ends)
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
         length = ends - starts

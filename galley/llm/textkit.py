@@ -116,6 +116,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return known[np.asarray(words.indices)]
 
 
+def quick_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rolling hashes of the words with A-Z folded, for counts that may be slightly off."""
+    return Rolling(_TABLE[_FOLD[data]], _R).of(starts, ends)
+
+
 def runs(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of each k words in a row: each step mixes the next word into all bits of what came before."""
     n = max(0, len(words) - k + 1)

@@ -245,7 +245,7 @@ def near_duplicates(
     Two rows link when their labels are equal and not null and the cosine of their vectors is at least `least`, in
     double precision. Rows with a null id or label, or whose vector is null, empty, zero, or holds a null or
     non-finite component, link with nothing; vectors of different length never link. Equal vectors of one label are a
-    class, compared once and counted with its size; rows that share an id each count. component_id is the smallest id
+    class, compared once and counted with its size; rows that share an id each count, and link as any others. component_id is the smallest id
     reachable, kept whether that is the row's own. Other columns are ignored; an empty table gives no rows.
 
     Vectors are ordered by cells of the two leading axes and by the third, and cut into tiles of at most `tile`
@@ -255,7 +255,8 @@ def near_duplicates(
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"), F.col(f"`{label_col}`").cast("long").alias("label"))
     good = finite("embedding") & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
+    classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    classes = classes.withColumn("node", F.monotonically_increasing_id())
     classes = common.materialize(classes, "classes")
     basis = vectors.sparkSession.sparkContext.broadcast(axes(classes))
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
@@ -273,8 +274,10 @@ def near_duplicates(
     common.release(tiles, pairs)
     counts = common.materialize(found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")), "counts")
     groups = common.materialize(components(found.select("a", "b")), "groups")
+    firsts = groups.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+    groups = groups.join(common.materialize(firsts, "firsts"), "component").select("node", "first")
     named = classes.join(counts, "node", "left").join(groups, "node", "left").select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
+        F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id")
     )
     named = common.materialize(named, "named")
     common.release(classes, counts, found)
