@@ -9,13 +9,26 @@ from pyspark.sql import functions as F
 
 from galley.functions import measures
 
-_NUMBER = r"(?:\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+(?:\.\d+)?)"
-_F, _C = r"(?:°\s*F|degrees?\s*F(?:ahrenheit)?)", r"(?:°\s*C|degrees?\s*C(?:elsius)?)"
-BOTH_SCALES = rf"(?i)\d{{2,3}}\s*{_F}?\s*[(\[]\s*\d{{2,3}}\s*{_C}\s*[)\]]"
-FAHRENHEIT = rf"(?i)\d{{2,3}}\s*(?:{_F}|\bF)\b"
-INCHES = rf"(?i){_NUMBER}[\s-]*(?:inch(?:es)?\b|in\.(?!\w)|\")"
-WEIGHTS = rf"(?i){_NUMBER}[\s-]*(?:pounds?|lbs?|ounces?|oz)\b"
-CUPS = rf"(?i){_NUMBER}[\s-]*cups?\b"
+# Imperial words of running text, the metric unit each is turned into, and how much of it one is.
+MEASURES = {
+    "inch": ("cm", 2.54), "inches": ("cm", 2.54), "in.": ("cm", 2.54), '"': ("cm", 2.54), "pound": ("g", 453.592), "pounds": ("g", 453.592),
+    "lb": ("g", 453.592), "lbs": ("g", 453.592), "ounce": ("g", 28.3495), "ounces": ("g", 28.3495), "oz": ("g", 28.3495), "cup": ("ml", 240.0),
+    "cups": ("ml", 240.0),
+}
+_SIZE = r"(?:(?:\d+\s+)?\d+\s*/\s*\d+|\d+(?:\.\d+)?)"
+_WORD = "|".join(w + r"\b" if w.isalpha() else w.replace(".", r"\.(?!\w)") for w in sorted(MEASURES, key=len, reverse=True))
+
+
+def _degrees(letter: str, rest: str) -> str:
+    """A temperature scale: a degree sign or word, then the scale's letter or name."""
+    return rf"(?:°|degrees?)\s*{letter}(?:{rest})?"
+
+
+_F, _C, _HEAT = _degrees("F", "ahrenheit"), _degrees("C", "elsius"), r"\d{2,3}"
+BOTH_SCALES = rf"{_HEAT}\s*(?:{_F})?\s*[(\[]\s*{_HEAT}\s*{_C}\s*[)\]]"
+FAHRENHEIT = rf"{_HEAT}\s*(?:{_F}|\bF)\b"
+#: A temperature with or without its Celsius, else an amount and a word; the one that begins first, then in this order.
+IMPERIAL = rf"(?i)(?:{BOTH_SCALES}|{FAHRENHEIT}|{_SIZE}[\s-]*(?:{_WORD}))"
 
 
 def replace_each(text: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
@@ -38,19 +51,19 @@ def centimetres(inches: Column) -> Column:
 def convert_text(text: Column) -> Column:
     """Prose with °F, inches, pounds, ounces and cups in metric. The text's own °C beside °F wins. A text without such
     measures stays as it is, fractions of one character included; null stays null."""
-    size = lambda hit: measures.number(F.regexp_replace(F.regexp_extract(hit, _NUMBER, 0), r"\s*/\s*", "/"))
-    first = lambda hit: F.regexp_extract(hit, r"\d{2,3}", 0)
-    grams = lambda hit: size(hit) * F.when(hit.rlike("(?i)pound|lb"), 453.592).otherwise(28.3495)
-    steps = [
-        (BOTH_SCALES, lambda hit: F.concat(F.element_at(F.regexp_extract_all(hit, F.lit(r"\d{2,3}"), 0), -1), F.lit("°C"))),
-        (FAHRENHEIT, lambda hit: F.concat(celsius(first(hit).cast("int")).cast("string"), F.lit("°C"))),
-        (INCHES, lambda hit: F.concat(centimetres(size(hit)), F.lit(" cm"))),
-        (WEIGHTS, lambda hit: measures.amount(measures.round_g(grams(hit)), "g")),
-        (CUPS, lambda hit: measures.amount(measures.round_ml(size(hit) * 240), "ml")),
-    ]
-
-    def rest(x: Column, left: list) -> Column:
-        return measures.let(replace_each(x, *left[0]), lambda y: rest(y, left[1:])) if left else x
-
-    imperial = "|".join(f"(?:{p})" for p, _ in steps)
-    return measures.let(measures.plain(text), lambda x: F.when(x.rlike(imperial), rest(x, steps)).otherwise(text))
+    heats = lambda hit: F.regexp_extract_all(hit, F.lit(_HEAT), F.lit(0))
+    size = lambda hit: measures.number(F.regexp_replace(F.regexp_extract(hit, _SIZE, 0), r"\s*/\s*", "/"))
+    unit = lambda hit: F.lower(F.regexp_extract(hit, f"(?i)({_WORD})$", 1))
+
+    def metric(hit: Column) -> Column:
+        much = size(hit) * measures.lookup(unit(hit), {w: factor for w, (_, factor) in MEASURES.items()})
+        kind = measures.lookup(unit(hit), {w: to for w, (to, _) in MEASURES.items()})
+        return (
+            F.when(hit.rlike(f"(?i)^{BOTH_SCALES}$"), F.concat(F.element_at(heats(hit), -1), F.lit("°C")))
+            .when(hit.rlike(f"(?i)^{FAHRENHEIT}$"), F.concat(celsius(F.element_at(heats(hit), 1).cast("int")).cast("string"), F.lit("°C")))
+            .when(kind == "cm", F.concat(centimetres(much / 2.54), F.lit(" cm")))
+            .when(kind == "g", measures.amount(measures.round_g(much), "g"))
+            .otherwise(measures.amount(measures.round_ml(much), "ml"))
+        )
+
+    return measures.let(measures.plain(text), lambda x: F.when(x.rlike(IMPERIAL), replace_each(x, IMPERIAL, metric)).otherwise(text))

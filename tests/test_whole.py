@@ -32,7 +32,7 @@ def plain(t):
 
 
 def number(t):
-    m = re.fullmatch(rf"({measures._NUM})?\s*(?:(\d+)\s*/\s*(\d+))?", t.strip(" "), re.A)
+    m = re.fullmatch(rf"({measures.DECIMAL})?\s*(?:(\d+)\s*/\s*(\d+))?", t.strip(" "), re.A)
     if not m or not (m[1] or m[2]):
         return None
     part = int(m[2]) / int(m[3]) if m[3] and int(m[3]) else None
@@ -82,26 +82,27 @@ def shown(t):
 
 
 def converted(text):
-    size = lambda h: number(re.sub(r"\s*/\s*", "/", re.search(prose._NUMBER, h)[0]))
-    amount = lambda v, unit, big: short(v / 1000, 2) + " " + big if v >= 1000 else f"{int(v)} {unit}"
-
-    def of(f):
-        return lambda m: m[0] if (v := size(m[0])) is None or v > 1e15 else f(m[0], v)
-
-    grams = lambda h, v: v * (453.592 if re.search("(?i)pound|lb", h) else 28.3495)
-    steps = [
-        (prose.BOTH_SCALES, lambda m: re.findall(r"\d{2,3}", m[0])[-1] + "°C"),
-        (prose.FAHRENHEIT, lambda m: f"{half_up((int(re.search(r'[0-9]{2,3}', m[0])[0]) - 32) * 5 / 9, 5)}°C"),
-        (prose.INCHES, of(lambda h, v: (short(round(v * 2.54 * 2) / 2, 1) if v * 2.54 < 5 else str(round(v * 2.54))) + " cm")),
-        (prose.WEIGHTS, of(lambda h, v: amount(half_up(g := grams(h, v), 1 if g < 20 else 5 if g < 1000 else 25), "g", "kg"))),
-        (prose.CUPS, of(lambda h, v: amount(half_up(c := v * 240, 1 if c < 20 else 5 if c < 100 else 10 if c < 1000 else 50), "ml", "l"))),
-    ]
+    short_of = lambda v, unit, big: short(v / 1000, 2) + " " + big if v >= 1000 else f"{int(v)} {unit}"
+
+    def metric(m):
+        hit = m[0]
+        if re.fullmatch("(?i)" + prose.BOTH_SCALES, hit, re.A):
+            return re.findall(r"\d{2,3}", hit)[-1] + "°C"
+        if re.fullmatch("(?i)" + prose.FAHRENHEIT, hit, re.A):
+            return f"{half_up((int(re.search(r'[0-9]{2,3}', hit)[0]) - 32) * 5 / 9, 5)}°C"
+        size, word = re.match(r"([\d./\s]*\d)[\s-]*(\D+)$", hit).groups()
+        to, factor = prose.MEASURES[word.lower()]
+        v = number(re.sub(r"\s*/\s*", "/", size))
+        if v is None or v > 1e15:
+            return hit
+        g = v * factor
+        if to == "cm":
+            return (short(round(g * 2) / 2, 1) if g < 5 else str(round(g))) + " cm"
+        step = (1 if g < 20 else 5 if g < 1000 else 25) if to == "g" else (1 if g < 20 else 5 if g < 100 else 10 if g < 1000 else 50)
+        return short_of(half_up(g, step), to, {"g": "kg", "ml": "l"}[to])
+
     x = plain(text or "")
-    if not any(re.search(p, x, re.A) for p, _ in steps):
-        return (text,)
-    for p, f in steps:
-        x = re.sub(p, f, x, flags=re.A)
-    return (x,)
+    return (re.sub(prose.IMPERIAL, metric, x, flags=re.A) if re.search(prose.IMPERIAL, x, re.A) else text,)
 
 
 def diagnosed(x):
