@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from galley.functions import classify, durations, measures, nouns, prose, titles
 from galley.functions import text as text_functions
-from galley.operators import keyed, match, shopping, text_search
+from galley.operators import keyed, library, match, shopping, text_search
+from galley.plans import recipes as recipe_plans
 from galley.sources.tables import load, star
 
 PANTRY = ["red", "small", "gear", "blue widget"]
@@ -147,7 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_lines": lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", measures.to_metric(F.col("l_quantity"), F.lit("lb"), F.lit(None)).alias("metric")),
     "nice_numbers": lambda s, d: load(s, d, "lineitem").select("l_quantity").distinct().select("l_quantity", measures.nice_number(F.col("l_quantity") / 4).alias("written")),
     "conversation_text": lambda s, d: load(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " · ").alias("text")),
-    "complete_title": lambda s, d: star(s, d).ingredients.where(F.col("canonical").startswith("b")).groupBy("canonical").agg(F.count("*").alias("n")).orderBy("canonical").limit(8),
+    "complete_title": lambda s, d: library.completions(star(s, d).ingredients, "canonical", "b").withColumnRenamed("value", "canonical"),
     "parse_quantity": _literals(LINES, _quantity),
     "extract_time": _literals(TIMES, _times, "x string, y string"),
     "find_timers": _literals(STEPS, lambda: {"labels": F.array_join(F.transform(durations.find_timers(F.col("x")), lambda t: t["label"]), ", ")}),
@@ -260,7 +261,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN g >= 1000 THEN regexp_replace(format(
 SELECT l_quantity, CASE WHEN x >= 20 THEN round_even(x, 0)::INT::VARCHAR WHEN x >= 10 THEN floor(round_even(x * 2, 0) / 2)::INT::VARCHAR || CASE WHEN round_even(x * 2, 0)::INT % 2 = 1 THEN '½' ELSE '' END
 ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x) WHEN 0.25 THEN '¼' WHEN 0.5 THEN '½' WHEN 0.75 THEN '¾' ELSE '' END END AS written FROM v""",
     "conversation_text": "SELECT conv_id, string_agg(coalesce(text, ''), ' · ' ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY 1",
-    "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE starts_with(lower(p_name), 'b') GROUP BY 1 ORDER BY 1 LIMIT 8",
+    "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE lower(p_name) LIKE 'b%' GROUP BY 1 ORDER BY n DESC, length(canonical), canonical LIMIT 8",
     "parse_quantity": """SELECT * FROM (VALUES (0, 2.0::DOUBLE, 'tbsp', 'olive oil'), (1, 1.5, 'cup', 'flour'), (2, 1.5, 'cup', 'whole milk'), (3, 2.5, 'tbsp', 'parsley'), (4, 100.0, 'g', 'dark chocolate'),
 (5, 1.0, 'pinch', 'saffron'), (6, 400.0, 'g', 'chopped tomatoes'), (7, NULL, NULL, 'Preheat the oven to 200C')) t(i, quantity, unit, rest)""",
     "extract_time": "SELECT * FROM (VALUES (0, 45, 'labels-summed', false), (1, 70, 'label', false), (2, 90, 'label', false), (3, 45, 'method', false), (4, 8, 'method', true)) t(i, total, source, long_wait)",
@@ -268,8 +269,11 @@ ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x
     "scale_servings": "SELECT * FROM (VALUES (0, 4, '8'), (1, 4, '8 to 12'), (2, 8, '16 scones'), (3, NULL, ''), (4, NULL, '')) t(i, base, doubled)",
     "printed_metric": "SELECT * FROM (VALUES (0, '454 g'), (1, '737 g'), (2, '2.3 kg'), (3, NULL)) t(i, metric)",
     "classify_recipes": "SELECT * FROM (VALUES (0, 'breakfast', 'american'), (1, 'lunch, dinner', NULL), (2, 'lunch, dinner', NULL), (3, 'lunch, dinner', 'french'), (4, 'lunch, dinner', NULL), (5, 'lunch', 'thai'), (6, 'lunch, dinner', 'japanese')) t(i, meals, cuisine)",
-    "diagnose_errors": "SELECT * FROM (VALUES (0, false, 'The file is not readab'), (1, true, 'The book was too large'), (2, true, 'The book could not be '), (3, true, 'The book could not be ')) t(i, retry, cause)",
+    "diagnose_errors": "SELECT * FROM (VALUES (0, false, 'No zip archive could b'), (1, true, 'Memory ran out on this'), (2, true, 'Something else kept th'), (3, true, 'Something else kept th')) t(i, retry, cause)",
     "display_titles": "SELECT * FROM (VALUES (0, 'Mom''s Pie and Cream'), (1, 'BBQ Chicken of the Day'), (2, 'Mixed Case title'), (3, 'BLT'), (4, '')) t(i, shown)",
     "convert_prose": "SELECT * FROM (VALUES (0, 'Preheat the oven to 175°C.'), (1, 'Use a 23 cm tin.'), (2, 'Roll to 0.5 cm thick.'), (3, 'Add 905 g of potatoes.'), (4, 'air fry at 200°C'), (5, 'Simmer for 20 minutes.')) t(i, metric)",
     "singular_words": "SELECT * FROM (VALUES (0, 'leaf'), (1, 'potato'), (2, 'berry'), (3, 'radish'), (4, 'hummus'), (5, 'greens'), (6, 'onion'), (7, NULL)) t(i, word)",
 }
+
+QUERIES |= recipe_plans.QUERIES
+ORACLE_SQL |= recipe_plans.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,15 +52,35 @@ def matched(star: Star, names: Sequence[str]) -> DataFrame:
     )
 
 
+def matched_many(star: Star, pantries: DataFrame) -> DataFrame:
+    """matched() of many pantries at once: (pantry, recipe_id, n_core, n_matched, missing, coverage) from rows (pantry, name).
+
+    Names meet the ingredients' runs of words by one equi-join; a recipe's core count is made once and shared by all
+    pantries; only links of an ingredient that some pantry holds are met."""
+    longest = 4
+    words = F.split("canonical", " ")
+    runs = F.flatten(
+        F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " ")))
+    )
+    wanted = pantries.select("pantry", F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
+    named = star.ingredients.select(F.col("id").alias("ingredient_id"), "is_staple", F.explode(F.array_distinct(runs)).alias("name"))
+    held = named.join(wanted, "name").select("pantry", "ingredient_id", "is_staple").distinct()
+    hits = star.links.select("recipe_id", "ingredient_id").join(held, "ingredient_id")
+    hits = hits.groupBy("pantry", "recipe_id").agg(F.count_if(~F.col("is_staple")).alias("n_matched"))
+    found = hits.join(core_counts(star).select("recipe_id", "n_core"), "recipe_id")
+    coverage = F.when(F.col("n_core") > 0, F.col("n_matched") / F.col("n_core")).otherwise(1.0)
+    return found.select("pantry", "recipe_id", "n_core", "n_matched", (F.col("n_core") - F.col("n_matched")).alias("missing"), coverage.alias("coverage"))
+
+
 def within(found: DataFrame, tolerance: int) -> DataFrame:
     return found.where(F.col("missing") <= max(0, tolerance))
 
 
 def relaxed(found: DataFrame, tolerance: int, steps: Sequence[int] = (0, 2, 4, 99)) -> DataFrame:
     """within() the smallest of tolerance + step that has a hit: the counts are made once, not once a step."""
-    least = found.agg(F.min("missing").alias("least"))
-    fits = F.least(*(F.when(F.col("least") <= max(0, tolerance) + s, F.lit(max(0, tolerance) + s)) for s in steps), F.lit(2**30))
-    return found.join(F.broadcast(least.select(fits.alias("allowed"))), F.col("missing") <= F.col("allowed")).drop("allowed")  # one row
+    low = found.agg(F.min("missing")).scalar()
+    fits = F.least(*(F.when(low <= max(0, tolerance) + s, F.lit(max(0, tolerance) + s)) for s in steps), F.lit(2**30))
+    return found.where(F.col("missing") <= fits)
 
 
 def ranked(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -82,11 +103,17 @@ def one_per_edition(rows: DataFrame, edition: str, order: Sequence[Column | str]
 
 
 def has_any(recipes: DataFrame, tags: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
-    """Any value within a kind, and every kind."""
-    for kind, values in wanted.items():
-        hit = tags.where((F.col("kind") == kind) & F.col("value").isin(list(values))).select(F.col("recipe_id").alias("id"))
-        recipes = recipes.join(hit, "id", "left_semi")
-    return recipes
+    """Any value within a kind, and every kind: one aggregation of the tags of those kinds, one semi join."""
+    if not wanted:
+        return recipes
+    of = {k: (F.col("kind") == k) & F.col("value").isin(list(v)) for k, v in wanted.items()}
+    some = tags.where(reduce(lambda a, b: a | b, of.values()))
+    if len(of) == 1:
+        hit = some.select(F.col("recipe_id").alias("id"))
+    else:
+        by = some.groupBy(F.col("recipe_id").alias("id")).agg(F.countDistinct("kind").alias("kinds"))
+        hit = by.where(F.col("kinds") == len(of)).select("id")
+    return recipes.join(hit, "id", "left_semi")
 
 
 def has_all(recipes: DataFrame, tags: DataFrame, kind: str, values: Sequence[str]) -> DataFrame:

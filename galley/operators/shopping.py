@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galley.functions import measures
 
 # Units that are counted, not measured.
-COUNTED = "clove can slice sprig bunch head stalk sheet fillet rasher package jar piece handful pinch dash".split()
+COUNTED = ["clove", "can", "slice", "sprig", "bunch", "head", "stalk", "sheet", "fillet", "rasher", "package", "jar", "piece", "handful", "pinch", "dash"]
 _G = {"g": 1.0, "kg": 1000.0} | measures.GRAMS
 _ML = {"ml": 1.0, "l": 1000.0} | {u: v for u, v in measures.ML.items() if u not in ("tsp", "tbsp")}
 _TSP = {"tsp": 1.0, "tbsp": 3.0}
@@ -33,7 +33,7 @@ def counts(lines: DataFrame) -> DataFrame:
 def amounts(lines: DataFrame) -> DataFrame:
     """(key, amount): '350 g + 1 tbsp + 4 cloves', empty where no line has an amount."""
     both = totals(lines).join(counts(lines), "key", "left")
-    plural = {u: measures.UNITS[u].split()[1] for u in COUNTED}
+    plural = {u: measures.UNITS[u][1] for u in COUNTED}
 
     def counted(c: Column) -> Column:
         word = F.when(c["n"] > 1, measures.lookup(c["unit"], plural)).otherwise(c["unit"])

@@ -34,10 +34,13 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
     parts = load(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.lower("p_name").alias("canonical"), (F.col("p_type") == "ECONOMY").alias("is_staple")
     )
-    links = lines.groupBy(F.col("l_orderkey").alias("recipe_id"), F.col("l_partkey").alias("ingredient_id")).agg(
+    # Dealt by recipe once: that serves the links' own aggregation and every later one by recipe.
+    dealt = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").repartition("l_orderkey")
+    links = dealt.groupBy(F.col("l_orderkey").alias("recipe_id"), F.col("l_partkey").alias("ingredient_id")).agg(
         F.min("l_linenumber").alias("position"), F.sum("l_quantity").alias("quantity")
     )
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("flag", "l_returnflag"), ("status", "l_linestatus")))))
-    tags = lines.select(F.col("l_orderkey").alias("recipe_id"), kinds.alias("t")).select("recipe_id", "t.kind", "t.value")
-    tags = tags.union(orders.select("o_orderkey", F.lit("priority"), "o_orderpriority")).distinct()
+    # One projection a kind, so that a filter on the kind leaves only its own scan.
+    kinds = [(lines, "l_orderkey", "flag", "l_returnflag"), (lines, "l_orderkey", "status", "l_linestatus"), (orders, "o_orderkey", "priority", "o_orderpriority")]
+    flat = [t.select(F.col(key).alias("recipe_id"), F.lit(kind).alias("kind"), F.col(value).alias("value")) for t, key, kind, value in kinds]
+    tags = flat[0].union(flat[1]).distinct().union(flat[2])
     return Star(recipes, books, parts, links, tags)
