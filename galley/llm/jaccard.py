@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm import common, textkit
@@ -17,6 +17,8 @@ U = np.uint64
 #: Minimum hashes that choose leaders, and how many must agree before a leader is compared. Speed only.
 SEEDS = np.random.default_rng(7).integers(1, 2**63, 12, dtype=U) * U(2) + U(1)
 AGREE = 7
+#: Rounds of leaders after the first, and leaders a bucket in each. Speed only.
+ROUNDS, LEADERS = 2, 6
 #: The order of n-grams puts frequent ones last. It needs no exact counts: a task reports n-grams in at least
 #: LOCAL of its documents (the TASK_TOP most frequent), and the TABLE most frequent of those with FREQUENT or
 #: more are sent to all tasks, at most 16 bytes each. Any order gives the same result. Speed only.
@@ -183,6 +185,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> None:
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.used: list[DataFrame] = []
         self.sets = common.materialize(self.docs.mapInArrow(_sets(k, num, den, self._table()), SETS), "sets")
         full = self.sets.where("n > 0 and id is not null")
         self.classes = common.materialize(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")
@@ -214,20 +217,40 @@ class JaccardJoin:
         self.used = []
         return out
 
-    def _leaders(self) -> DataFrame:
+    def _buckets(self) -> DataFrame:
+        """(id, i, m, liked): the minimum hashes that some other class has too, and how many meetings a class has in all."""
         nodes = self.classes.select(F.col("node").alias("id"))
         mins = self.sets.select("id", "mins").join(common.large(nodes), "id", "left_semi").select("id", F.posexplode("mins").alias("i", "m"))
         met = common.materialize(mins.groupBy("i", "m").agg(F.count("id").alias("c")).where("c > 1"), "met")
         mins = common.materialize(mins.join(common.large(met), ["i", "m"]), "mins")
-        liked = common.materialize(mins.groupBy("id").agg(F.sum("c").alias("liked")), "liked")
-        first = F.max(F.struct("liked", (-F.col("id")).alias("id")))
-        lead = mins.join(liked, "id").groupBy("i", "m").agg(first.alias("top"), F.min("id").alias("least"))
-        self.used = [met, mins, liked]
-        lead = lead.select("i", "m", F.explode(F.array_distinct(F.array(-F.col("top.id"), "least"))).alias("a"))
-        mins = mins.join(common.materialize(lead, "lead"), ["i", "m"]).where("a <> id")
-        found = mins.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.countDistinct("i").alias("count"))
+        liked = mins.groupBy("id").agg(F.sum("c").alias("liked"))
+        return common.materialize(mins.select("id", "i", "m").join(liked, "id"), "buckets")
+
+    def _leaders(self, mins: DataFrame, orders: list[Column]) -> DataFrame:
+        """Pairs of a class and a leader that agree on most minimum hashes: in each bucket the first by each order leads."""
+        tops = [F.max(F.struct(o.alias("o"), (-F.col("id")).alias("id"))).alias(f"top{n}") for n, o in enumerate(orders)]
+        lead = mins.groupBy("i", "m").agg(*tops)
+        lead = lead.select("i", "m", F.explode(F.array_distinct(F.array(*(-F.col(f"top{n}.id") for n in range(len(orders)))))).alias("a"))
+        lead = common.materialize(lead, "lead")
+        self.used.append(lead)
+        met = mins.join(lead, ["i", "m"]).where("a <> id")
+        found = met.groupBy(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).agg(F.countDistinct("i").alias("count"))
         return found.where(F.col("count") >= AGREE).select("a", "b")
 
+    def _near(self) -> DataFrame:
+        """Links between classes and leaders. Each later round has other leaders, by a hash of the id, for what is not in
+        one group with them yet, so that few members of a group of near copies are left to meet all others."""
+        mins = self._buckets()
+        near = self._verified(self._leaders(mins, [F.col("liked"), -F.col("id")]))
+        for r in range(ROUNDS):
+            groups = components(near)
+            side = lambda c: common.large(groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")))  # noqa: B023, E731
+            pairs = self._leaders(mins, [F.xxhash64("id", F.lit(LEADERS * r + n)) for n in range(LEADERS)]).join(side("a"), "a", "left").join(side("b"), "b", "left")
+            pairs = pairs.where("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")
+            near = common.materialize(near.union(self._verified(pairs)), "near")
+        common.release(mins)
+        return near
+
     def _candidates(self, groups: DataFrame) -> DataFrame:
         """Pairs of nodes of different groups that may link, by their common prefix n-grams."""
         num, den, both = self.num, self.den, self.num + self.den
@@ -284,7 +307,7 @@ class JaccardJoin:
 
     def spanning(self) -> DataFrame:
         """(a, b): links between classes, a < b, enough to connect every group of linked classes."""
-        near = self._verified(self._leaders())
+        near = self._near()
         far = self._verified(self._candidates(components(near)))
         return common.materialize(near.union(far).distinct(), "links")
 
