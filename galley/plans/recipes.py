@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import steps
-from galley.operators import blocks, diet, find, library, listing, match, names
+from galley.operators import blocks, diet, find, library, listing, match, names, recipes
 from galley.sources.tables import Star, load, star
 
 PANTRY = ["red", "small", "gear"]
@@ -117,6 +117,14 @@ def _steps(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").select("doc_id", steps.split_steps(F.col("text"), None).alias("steps"))
 
 
+def page_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of every page as a book's; texts of at most twelve words stand for ingredient lines."""
+    rows = blocks.blocks(load(s, d, "pages"))
+    level = F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int")
+    short = (F.col("kind") != "heading") & (F.col("kind") != "image") & (F.size(F.split("text", " ")) <= 12)
+    return rows.select(F.col("id").alias("book"), "position", "kind", level.alias("level"), F.lit(False).alias("bold"), "text", short.alias("is_line"))
+
+
 def _pantries(s: SparkSession, d: str) -> DataFrame:
     """A pantry for each word and for each whole name of the parts."""
     part = load(s, d, "part").select(F.lower("p_name").alias("name")).distinct()
@@ -143,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edit_totals": lambda s, d: library.correction_totals(_edited(s, d)),
     "html_blocks": lambda s, d: blocks.blocks(load(s, d, "pages")),
     "method_steps": _steps,
+    "page_recipes": lambda s, d: recipes.recipes(page_blocks(s, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
