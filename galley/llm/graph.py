@@ -19,23 +19,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     left = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    roots = materialize(left.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct(), "roots")
+    chain = []
     for _ in range(100):
         if left.isEmpty():
             break
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         best = left.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(rank("u"), F.col("m"))["id"].alias("p"))
         hooks = materialize(best, "hooks")
-        before = roots, left, hooks
-        roots = materialize(
-            roots.join(hooks.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")),
-            "roots",
-        )
+        chain.append(hooks)
         ends = left.join(hooks, "u").select("v", F.col("p").alias("pu"))
         ends = ends.join(hooks.withColumnRenamed("u", "v"), "v").select(F.col("pu").alias("u"), F.col("p").alias("v"))
-        left = materialize(ends.where("u <> v").distinct(), "edges")
-        release(*before)
+        before, left = left, materialize(ends.where("u <> v").distinct(), "edges")
+        release(before)
     else:
         raise RuntimeError("the graph did not contract in 100 rounds")
+    if not chain:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # Hooks of later rounds are fewer, so the roots are found from the last round back to the first.
+    named = [h.toDF("node", "root") for h in chain]
+    roots = named.pop()
+    for hooks in reversed(named):
+        roots = hooks.join(roots.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = materialize(roots, "roots")
     least = materialize(roots.groupBy("root").agg(F.min("node").alias("component")), "least")
-    return roots.join(least, "root").select("node", "component")
+    out = materialize(roots.join(least, "root").select("node", "component"), "components")
+    release(left, *chain, roots, least)
+    return out

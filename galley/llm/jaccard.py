@@ -17,8 +17,8 @@ U = np.uint64
 #: Minimum hashes that choose leaders, and how many must agree before a leader is compared. Speed only.
 SEEDS = np.random.default_rng(7).integers(1, 2**63, 12, dtype=U) * U(2) + U(1)
 AGREE = 7
-#: Rounds of leaders after the first, and leaders a bucket in each. Speed only.
-ROUNDS, LEADERS = 2, 6
+#: Leaders a bucket after the first two. Speed only.
+LEADERS = 8
 #: The order of n-grams puts frequent ones last. It needs no exact counts: a task reports n-grams in at least
 #: LOCAL of its documents (the TASK_TOP most frequent), and the TABLE most frequent of those with FREQUENT or
 #: more are sent to all tasks, at most 16 bytes each. Any order gives the same result. Speed only.
@@ -238,16 +238,14 @@ class JaccardJoin:
         return found.where(F.col("count") >= AGREE).select("a", "b")
 
     def _near(self) -> DataFrame:
-        """Links between classes and leaders. Each later round has other leaders, by a hash of the id, for what is not in
+        """Links between classes and leaders. A second round has other leaders, by hashes of the id, for what is not in
         one group with them yet, so that few members of a group of near copies are left to meet all others."""
         mins = self._buckets()
         near = self._verified(self._leaders(mins, [F.col("liked"), -F.col("id")]))
-        for r in range(ROUNDS):
-            groups = components(near)
-            side = lambda c: common.large(groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")))  # noqa: B023, E731
-            pairs = self._leaders(mins, [F.xxhash64("id", F.lit(LEADERS * r + n)) for n in range(LEADERS)]).join(side("a"), "a", "left").join(side("b"), "b", "left")
-            pairs = pairs.where("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")
-            near = common.materialize(near.union(self._verified(pairs)), "near")
+        groups = components(near)
+        side = lambda c: common.large(groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")))
+        pairs = self._leaders(mins, [F.xxhash64("id", F.lit(n)) for n in range(LEADERS)]).join(side("a"), "a", "left").join(side("b"), "b", "left")
+        near = near.union(self._verified(pairs.where("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")))
         common.release(mins)
         return near
 
@@ -324,7 +322,7 @@ class JaccardJoin:
 
     def groups(self) -> DataFrame:
         """(id, n_shingles, component): one row per row of docs; component is the smallest id reachable by links."""
-        found = common.materialize(components(self.spanning()), "components")
+        found = components(self.spanning())
         return self.members().join(common.large(found), "node", "left").select(
             "id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component")
         )
