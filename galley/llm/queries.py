@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from galley.llm.chat import OP1_SQL, op1_prefix_tree
 from galley.llm.jaccard import op6_jaccard_join
 from galley.llm.line_dedup import op3_line_dedup
+from galley.llm.negatives import OP11_SQL, op11_hard_negatives
 from galley.llm.packing import op7_best_fit_packing
+from galley.llm.periodic import op13_periodic_runs
 from galley.llm.piece_bpe import op10_sentencepiece
 from galley.llm.quality import op2_quality
 from galley.llm.span_dedup import op4_span_dedup
@@ -27,5 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_max_score": op9_max_score,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_prefix_tree": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_max_score": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_prefix_tree": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_max_score": OP9_SQL, "op11_hard_negatives": OP11_SQL}
