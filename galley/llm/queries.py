@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galley.llm.chat import OP1_SQL, op1_prefix_tree
 from galley.llm.jaccard import op6_jaccard_join
+from galley.llm.lattice import op12_lattice_scores
 from galley.llm.line_dedup import op3_line_dedup
 from galley.llm.negatives import OP11_SQL, op11_hard_negatives
 from galley.llm.packing import op7_best_fit_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_max_score": op9_max_score,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lattice_scores": op12_lattice_scores,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op1_prefix_tree": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_max_score": OP9_SQL, "op11_hard_negatives": OP11_SQL}

@@ -1,13 +1,16 @@
 """Operators 11 to 13 against brute force, with small blocks, and with odd rows."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galley.llm import negatives, periodic
+from galley.llm import lattice, negatives, periodic
+from public_tokenizers import path
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
@@ -110,3 +113,95 @@ def test_long_periods_and_long_texts():
     half = rnd.integers(0, 50_000, 30_000)
     text = np.concatenate([[60_001], half, half, half[:5], [60_002], np.full(20_000, 7)])
     assert periodic.runs([text])[0].tolist() == [[1, 60_005, 30_000], [60_007, 20_000, 1]]
+
+
+def segmentations(text, pieces):
+    """All ways to spell bytes, as lists of piece numbers, one after the other."""
+    if not text:
+        yield []
+    for d in range(1, len(text) + 1):
+        for piece in pieces.get(text[:d], ()):
+            yield from ([piece, *rest] for rest in segmentations(text[d:], pieces))
+
+
+def plain_scores(rows, vocabulary):
+    """The model as its docstring says, word by word over listed segmentations."""
+    pieces = defaultdict(list)
+    for b in range(256):
+        pieces[bytes([b])].append(b)
+    steps = {int(k): int(c) for k, c in zip(vocabulary.keys, vocabulary.child, strict=True)}
+    spelt = {0: b""}
+    for key in sorted(steps, key=lambda k: steps[k]):  # children are numbered after their parents
+        spelt[steps[key]] = spelt[key // 256] + bytes([key % 256])
+        if vocabulary.piece[steps[key]] < vocabulary.size:
+            pieces[spelt[steps[key]]].append(int(vocabulary.piece[steps[key]]))
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    texts = [(i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, (t or "").encode().translate(low).split(), g) for i, t, g in rows]
+    groups = sorted({g for _, h, _, g in texts if not h}, key=str)
+    count = {g: Counter(w for _, h, words, g2 in texts if not h and g2 == g for w in words) for g in groups}
+    ends = {g: sum(not h and g2 == g for _, h, _, g2 in texts) for g in groups}
+    whole = sum(count.values(), Counter())
+    total, kinds = sum(whole.values()) + sum(ends.values()), len(whole) + bool(groups)
+    weight = {g: np.exp(vocabulary.prior) for g in groups}
+    ways = {w: list(segmentations(b" " + w, pieces)) for _, _, words, _ in texts for w in words}
+    for g in groups:
+        for _ in range(lattice.ROUNDS):
+            seen = lattice.STRENGTH * np.exp(vocabulary.prior)
+            for w, n in count[g].items():
+                shares = [math.prod(weight[g][p] for p in way) for way in ways[w]]
+                for way, share in zip(ways[w], shares, strict=True):
+                    for p in way:
+                        seen[p] += min(n, lattice.DISCOUNT) * share / sum(shares)
+            weight[g] = seen / seen.sum()
+    out = []
+    for i, held, words, _ in texts:
+        base = sum(math.log10((whole[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in words) + math.log10((sum(ends.values()) + 0.1) / (total + 0.1 * (kinds + 1)))
+        found = 0.0
+        for g in groups:
+            tokens = sum(count[g].values()) + ends[g] + 1
+            left = (sum(min(n, lattice.DISCOUNT) for n in count[g].values()) + 0.5) / tokens
+            p = ends[g] / sum(ends.values()) * (ends[g] + 0.5) / tokens
+            for w in words:
+                p *= max(0, count[g][w] - lattice.DISCOUNT) / tokens + left * sum(math.prod(weight[g][q] for q in way) for way in ways[w])
+            found += p
+        out.append((i, held, len(words) + 1, sum(w in whole for w in words) + bool(groups), total, base, math.log10(found)))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [3, 32_768])
+def test_lattice_scores(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lattice, "FREQUENT", frequent)
+    rnd = np.random.default_rng(6)
+    words = ["the", "The", "eau", "eaueau", "thing", "of", "é", "x\u00a0y", "zq", "\u2581a", "ofthe", "!", "ing."]
+    rows = [(i, " ".join(rnd.choice(words, int(rnd.integers(0, 9)))), ["en", "fr", None][i % 3]) for i in range(60)]
+    rows += [(7, "the the eau", "en"), (None, "of nothing", "en"), (90, None, "fr"), (91, "", None), (92, " \n\t", "fr"), (93, "of", "de")]
+    frame = spark.createDataFrame([(*r, 1.0, "clash") for r in rows], "doc_id long, text string, lang string, score double, word string").repartition(3)
+    got = lattice.lm_scores(frame, path("piece_bpe_32k.model")).collect()
+    expected = plain_scores(rows, lattice.Vocabulary(path("piece_bpe_32k.model")))
+    key = lambda r: (str(r[0]), *map(repr, r[1:5]), round(r[5], 6))
+    assert any(r[1] for r in expected)
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-4)
+
+
+def test_lattice_scores_without_training_texts_and_of_long_words(spark):
+    model = path("piece_bpe_32k.model")
+    assert lattice.lm_scores(spark.createDataFrame([], "doc_id long, text string, lang string"), model).collect() == []
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = spark.createDataFrame([(held, "ab", "en"), (held, None, None), (held, "w" * 3000, "en")], "doc_id long, text string, lang string")
+    found = {r.n_tokens + len(str(r.score)): r for r in lattice.lm_scores(rows, model).collect()}
+    assert len(found) == 3
+    for r in found.values():
+        assert r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0.0 and np.isfinite(r.score) and r.score < 0
+
+
+def test_lattice_model_beats_the_base_on_texts_it_has_not_seen(spark):
+    """Words made of syllables of two languages: new ones are spelt, and a text's language is found."""
+    rnd = np.random.default_rng(9)
+    parts = {"a": ["eau", "ment", "ou", "la", "que", "tre"], "b": ["ing", "the", "ed", "er", "sh", "ou"]}
+    rows = []
+    for i in range(400):
+        g = "ab"[i % 2]
+        rows.append((i, " ".join("".join(rnd.choice(parts[g], int(rnd.integers(1, 5)))) for _ in range(30)), g))
+    got = lattice.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path("piece_bpe_32k.model")).where("held_out").collect()
+    assert len(got) > 20 and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
