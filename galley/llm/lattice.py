@@ -17,7 +17,7 @@ from galley.llm import common, textkit
 #: count for words that are spelt.
 GROUPS, ROUNDS, STRENGTH, DISCOUNT = 8, 4, 500.0, 0.75
 #: Most frequent words, of at most SHORT bytes, whose figures all tasks hold; figures of the others are joined. Speed only.
-FREQUENT, SHORT = 32_768, 64
+FREQUENT, SHORT = 65_536, 64
 #: Cells of a lattice worked on at once. Memory only.
 CELLS = 1 << 21
 _LOW = -1e30
@@ -136,9 +136,9 @@ def by_size(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(batch, words, word of each token, bounds of the rows' tokens), a few megabytes at a time."""
+    """(batch, words, word of each token, bounds of the rows' tokens), about a megabyte at a time."""
     for whole in batches:
-        for batch in textkit.slices(whole):
+        for batch in textkit.slices(whole, limit=1 << 20):
             data, offsets = textkit.utf8(batch.column("text"))
             starts, ends, bounds = textkit.word_spans(data, offsets)
             text, at = textkit.normal(data, starts, ends)
