@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,20 @@ def _hits(held: np.ndarray, grams: np.ndarray) -> int:
     return int((held[at] == grams).sum())
 
 
+def overlap(num: int, den: int) -> tuple[Callable[[str, str], str], Callable[[str, str], str]]:
+    """SQL of the overlap that sets of two sizes need, and of the least of it that lies in both prefixes: what comes after
+    them can add no more than the larger set's rest."""
+    both = num + den
+    need = lambda x, y: f"(({x} + {y}) * {num} + {both - 1}) div {both}"
+    return need, lambda x, y: f"{need(x, y)} - ({num} * greatest({x}, {y}) + {den - 1}) div {den} + 1"
+
+
+def fewest(least: Callable[[str, str], str]) -> str:
+    """SQL of what a set of n n-grams must share at least with a group of sizes lo to hi. Without roundings the least of it
+    is at one of the ends; the two roundings can make it one less in between."""
+    return f"greatest(1, least({least('n', 'lo')}, {least('n', 'hi')}) - 1)"
+
+
 class JaccardJoin:
     """Documents whose sets of k-word shingles have |A & B| * den >= num * |A | B|.
 
@@ -252,7 +266,8 @@ class JaccardJoin:
 
     def _candidates(self, groups: DataFrame) -> DataFrame:
         """Pairs of nodes of different groups that may link, by their common prefix n-grams."""
-        num, den, both = self.num, self.den, self.num + self.den
+        num, den = self.num, self.den
+        need, least = overlap(num, den)
         nodes = self.classes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
         nodes = common.materialize(nodes, "nodes")
         nodes = nodes.join(common.large(nodes.groupBy("grp").agg(F.count("*").alias("size"))), "grp")
@@ -266,14 +281,6 @@ class JaccardJoin:
         entries = common.materialize(entries.join(common.large(mixed), "h"), "entries")
         self.used = [rows, mixed, entries]
 
-        def need(x: str, y: str) -> str:
-            """The overlap that sets of these sizes need, and the least of it that lies in both prefixes: what comes after
-            them can add no more than the larger set's rest."""
-            return f"(({x} + {y}) * {num} + {both - 1}) div {both}"
-
-        def least(x: str, y: str) -> str:
-            return f"{need(x, y)} - ({num} * greatest({x}, {y}) + {den - 1}) div {den} + 1"
-
         # First each set meets whole groups, the larger of two being met: a group's list holds an n-gram once for each
         # size block, however many members have it. A block is one size class: partners of n are in n's own and the two
         # beside it, and the others are skipped.
@@ -283,7 +290,7 @@ class JaccardJoin:
         hits = probe.join(common.large(lists), ["h", "block"]).where(fit).groupBy("node", F.col("y.grp").alias("other"), "block")
         hits = hits.agg(F.count("*").alias("c"), F.min("x.n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         hits = hits.withColumn("lo", F.expr(f"greatest(lo, (n * {num} + {den - 1}) div {den})")).withColumn("hi", F.expr(f"least(hi, n * {den} div {num})"))
-        close = hits.where(f"c >= least({least('n', 'lo')}, {least('n', 'hi')})").select("node", "other", "block")
+        close = hits.where(f"c >= {fewest(least)}").select("node", "other", "block")
         close = common.materialize(close, "close")
         self.used.append(close)
         # Then it meets the members of the groups that are left.
