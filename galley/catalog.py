@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galley.functions import classify, durations, measures, nouns, prose, titles
 from galley.functions import text as text_functions
 from galley.operators import keyed, library, match, shopping, text_search
+from galley.plans import lines as line_plans
 from galley.plans import recipes as recipe_plans
 from galley.sources.tables import load, star
 
@@ -275,5 +276,5 @@ ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x
     "singular_words": "SELECT * FROM (VALUES (0, 'leaf'), (1, 'potato'), (2, 'berry'), (3, 'radish'), (4, 'hummus'), (5, 'greens'), (6, 'onion'), (7, NULL)) t(i, word)",
 }
 
-QUERIES |= recipe_plans.QUERIES
-ORACLE_SQL |= recipe_plans.ORACLE_SQL
+QUERIES |= recipe_plans.QUERIES | line_plans.QUERIES
+ORACLE_SQL |= recipe_plans.ORACLE_SQL | line_plans.ORACLE_SQL

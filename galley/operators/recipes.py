@@ -16,7 +16,7 @@ LEAST, GAP, ABOVE, METHOD = 3, 2, 14, 80
 PARTS = ("ingredients", "method", "directions", "instructions", "preparation", "introduction", "contents", "index", "acknowledgements", "copyright")
 METHODS = ("method", "directions", "instructions", "preparation")
 # Words that a title may write small.
-SMALL = ("a", "an", "and", "the", "of", "with", "in", "on", "for", "to", "or", "from", "by", "at", "as", "de", "la", "le", "al")
+SMALL = ("a", "an", "the", "and", "or", "of", "with", "in", "on", "for", "to", "from", "at", "by", "de", "la", "le", "el", "con", "alla", "all")
 # Words before the numbers of a recipe.
 LABELS = ("serves", "servings", "makes", "yield", "yields", "feeds", "prep", "preparation", "cook", "cooking", "total", "ready in", "active", "bake", "chill", "rest")
 _NUMBERS = rf"(?i)\b(?:{'|'.join(LABELS)})\b\P{{L}}*(?:\d|time)"
