@@ -57,7 +57,7 @@ def matched_many(star: Star, pantries: DataFrame) -> DataFrame:
 
     Names meet the ingredients' runs of words by one equi-join; a recipe's core count is made once and shared by all
     pantries; only links of an ingredient that some pantry holds are met."""
-    longest = 4
+    longest = pantries.agg(F.max(F.size(F.split(F.trim("name"), " ")))).first()[0] or 1
     words = F.split("canonical", " ")
     runs = F.flatten(
         F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " ")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +21,19 @@ def _rich(s: SparkSession, d: str) -> Star:
     """The star with what a reader of books knows of a recipe beside its row."""
     st = star(s, d)
     more = {
-        "time_source": F.when(F.col("id") % 5 == 0, "estimate").otherwise("label"), "long_wait": F.col("id") % 7 == 0,
+        "time_source": F.get(F.array(*map(F.lit, ("estimate", "label", "labels-summed", "edited", "method"))), (F.col("id") % 6).cast("int")), "long_wait": F.col("id") % 7 == 0,
         "confidence": (F.col("id") % 10) / 10, "n_unknown": F.col("id") % 4,
     }
     return Star(st.recipes.withColumns(more), st.books, st.ingredients, st.links, st.tags)
 
 
 _RICH = """r AS (SELECT o_orderkey AS id, o_custkey AS book_id, o_orderpriority AS title, o_orderstatus AS section, floor(o_totalprice / 1000)::INT AS minutes,
-  o_orderkey % 5 = 0 AS estimate, o_orderkey % 7 = 0 AS long_wait, (o_orderkey % 10) / 10 AS confidence, o_orderkey % 4 AS n_unknown FROM orders)"""
+  o_orderkey % 6 IN (1, 2, 3) AS stated, o_orderkey % 7 = 0 AS long_wait, (o_orderkey % 10) / 10 AS confidence, o_orderkey % 4 AS n_unknown FROM orders)"""
 _COUNTS = f"""{_LINKS}, c AS (SELECT recipe_id AS id, count(*) FILTER (p_type <> 'ECONOMY') AS n_core, count(*) FILTER (p_type <> 'ECONOMY' AND ({_HIT})) AS n_matched,
   bool_or({_HIT}) AS touched FROM links JOIN part ON p_partkey = ingredient_id GROUP BY recipe_id),
 f AS (SELECT id, n_matched, n_core - n_matched AS missing, CASE WHEN n_core > 0 THEN n_matched / n_core ELSE 1.0 END AS coverage FROM c WHERE touched)"""
+_MARKS = """m AS (SELECT l_orderkey AS id, bool_or(o_orderpriority IN ('1-URGENT', '5-LOW')) AS cuisine, count(DISTINCT l_linestatus) FILTER (l_linestatus IN ('F', 'O')) = 2 AS diet,
+  NOT bool_or(l_returnflag = 'R') AS free FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)"""
 _SCORE = "round(100 * coverage - 34 * greatest(0, missing) + 8 * confidence + 6 * CASE WHEN minutes IS NULL THEN 0.0 ELSE greatest(0.0, 1 - minutes / 180) END + least(n_matched, 6), 6)"
 
 
@@ -109,6 +112,37 @@ def _edited(s: SparkSession, d: str) -> DataFrame:
     return library.changed(book, now, ["id"], ["title", "price", "status"])
 
 
+def _dietary(s: SparkSession, d: str) -> Star:
+    """The star with tags for diets, allergens and cuisines."""
+    st = _rich(s, d)
+    kind = F.when(F.col("kind") == "flag", find.ALLERGEN).when(F.col("kind") == "status", find.DIET).otherwise("cuisine")
+    return Star(st.recipes, st.books, st.ingredients, st.links, st.tags.withColumn("kind", kind))
+
+
+DIETARY = find.Search(
+    pantry=PANTRY, tolerance=2, max_minutes=300, tags={"cuisine": ["1-URGENT", "5-LOW"]}, diets=["F", "O"], free_from=["R"], strict=True, stated_only=True,
+    order="quickest", limit=200,
+)
+
+
+def _dietary_found(s: SparkSession, d: str) -> DataFrame:
+    star = _dietary(s, d)
+    return find.find(star, dataclasses.replace(DIETARY, title_words=["urg"]), star.recipes.where("id % 3 > 0"))
+
+
+def _facets(s: SparkSession, d: str) -> DataFrame:
+    star = _dietary(s, d)
+    return find.facets(star, dataclasses.replace(DIETARY, stated_only=False), star.recipes.where("id % 3 > 0"))
+
+
+def _one_edition(s: SparkSession, d: str) -> DataFrame:
+    """Dishes of one title and one core name, those of every seventh recipe saved."""
+    st = _rich(s, d)
+    links = st.links.where("position = 1")
+    titled = st.recipes.withColumn("title", F.concat(F.col("title"), F.lit("!")))
+    return find.find(Star(titled, st.books, st.ingredients, links, st.tags), find.Search(order="quickest", one_edition=True, limit=300), saved=st.recipes.where("id % 7 = 0"))
+
+
 def _find(order: str, **more) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: find.find(_rich(s, d), find.Search(order=order, **more))
 
@@ -141,6 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diet_strict": lambda s, d: diet.fits(diet.profile(*_classes(s, d)), ["vegetarian"], ["milk"], True).select("recipe_id"),
     "find_best": _find("best", pantry=PANTRY, tolerance=2, max_minutes=150, least_confidence=0.2, no_long_wait=True, tags={"flag": ["R"], "priority": ["1-URGENT", "5-LOW"]}),
     "find_quickest": _find("quickest", words=["low"], stated_only=True, strict=True, without=["cold"], limit=100, offset=5),
+    "find_dietary": _dietary_found,
+    "facets_of_search": _facets,
+    "one_edition_saved": _one_edition,
     "find_relaxed": _find("coverage", pantry=PANTRY, relax=True, author="7", without_tags={"status": ["F"]}, limit=60),
     "shopping_list": lambda s, d: listing.whole(*_shopping(s, d)),
     "shopping_badge": lambda s, d: listing.badge(listing.whole(*_shopping(s, d))),
@@ -174,8 +211,20 @@ CASE WHEN NOT meat AND NOT sea AND rennet IS NOT NULL THEN 'made with animal ren
     "find_best": f"""WITH {_RICH}, {_COUNTS} SELECT id, {_SCORE} AS score, coverage, missing, minutes FROM f JOIN r USING (id) WHERE missing <= 2 AND minutes <= 150 AND confidence >= 0.2 AND NOT long_wait
 AND title IN ('1-URGENT', '5-LOW') AND id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY score DESC, minutes, id LIMIT 40""",
     "find_quickest": f"""WITH {_RICH}, {_LINKS}, f AS (SELECT *, 1.0::DOUBLE AS coverage, 0::BIGINT AS missing, 0 AS n_matched FROM r)
-SELECT id, {_SCORE} AS score, coverage, missing, minutes FROM f WHERE title = '5-LOW' AND NOT estimate AND n_unknown = 0
+SELECT id, {_SCORE} AS score, coverage, missing, minutes FROM f WHERE title = '5-LOW' AND stated
 AND id NOT IN (SELECT recipe_id FROM links JOIN part ON p_partkey = ingredient_id WHERE lower(p_name) LIKE 'cold %') ORDER BY coalesce(minutes, 999999), score DESC, id LIMIT 100 OFFSET 5""",
+    "find_dietary": f"""WITH {_RICH}, {_COUNTS}, {_MARKS} SELECT id, {_SCORE} AS score, coverage, missing, minutes FROM f JOIN r USING (id) JOIN m USING (id)
+WHERE missing <= 2 AND minutes <= 300 AND stated AND id % 3 > 0 AND title LIKE '%URG%' AND cuisine AND diet AND free AND n_unknown = 0 ORDER BY minutes, score DESC, id LIMIT 200""",
+    "facets_of_search": f"""WITH {_RICH}, {_COUNTS}, {_MARKS}, b AS (SELECT id, cuisine, diet, free, title FROM f JOIN r USING (id) JOIN m USING (id) WHERE missing <= 2 AND minutes <= 300 AND id % 3 > 0 AND n_unknown = 0),
+t AS (SELECT DISTINCT l_orderkey AS id, 'allergen' AS kind, l_returnflag AS value FROM lineitem UNION SELECT l_orderkey, 'diet', l_linestatus FROM lineitem UNION ALL SELECT id, 'cuisine', title FROM r)
+SELECT kind, value, count(*) AS n FROM b JOIN t USING (id) WHERE (kind = 'cuisine' OR cuisine) AND (kind = 'diet' OR diet) AND (kind = 'allergen' OR free) GROUP BY kind, value""",
+    "one_edition_saved": f"""WITH {_RICH}, k AS (SELECT l_orderkey AS id, l_partkey FROM lineitem GROUP BY ALL HAVING min(l_linenumber) = 1),
+c AS (SELECT id, string_agg(DISTINCT lower(p_name), '|' ORDER BY lower(p_name)) AS names FROM k JOIN part ON p_partkey = l_partkey WHERE p_type <> 'ECONOMY' GROUP BY id),
+s AS (SELECT *, 1.0::DOUBLE AS coverage, 0::BIGINT AS missing, 0 AS n_matched FROM r LEFT JOIN c USING (id)),
+w AS (SELECT id, {_SCORE} AS score, coverage, missing, minutes, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') || '|' || coalesce(names, '') AS dish FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY coalesce(minutes, 999999), score DESC, id) AS place FROM w),
+q AS (SELECT *, min(place) OVER (PARTITION BY dish) AS first, row_number() OVER (PARTITION BY dish ORDER BY id % 7 <> 0, place) AS nth FROM p)
+SELECT id, score, coverage, missing, minutes FROM q WHERE nth = 1 ORDER BY first LIMIT 300""",
     "find_relaxed": f"""WITH {_RICH}, {_COUNTS}, a AS (SELECT f.*, minutes, confidence FROM f JOIN r USING (id) JOIN customer ON c_custkey = book_id WHERE c_name LIKE '%7%'
 AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')), t AS (SELECT CASE WHEN min(missing) <= 0 THEN 0 WHEN min(missing) <= 2 THEN 2 WHEN min(missing) <= 4 THEN 4 ELSE 99 END AS most FROM a)
 SELECT id, {_SCORE} AS score, coverage, missing, minutes FROM a, t WHERE missing <= most ORDER BY coverage DESC, missing, confidence DESC, id LIMIT 60""",
