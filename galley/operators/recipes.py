@@ -1,7 +1,7 @@
 """Recipes out of a book's blocks: runs of ingredient lines, the title above each, the method below it.
 
-Blocks are rows (book, position, kind, level, bold, text, is_line); is_line marks ingredient lines, level is that of a heading,
-else null. Each step is a join on (book, run) or a window within one book."""
+Blocks are rows (book, position, kind, level, bold, text, is_line); is_line marks ingredient lines (lines.mark_lines), level is
+that of a heading, else null. Each step is a join on (book, run) or a window within one book."""
 
 from __future__ import annotations
 
@@ -9,17 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions.measures import let
+from galley.vocabulary import VERBS
 
-#: Fewest lines of a run, most blocks without a line inside one, blocks above a run that may name it, most blocks of a method.
-LEAST, GAP, ABOVE, METHOD = 3, 2, 14, 80
+#: Fewest lines of a run, most blocks without a line inside one, blocks above a run that may name it, most blocks of a method,
+#: blocks above a title that may hold its section.
+LEAST, GAP, ABOVE, METHOD, SECTION = 3, 2, 14, 80, 400
 # Headings that label a part of a recipe or of a book.
 PARTS = ("ingredients", "method", "directions", "instructions", "preparation", "introduction", "contents", "index", "acknowledgements", "copyright")
 METHODS = ("method", "directions", "instructions", "preparation")
 # Words that a title may write small.
 SMALL = ("a", "an", "the", "and", "or", "of", "with", "in", "on", "for", "to", "from", "at", "by", "de", "la", "le", "el", "con", "alla", "all")
 # Words before the numbers of a recipe.
-LABELS = ("serves", "servings", "makes", "yield", "yields", "feeds", "prep", "preparation", "cook", "cooking", "total", "ready in", "active", "bake", "chill", "rest")
-_NUMBERS = rf"(?i)\b(?:{'|'.join(LABELS)})\b\P{{L}}*(?:\d|time)"
+LABELS = ("serves", "servings", "makes", "yield", "feeds", "prep", "preparation", "cook", "cooking", "total", "ready in", "hands-on", "hands on", "active", "bake", "baking", "chill", "rest")
+_NUMBERS = rf"(?i)\b(?:{'|'.join(LABELS)})\b[^a-z]{{0,4}}(?:\d|time)"
+# Words that open a line saying how much a recipe makes, and what it may count.
+YIELDS = ("makes", "serves", "serving", "servings", "yield", "yields", "feeds")
+SERVED = (
+    "serving", "servings", "portion", "portions", "people", "burger", "burgers", "cookie", "cookies", "piece", "pieces", "slice", "slices", "bar", "bars", "muffin", "muffins",
+    "cupcake", "cupcakes", "quesadilla", "quesadillas", "pizza", "pizzas", "loaves", "loaf", "jar", "jars", "cake", "cakes", "sandwiches", "taco", "tacos", "roll", "rolls",
+    "scone", "scones", "pancake", "pancakes", "waffle", "waffles", "dozen",
+)
 
 
 def heading_key(text: Column) -> Column:
@@ -40,11 +49,22 @@ def is_title_case(text: Column) -> Column:
     return let(words, lambda ws: (F.size(ws) >= 2) & count(ws))
 
 
+def servings(header: Column, title: Column) -> Column:
+    """How much a recipe makes: after a word that says so, in the header or else the title, a number or a range and what is
+    counted, if that is a known thing; '' where nothing says it."""
+    number = rf"(?i)\b(?:{'|'.join(y for y in YIELDS)})\b[:\s]*(\d+(?:\s*(?:to|or|[-–])\s*\d+)?(?:\s+(?:{'|'.join(sorted(SERVED, key=len, reverse=True))}))?)"
+    found = lambda c: F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), number, 1))
+    return F.coalesce(F.nullif(found(header), F.lit("")), found(title))
+
+
 def fitness(kind: Column, level: Column, bold: Column, text: Column) -> Column:
-    """How well a block names a recipe, null if it cannot: a heading, best of level 2 or 3, in title case, in bold."""
+    """How well a block names a recipe, null if it cannot: a heading, best of level 2 or 3, in title case, in bold. A line that
+    says how much a recipe makes names none, nor does one that opens with a verb of cooking, unless it is a heading."""
     words = F.size(F.split(F.trim(text), r"\s+"))
     prose = F.trim(text).rlike(r"[.!?]$") & (words > 4)
-    possible = (kind != "image") & F.length(F.trim(text)).between(2, 120) & (words <= 14) & ~prose & ~is_part(text) & ~text.rlike(_NUMBERS)
+    yields = F.trim(text).rlike(rf"(?i)^(?:{'|'.join(YIELDS)})\b")
+    order = level.isNull() & F.lower(F.regexp_extract(F.trim(text), r"^(\S+?)[,.]*(?:\s|$)", 1)).isin(*VERBS)
+    possible = (kind != "image") & F.length(F.trim(text)).between(2, 120) & (words <= 14) & ~prose & ~is_part(text) & ~text.rlike(_NUMBERS) & ~yields & ~order
     points = F.lit(1.0) + F.when(level.isNotNull(), 2.0).otherwise(0.0) + F.when(level.isin(2, 3), 1.0).otherwise(0.0)
     return F.when(possible, points + F.when(is_title_case(text), 2.0).otherwise(0.0) + F.when(bold, 0.5).otherwise(0.0))
 
@@ -74,7 +94,8 @@ def recipes(blocks: DataFrame) -> DataFrame:
     The title is the best of the ABOVE blocks over the run that follow the run before, nearer ones first by a fifth of a
     point a block; '' if none fits. The method is the text from the run's end to the next recipe's title, METHOD blocks at
     most, up to a heading of level 1 or 2 after its first text; the headings of methods are left out. The image is the
-    nearest to the title between the run before and that end. The section is the last heading of level 1 before the title.
+    nearest to the title between the run before and that end. The section is the last heading of level 1 among the SECTION
+    blocks before the title.
     Null texts are empty, empty tables give no rows."""
     rows = blocks.withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
     order = Window.partitionBy("book").orderBy("run")
@@ -100,10 +121,11 @@ def recipes(blocks: DataFrame) -> DataFrame:
     near = F.struct(F.abs(F.col("position") - F.col("title_at")), "position")
     images = seen.groupBy("book", "run").agg(F.min_by("text", near).alias("image"))
 
-    chapter = rows.where((F.col("level") == 1) & ~is_part(F.col("text"))).select("book", F.col("position").alias("at"), F.lit(0).alias("run"), F.col("text").alias("chapter"))
-    marks = named.select("book", F.col("title_at").alias("at"), "run", F.lit(None).cast("string").alias("chapter"))
+    chapter = rows.where((F.col("level") == 1) & ~is_part(F.col("text"))).select("book", F.col("position").alias("at"), F.lit(0).alias("run"), F.struct("position", "text").alias("chapter"))
+    marks = named.select("book", F.col("title_at").alias("at"), "run", F.lit(None).cast("struct<position: int, text: string>").alias("chapter"))
     upto = Window.partitionBy("book").orderBy("at", F.desc("run")).rowsBetween(Window.unboundedPreceding, 0)
-    sections = chapter.unionByName(marks).withColumn("section", F.last("chapter", True).over(upto)).where("run > 0").select("book", "run", "section")
+    sections = chapter.unionByName(marks).withColumn("section", F.last("chapter", True).over(upto)).where("run > 0")
+    sections = sections.select("book", "run", F.when(F.col("section.position") > F.col("at") - SECTION, F.col("section.text")).alias("section"))
     whole = named.join(texts, ["book", "run"], "left").join(images, ["book", "run"], "left").join(sections, ["book", "run"], "left")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return whole.select("book", "run", "title_at", "title", "first", "last", "lines", blank("method"), blank("image"), blank("section"))

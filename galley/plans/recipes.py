@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import steps
-from galley.operators import blocks, diet, find, library, listing, match, names, recipes
+from galley.functions import nouns, steps
+from galley.operators import blocks, diet, find, library, lines, listing, match, names, recipes
 from galley.sources.tables import Star, load, star
 
 PANTRY = ["red", "small", "gear"]
@@ -151,12 +151,19 @@ def _steps(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").select("doc_id", steps.split_steps(F.col("text"), None).alias("steps"))
 
 
+def page_vocabulary(found: DataFrame) -> DataFrame:
+    """The words that blocks of at most eight words end with, as names: pages have no word lists of their own."""
+    last = F.try_element_at(F.transform(names.words(F.col("text")), nouns.singular), F.lit(-1))
+    rows = found.where((F.col("kind") != "image") & (F.size(F.split("text", " ")) <= 8)).select(last.alias("key")).where("key is not null").distinct()
+    return rows.select(F.lit("noun").alias("kind"), "key", F.lit(None).cast("string").alias("target"))
+
+
 def page_blocks(s: SparkSession, d: str) -> DataFrame:
-    """Blocks of every page as a book's; texts of at most twelve words stand for ingredient lines."""
+    """Blocks of every page as a book's; ingredient lines are those that score so with the pages' own words."""
     rows = blocks.blocks(load(s, d, "pages"))
     level = F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int")
-    short = (F.col("kind") != "heading") & (F.col("kind") != "image") & (F.size(F.split("text", " ")) <= 12)
-    return rows.select(F.col("id").alias("book"), "position", "kind", level.alias("level"), F.lit(False).alias("bold"), "text", short.alias("is_line"))
+    rows = rows.select(F.col("id").alias("book"), "position", "kind", level.alias("level"), F.lit(False).alias("bold"), "text")
+    return lines.mark_lines(rows, page_vocabulary(rows))
 
 
 def _pantries(s: SparkSession, d: str) -> DataFrame:

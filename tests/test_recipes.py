@@ -46,7 +46,7 @@ def cut(blocks, fit):
                 break
             method.append(text)
         near = [(abs(i - at), i) for i in range(low, stop) if blocks[i]["kind"] == "image"]
-        named = [b["text"].strip() for b in blocks[:at] if b["level"] == 1 and not part(b["text"])]
+        named = [b["text"].strip() for b in blocks[max(0, at - recipes.SECTION + 1) : at] if b["level"] == 1 and not part(b["text"])]
         rows.append((n + 1, at, title, r[0], r[-1], len(r), "\n".join(method), (blocks[min(near)[1]]["text"] or "" if near else ""), named[-1] if named else ""))
     return rows
 
@@ -61,14 +61,16 @@ def held(spark, frame):
     want = {(k, *row) for k, blocks in books.items() for row in cut(blocks, lambda b: b["fit"])}
     got = [tuple(r) for r in recipes.recipes(frame).collect()]
     assert len(got) == len(set(got)) and set(got) == want, (sorted(set(got) - want)[:2], sorted(want - set(got))[:2])
+    cooking = [b for blocks in books.values() for b in blocks if b["text"] == "Whisk, then rest"]
+    assert all((b["fit"] is not None) == (b["level"] is not None and b["kind"] != "image") for b in cooking)
     fits = {b["text"] for blocks in books.values() for b in blocks if b["fit"] is not None}
-    assert not fits & {"Method", "Serves 4", "Contents", "x", "", None}
+    assert not fits & {"Method", "Serves 4", "Makes about 20", "Contents", "x", "", None}
     return got
 
 
 def test_recipes_of_made_books(spark):
     dice = random.Random(5)
-    texts = ["Lemon Tart", "soup", "Method", "For the sauce", "Mix it well and let it stand there.", "Serves 4", "2 eggs", "", None, "Bean and Leek Pie", "Contents", "x"]
+    texts = ["Lemon Tart", "soup", "Method", "For the sauce", "Mix it well and let it stand there.", "Serves 4", "2 eggs", "", None, "Bean and Leek Pie", "Contents", "x", "Whisk, then rest", "Makes about 20"]
     rows = []
     for book in range(40):
         for position in range(dice.choice([0, 5, 60, 300])):
@@ -85,6 +87,20 @@ def test_recipes_of_whole_pages(spark):
     assert got and "page_recipes" in __spark_entry__.queries()
 
 
+def test_sections_are_near(spark):
+    rows = [(b, p, "heading" if p == 0 else "text", 1 if p == 0 else None, False, "Soups" if p == 0 else "x", p > far) for b, far in ((1, 399), (2, 401)) for p in range(far + 4)]
+    got = {r.book: (r.section, r.title_at) for r in recipes.recipes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: ("", 400), 2: ("", 402)}
+    near = spark.createDataFrame([r for r in rows if r[0] == 1 and r[1] > 0] + [(1, 5, "heading", 1, False, "Soups", False)], SCHEMA).where("position <> 5 or kind = 'heading'")
+    assert recipes.recipes(near).first().section == "Soups"
+
+
+def test_servings(spark):
+    rows = [("Serves 4 to 6 Prep 10", "", "4 to 6"), ("MAKES: 12 muffins", "", "12 muffins"), ("Serves 6 CINNAMON", "", "6"), ("", "Buns (makes 8)", "8"), ("for 4", None, ""), (None, None, ""), ("Yields 2 loaves", "serves 9", "2 loaves")]
+    frame = spark.createDataFrame(rows, "header string, title string, want string")
+    assert frame.where(recipes.servings(F.col("header"), F.col("title")) != F.col("want")).count() == 0
+
+
 def test_titles(spark):
     rows = [("Lemon and Garlic Roast Chicken", True), ("Salt and freshly ground black pepper", False), ("Soup", False), ("", False), ("Ål à la Crème", True)]
     frame = spark.createDataFrame(rows, "text string, want boolean")
