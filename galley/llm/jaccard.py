@@ -19,6 +19,8 @@ SEEDS = np.random.default_rng(7).integers(1, 2**63, 12, dtype=U) * U(2) + U(1)
 AGREE = 7
 #: Rounds of leaders after the first, and leaders a bucket in each. Speed only.
 ROUNDS, LEADERS = 2, 6
+#: Pairs of two groups that are compared before all others. Speed only.
+PICKS = 48
 #: The order of n-grams puts frequent ones last. It needs no exact counts: a task reports n-grams in at least
 #: LOCAL of its documents (the TASK_TOP most frequent), and the TABLE most frequent of those with FREQUENT or
 #: more are sent to all tasks, at most 16 bytes each. Any order gives the same result. Speed only.
@@ -257,15 +259,13 @@ class JaccardJoin:
         mins = self._buckets()
         near = self._verified(self._leaders(mins, [F.col("liked"), -F.col("id")]))
         for r in range(ROUNDS):
-            groups = components(near)
-            side = lambda c: common.large(groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")))  # noqa: B023, E731
-            pairs = self._leaders(mins, [F.xxhash64("id", F.lit(LEADERS * r + n)) for n in range(LEADERS)]).join(side("a"), "a", "left").join(side("b"), "b", "left")
-            near = near.union(self._verified(pairs.where("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")))
+            pairs = self._leaders(mins, [F.xxhash64("id", F.lit(LEADERS * r + n)) for n in range(LEADERS)])
+            near = near.union(self._verified(self._apart(pairs, components(near)).select("a", "b")))
         common.release(mins)
         return near
 
     def _candidates(self, groups: DataFrame) -> DataFrame:
-        """Pairs of nodes of different groups that may link, by their common prefix n-grams."""
+        """(a, b, c): pairs of nodes of different groups that may link, by the c prefix n-grams they share."""
         num, den = self.num, self.den
         need, least = overlap(num, den)
         nodes = self.classes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
@@ -305,18 +305,34 @@ class JaccardJoin:
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
             F.expr(f"if({last}, {pos} + 1, 0) - if({first}, {pos}, 0)").alias("c"), F.expr(least("x.n", "y.n")).alias("least"),
         )
-        return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
+        return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b", "c")
 
     def links(self) -> DataFrame:
         """(a, b): every link between two classes, named by their smallest ids, a < b."""
-        return self._verified(self._candidates(self.classes.select("node", F.col("node").alias("component"))))
+        return self._verified(self._candidates(self.classes.select("node", F.col("node").alias("component"))).select("a", "b"))
 
     def spanning(self) -> DataFrame:
-        """(a, b): links between classes, a < b, enough to connect every group of linked classes."""
+        """(a, b): links between classes, a < b, enough to connect every group of linked classes.
+
+        Of the pairs of two groups the likeliest few are compared first: where one of them links, the groups are one and
+        the others are not compared. All pairs of groups that are still apart are."""
         near = self._near()
-        far = self._verified(self._candidates(components(near)))
+        groups = components(near)
+        found = common.materialize(self._candidates(groups), "candidates")
+        common.release(*self.used)
+        self.used = []
+        first = self._apart(found, groups).groupBy("ga", "gb", F.pmod(F.xxhash64("a", "b"), F.lit(PICKS))).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
+        near = near.union(self._verified(first.select("p.a", "p.b")))
+        far = self._verified(self._apart(found, components(near)).select("a", "b"))
         return common.materialize(near.union(far).distinct(), "links")
 
+    @staticmethod
+    def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """pairs with their ends' groups, ga < gb, of those that are not in one."""
+        side = lambda c: common.large(groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")))
+        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"ga": F.coalesce("ga", "a"), "gb": F.coalesce("gb", "b")})
+        return named.where("ga <> gb").withColumns({"ga": F.least("ga", "gb"), "gb": F.greatest("ga", "gb")})
+
     def linked(self) -> DataFrame:
         """(id, n_shingles, node, n_links): each row's class, and the number of rows beside it that are in the same
         class or in one linked with it."""
