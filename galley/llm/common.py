@@ -15,16 +15,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders of sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A temporary one serves only where that is unset and all
-    tasks run in this machine's one process, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. One of our own serves only where that is unset and all tasks
+    run in this machine's one process, as in tests; a running session takes no such setting, so it is remembered here."""
+    context, found = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-galley-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/galley-{spark.sparkContext.applicationId}"
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-galley-")
+        found = _OWN[context.applicationId]
+    return f"{found}/galley-{context.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
