@@ -74,12 +74,13 @@ def _logit(p: Column) -> Column:
 
 
 def document_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = FIT_ROWS):
-    """Fit on at most rows labelled documents, chosen by hash of the id whatever the tables' size."""
+    """Fit on at most rows labelled documents, chosen by hash of the id whatever the tables' size; as many ids and labels
+    are sent to all tasks, so that no text moves but theirs."""
     shape = F.arrow_udf(lambda t: pa.array(list(features(t)), pa.list_(pa.float64())), "array<double>")
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = common.materialize(texts.join(chosen, "doc_id").select("doc_id", "quality", shape("text").alias("x")), "labelled")
+    found = common.materialize(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", shape("text").alias("x")), "labelled")
     table = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toArrow()  # rows that share an id count too
     x = np.array(table["x"].to_pylist(), float).reshape(-1, N)
     return fit(x, np.asarray(table["quality"], float))
