@@ -90,26 +90,11 @@ def _overlay(s: SparkSession, d: str) -> DataFrame:
     return keyed.overlay(recipes, edits.select("id", "fields"), ["id"], "k int").select("id", "title", "minutes", "k")
 
 
-def _literals(rows: list[tuple], column: Callable[[], dict], schema: str = "x string") -> Callable[[SparkSession, str], DataFrame]:
-    """A query over fixed inputs, each with its place i."""
-    return lambda s, d: s.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {schema}").select("i", *(c.alias(n) for n, c in column().items()))
-
-
-LINES = [("2 tbsp olive oil",), ("1 1/2 cups flour",), ("1½ cups whole milk",), ("2-3 tablespoons parsley",), ("100g dark chocolate",), ("a pinch of saffron",), ("1 x 400g can chopped tomatoes",), ("Preheat the oven to 200C.",)]
-TIMES = [("Prep: 15 mins  Cook: 30 mins", ""), ("Ready in 1 hour 10 minutes", ""), ("Total 1-1/2 hours", ""), ("Serves 4", "Simmer for 20 minutes. Bake for 25 minutes."), ("Serves 4", "Marinate overnight. Grill for 8 minutes.")]
-STEPS = [("Bake until golden, 8 to 10 minutes.",), ("Cook 2½ to 3 minutes more.",), ("Rest for half an hour.",), ("Take a 15-minute walk.",), ("Bake 1 hour 15 minutes.",)]
-
-
 def _quantity() -> dict:
     q = measures.parse_quantity(F.col("x"))
     return {"quantity": q["quantity"], "unit": q["unit"], "rest": q["rest"]}
 
 
-def _times() -> dict:
-    t = durations.extract_time(F.col("x"), F.col("y"))
-    return {"total": t["total"], "source": t["source"], "long_wait": t["long_wait"]}
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pantry_match": _pantry_match,
     "pantry_coverage": lambda s, d: match.matched(star(s, d), PANTRY),
@@ -150,21 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nice_numbers": lambda s, d: load(s, d, "lineitem").select("l_quantity").distinct().select("l_quantity", measures.nice_number(F.col("l_quantity") / 4).alias("written")),
     "conversation_text": lambda s, d: load(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " · ").alias("text")),
     "complete_title": lambda s, d: library.completions(star(s, d).ingredients, "canonical", "b").withColumnRenamed("value", "canonical"),
-    "parse_quantity": _literals(LINES, _quantity),
-    "extract_time": _literals(TIMES, _times, "x string, y string"),
-    "find_timers": _literals(STEPS, lambda: {"labels": F.array_join(F.transform(durations.find_timers(F.col("x")), lambda t: t["label"]), ", ")}),
-    "scale_servings": _literals([("4",), ("4 to 6",), ("8 scones",), ("",), (None,)], lambda: {"base": measures.servings_base(F.col("x")), "doubled": measures.scale_servings(F.col("x"), 2)}),
-    "printed_metric": _literals([("1 lb (454 g) ground beef",), ("1 (26-oz [737-g]) bag frozen fries",), ("1 (4- to 5-lb [1.8- to 2.3-kg]) pork butt",), ("2 cups flour",)], lambda: {"metric": measures.printed_metric(F.col("x"))}),
-    "classify_recipes": _literals(
-        [("Pancakes", "", "flour,egg"), ("Beef stew", "", ""), ("Lemon tart", "Mains", ""), ("Crème brûlée", "Spanish plates", "creme fraiche"), ("Noodles", "", "fish sauce,lime"), ("Thai soup", None, None), ("Thing", "", "miso,mirin")],
-        lambda: {"meals": F.array_join(classify.meals(F.col("x"), F.col("y"), F.split("z", ",")), ", "), "cuisine": classify.cuisine(F.col("x"), F.col("y"), F.split("z", ","))["cuisine"]}, "x string, y string, z string",
-    ),
-    "diagnose_errors": _literals([("BadZipFile: a",), ("MemoryError",), ("odd",), (None,)], lambda: {"retry": classify.diagnose(F.col("x"))["retry"], "cause": F.substring(classify.diagnose(F.col("x"))["cause"], 1, 22)}),
-    "display_titles": _literals([("MOM'S PIE AND CREAM",), ("bbq chicken of the day",), ("Mixed Case title",), ("BLT",), ("",)], lambda: {"shown": titles.display_title(F.col("x"))}),
-    "convert_prose": _literals([("Preheat the oven to 350°F.",), ("Use a 9-inch tin.",), ("Roll to 1/4 inch thick.",), ("Add 2 lbs of potatoes.",), ("air fry at 400°F (200°C)",), ("Simmer for 20 minutes.",)], lambda: {"metric": prose.convert_text(F.col("x"))}),
-    "singular_words": _literals([("Leaves",), ("potatoes",), ("berries",), ("radishes",), ("hummus",), ("greens",), ("onions",), (None,)], lambda: {"word": nouns.singular(F.col("x"))}),
 }
 
+
 def _lines(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, line, x): every line of every document; a null text is one null line."""
     pieces = F.split("text", "\n", -1)
@@ -189,8 +162,7 @@ def _singulars(s: SparkSession, d: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", nouns.singular(F.col("word")).alias("singular"))
 
 
-#: What the driver runs for the names that QUERIES holds with typed rows: the same columns over all lines or texts of
-#: documents. The typed rows and their SQL are unit tests.
+#: Functions of recipe lines over all lines or texts of documents; tests/test_whole.py holds them against plain Python.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_quantity": _by_line(_quantity),
     "extract_time": _by_text(lambda: {n: durations.extract_time(F.col("head"), F.col("x"))[n] for n in ("total", "source", "long_wait")}),
@@ -263,18 +235,7 @@ SELECT l_quantity, CASE WHEN x >= 20 THEN round_even(x, 0)::INT::VARCHAR WHEN x
 ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x) WHEN 0.25 THEN '¼' WHEN 0.5 THEN '½' WHEN 0.75 THEN '¾' ELSE '' END END AS written FROM v""",
     "conversation_text": "SELECT conv_id, string_agg(coalesce(text, ''), ' · ' ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY 1",
     "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE lower(p_name) LIKE 'b%' GROUP BY 1 ORDER BY n DESC, length(canonical), canonical LIMIT 8",
-    "parse_quantity": """SELECT * FROM (VALUES (0, 2.0::DOUBLE, 'tbsp', 'olive oil'), (1, 1.5, 'cup', 'flour'), (2, 1.5, 'cup', 'whole milk'), (3, 2.5, 'tbsp', 'parsley'), (4, 100.0, 'g', 'dark chocolate'),
-(5, 1.0, 'pinch', 'saffron'), (6, 400.0, 'g', 'chopped tomatoes'), (7, NULL, NULL, 'Preheat the oven to 200C')) t(i, quantity, unit, rest)""",
-    "extract_time": "SELECT * FROM (VALUES (0, 45, 'labels-summed', false), (1, 70, 'label', false), (2, 90, 'label', false), (3, 45, 'method', false), (4, 8, 'method', true)) t(i, total, source, long_wait)",
-    "find_timers": "SELECT * FROM (VALUES (0, '8–10 min'), (1, '2½–3 min'), (2, '30 min'), (3, ''), (4, '1 h 15 min')) t(i, labels)",
-    "scale_servings": "SELECT * FROM (VALUES (0, 4, '8'), (1, 4, '8 to 12'), (2, 8, '16 scones'), (3, NULL, ''), (4, NULL, '')) t(i, base, doubled)",
-    "printed_metric": "SELECT * FROM (VALUES (0, '454 g'), (1, '737 g'), (2, '2.3 kg'), (3, NULL)) t(i, metric)",
-    "classify_recipes": "SELECT * FROM (VALUES (0, 'breakfast', 'american'), (1, 'lunch, dinner', NULL), (2, 'lunch, dinner', NULL), (3, 'lunch, dinner', 'french'), (4, 'lunch, dinner', NULL), (5, 'lunch', 'thai'), (6, 'lunch, dinner', 'japanese')) t(i, meals, cuisine)",
-    "diagnose_errors": "SELECT * FROM (VALUES (0, false, 'No zip archive could b'), (1, true, 'Memory ran out on this'), (2, true, 'Something else kept th'), (3, true, 'Something else kept th')) t(i, retry, cause)",
-    "display_titles": "SELECT * FROM (VALUES (0, 'Mom''s Pie and Cream'), (1, 'BBQ Chicken of the Day'), (2, 'Mixed Case title'), (3, 'BLT'), (4, '')) t(i, shown)",
-    "convert_prose": "SELECT * FROM (VALUES (0, 'Preheat the oven to 175°C.'), (1, 'Use a 23 cm tin.'), (2, 'Roll to 0.5 cm thick.'), (3, 'Add 905 g of potatoes.'), (4, 'air fry at 200°C'), (5, 'Simmer for 20 minutes.')) t(i, metric)",
-    "singular_words": "SELECT * FROM (VALUES (0, 'leaf'), (1, 'potato'), (2, 'berry'), (3, 'radish'), (4, 'hummus'), (5, 'greens'), (6, 'onion'), (7, NULL)) t(i, word)",
 }
 
-QUERIES |= recipe_plans.QUERIES | line_plans.QUERIES
+QUERIES |= WHOLE | recipe_plans.QUERIES | line_plans.QUERIES
 ORACLE_SQL |= recipe_plans.ORACLE_SQL | line_plans.ORACLE_SQL

@@ -3,10 +3,9 @@ from pyspark.sql import functions as F
 from galley.functions import prose
 
 CASES = {
-    "Preheat the oven to 350°F.": "Preheat the oven to 175°C.", "Bake at 425 degrees F for 20 minutes.": "Bake at 220°C for 20 minutes.",
-    "Use a 9-inch tin.": "Use a 23 cm tin.", "Roll to 1/4 inch thick.": "Roll to 0.5 cm thick.", "Add 2 lbs of potatoes.": "Add 905 g of potatoes.",
-    "air fry at 400°F (200°C)": "air fry at 200°C", "Simmer for 20 minutes.": "Simmer for 20 minutes.", "Preheat to 200°C.": "Preheat to 200°C.",
-    "Add 1 1/2 cups milk, then 1 cup.": "Add 360 ml milk, then 240 ml.", "Add ½ an onion": "Add ½ an onion", "": "", None: None,
+    "Heat to 300°F.": "Heat to 150°C.", "set at 475 degrees F, then 400 f": "set at 245°C, then 205°C", "an 8-inch pan": "an 20 cm pan", "strips 3/4 inch wide": "strips 2 cm wide",
+    "3 lbs of veal": "1.35 kg of veal", "grill at 450°F (230°C), then 350 (180 degrees C)": "grill at 230°C, then 180°C", "Rest 15 minutes.": "Rest 15 minutes.", "Warm to 90°C.": "Warm to 90°C.",
+    "2 1/2 cups rice, 3 cups stock": "600 ml rice, 720 ml stock", "¾ of a leek": "¾ of a leek", "212 degrees Fahrenheit [100 °C] exactly": "100°C exactly", "4 ounces": "115 g", "": "", None: None,
 }
 
 

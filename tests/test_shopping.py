@@ -6,16 +6,14 @@ from galley.operators import keyed, match, shopping
 
 def test_amounts(spark):
     lines = {
-        "linguine": ["200 g linguine", "150 g linguine"], "beef": ["1 kg beef", "500 g beef"], "stock": ["300 ml stock", "0.5 l stock"],
-        "olive oil": ["2 tbsp olive oil", "3 tbsp olive oil"], "salt": ["1 tsp salt", "1 tsp salt"], "egg": ["2 eggs", "1 egg"], "milk": ["1 cup milk"],
-        "garlic": ["4 cloves garlic", "1 tbsp minced garlic", "3 garlic cloves"], "pepper": ["pepper"],
+        "rice": ["120 g rice", "90 g rice"], "veal": ["1.5 kg veal", "750 g veal"], "broth": ["450 ml broth", "0.25 l broth"], "sesame oil": ["1 tbsp sesame oil", "2 tbsp sesame oil"],
+        "cumin": ["1 tsp cumin", "½ tsp cumin", "½ tsp cumin"], "leek": ["3 leeks", "2 leeks"], "cream": ["½ cup cream"], "chili": ["2 slices chili", "1 tbsp chopped chili", "1 slice chili"], "sumac": ["sumac"],
     }
     df = spark.createDataFrame([(k, x) for k, xs in lines.items() for x in xs], "key string, line string")
     q = measures.parse_quantity(F.col("line"))
     got = shopping.amounts(df.select("key", q["quantity"].alias("quantity"), q["unit"].alias("unit")))
     assert {r["key"]: r["amount"] for r in got.collect()} == {
-        "linguine": "350 g", "beef": "1.5 kg", "stock": "800 ml", "olive oil": "5 tbsp", "salt": "2 tsp", "egg": "3", "milk": "240 ml",
-        "garlic": "1 tbsp + 7 cloves", "pepper": "",
+        "rice": "210 g", "veal": "2.25 kg", "broth": "700 ml", "sesame oil": "3 tbsp", "cumin": "2 tsp", "leek": "5", "cream": "120 ml", "chili": "1 tbsp + 3 slices", "sumac": "",
     }
 
 
