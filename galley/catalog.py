@@ -12,6 +12,7 @@ from galley.functions import text as text_functions
 from galley.operators import keyed, library, match, shopping, text_search
 from galley.plans import lines as line_plans
 from galley.plans import recipes as recipe_plans
+from galley.plans import stored as stored_plans
 from galley.sources.tables import load, star
 
 PANTRY = ["red", "small", "gear", "blue widget"]
@@ -237,5 +238,5 @@ ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x
     "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE lower(p_name) LIKE 'b%' GROUP BY 1 ORDER BY n DESC, length(canonical), canonical LIMIT 8",
 }
 
-QUERIES |= WHOLE | recipe_plans.QUERIES | line_plans.QUERIES
-ORACLE_SQL |= recipe_plans.ORACLE_SQL | line_plans.ORACLE_SQL
+QUERIES |= WHOLE | recipe_plans.QUERIES | line_plans.QUERIES | stored_plans.QUERIES
+ORACLE_SQL |= recipe_plans.ORACLE_SQL | line_plans.ORACLE_SQL | stored_plans.ORACLE_SQL

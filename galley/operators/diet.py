@@ -38,6 +38,16 @@ def profile(lines: DataFrame, classes: DataFrame, allergens: DataFrame) -> DataF
     return by.select("recipe_id", "allergens", "unknown", some(diets).alias("diets"), caveat.alias("caveat"))
 
 
+def notes(lines: DataFrame, table: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(recipe_id, notes): what a reader is told beside the diets, an array in order of rank: of a vegetarian recipe's
+    cheeses made with rennet first (the profiles' caveat), then the notes (canonical, rank, note) of its ingredients, each
+    once. Recipes without any have an empty array."""
+    said = lines.join(table, "canonical").groupBy("recipe_id").agg(F.array_sort(F.collect_set(F.struct("rank", "note"))).alias("n"))
+    own = F.coalesce(F.col("n.note"), F.array().cast("array<string>"))
+    first = F.filter(F.array("caveat"), lambda c: c.isNotNull())
+    return profiles.join(said, "recipe_id", "left").select("recipe_id", F.concat(first, own).alias("notes"))
+
+
 def fits(found: DataFrame, diets: list[str], without: list[str], strict: bool) -> DataFrame:
     """Recipes that keep every diet and hold none of the allergens; strict also asks that every ingredient is known."""
     keep: Column = F.lit(True)
