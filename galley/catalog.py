@@ -112,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quickest": lambda s, d: star(s, d).recipes.orderBy(F.coalesce("minutes", F.lit(999999)), "id").limit(25).select("id", "minutes"),
     "ingredient_use": lambda s, d: star(s, d).links.groupBy("ingredient_id").agg(F.count("*").alias("n_recipes")),
     "popular_ingredients": lambda s, d: (st := star(s, d)).links.groupBy("ingredient_id").agg(F.count("*").alias("n")).join(st.ingredients.where("not is_staple").select(F.col("id").alias("ingredient_id"), "canonical"), "ingredient_id").orderBy(F.desc("n"), "ingredient_id").limit(24),
-    "tag_counts": lambda s, d: star(s, d).tags.groupBy("kind", "value").agg(F.count("*").alias("n")),
+    "tag_counts": lambda s, d: star(s, d).tags.distinct().groupBy("kind", "value").agg(F.count("*").alias("n")),
     "headline_stats": lambda s, d: star(s, d).recipes.agg(F.count("*").alias("recipes"), F.countDistinct("book_id").alias("books"), F.count_if(F.col("minutes") <= 30).alias("quick"), F.max("minutes").alias("longest")),
     "by_author": lambda s, d: (st := star(s, d)).recipes.join(st.books.select(F.col("id").alias("book_id"), "author"), "book_id").groupBy("author").agg(F.count("*").alias("n")),
     "title_groups": lambda s, d: star(s, d).books.groupBy(F.lower("title").alias("folded")).agg(F.max("title").alias("title"), F.count("*").alias("n")),

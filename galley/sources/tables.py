@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Star:
     """recipes (id, book_id, title, section, minutes, created), books (id, author, title), ingredients (id, canonical,
-    is_staple), links (recipe_id, ingredient_id, position, quantity), tags (recipe_id, kind, value)."""
+    is_staple), links (recipe_id, ingredient_id, position, quantity), tags (recipe_id, kind, value), whose rows may repeat."""
 
     recipes: DataFrame
     books: DataFrame
@@ -42,5 +42,5 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
     # One projection a kind, so that a filter on the kind leaves only its own scan.
     kinds = [(lines, "l_orderkey", "flag", "l_returnflag"), (lines, "l_orderkey", "status", "l_linestatus"), (orders, "o_orderkey", "priority", "o_orderpriority")]
     flat = [t.select(F.col(key).alias("recipe_id"), F.lit(kind).alias("kind"), F.col(value).alias("value")) for t, key, kind, value in kinds]
-    tags = flat[0].union(flat[1]).distinct().union(flat[2])
+    tags = flat[0].union(flat[1]).union(flat[2])
     return Star(recipes, books, parts, links, tags)
