@@ -235,7 +235,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN g >= 1000 THEN regexp_replace(format(
 SELECT l_quantity, CASE WHEN x >= 20 THEN round_even(x, 0)::INT::VARCHAR WHEN x >= 10 THEN floor(round_even(x * 2, 0) / 2)::INT::VARCHAR || CASE WHEN round_even(x * 2, 0)::INT % 2 = 1 THEN '½' ELSE '' END
 ELSE CASE WHEN x < 1 THEN '' ELSE floor(x)::INT::VARCHAR END || CASE x - floor(x) WHEN 0.25 THEN '¼' WHEN 0.5 THEN '½' WHEN 0.75 THEN '¾' ELSE '' END END AS written FROM v""",
     "conversation_text": "SELECT conv_id, string_agg(coalesce(text, ''), ' · ' ORDER BY turn, coalesce(text, '')) AS text FROM conversations GROUP BY 1",
-    "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE lower(p_name) LIKE 'b%' GROUP BY 1 ORDER BY n DESC, length(canonical), canonical LIMIT 8",
+    "complete_title": "SELECT lower(p_name) AS canonical, count(*) AS n FROM part WHERE lower(p_name) LIKE 'b%' OR lower(p_name) LIKE '% b%' GROUP BY 1 ORDER BY n DESC, length(canonical), canonical LIMIT 8",
 }
 
 QUERIES |= WHOLE | recipe_plans.QUERIES | line_plans.QUERIES | stored_plans.QUERIES

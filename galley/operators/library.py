@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.operators import text_search
 from galley.sources.tables import Star
 
 
-def suggestions(star: Star, typed: str, limit: int = 20) -> DataFrame:
+def suggestions(star: Star, typed: str, limit: int = 12) -> DataFrame:
     """(canonical, n): used ingredients whose name holds the typed text; an equal name first, then by use, then length."""
     wanted = typed.strip().lower()
     uses = star.links.groupBy("ingredient_id").agg(F.count("*").alias("uses"))
@@ -20,11 +23,22 @@ def suggestions(star: Star, typed: str, limit: int = 20) -> DataFrame:
 
 
 def completions(rows: DataFrame, column: str, typed: str, limit: int = 8) -> DataFrame:
-    """(value, n): values that begin with the typed text, by count, then length, then value; an empty text gives the most
-    frequent ones."""
-    wanted = typed.strip().lower()
-    by = rows.where(F.lower(column).startswith(wanted)).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return by.orderBy(F.desc("n"), F.length("value"), F.lower("value")).limit(limit)
+    """(value, n): values that hold, for each typed word, a word that begins with it, whatever the case; by count, then
+    length, then value. Spellings that differ in case alone are one value, shown as the greatest. Without a typed word the
+    first ones in the alphabet. Null values are left out."""
+    words = [w for w in re.split(r"[\W_]+", typed) if w]
+    found = rows.where(text_search.holds([column], words)) if words else rows.where(F.col(column).isNotNull())
+    by = found.groupBy(F.lower(column).alias("folded")).agg(F.max(column).alias("value"), F.count("*").alias("n"))
+    order = [F.desc("n"), F.length("value"), "folded"] if words else ["folded"]
+    return by.orderBy(*order).limit(limit).select("value", "n")
+
+
+def containing(rows: DataFrame, column: str, typed: str, limit: int = 8) -> DataFrame:
+    """(value, n): values that hold the typed text anywhere, whatever the case, by count, then value: of authors and books
+    people remember any part. Null and empty values are left out; an empty text fits all."""
+    found = rows.where((F.col(column) != "") & F.lower(column).contains(typed.strip().lower()))
+    by = found.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return by.orderBy(F.desc("n"), "value").limit(limit)
 
 
 def books_by_use(star: Star) -> DataFrame:
@@ -47,6 +61,20 @@ def headline(star: Star) -> DataFrame:
     return books.crossJoin(recipes).crossJoin(names).crossJoin(links).crossJoin(used)  # one row each
 
 
+def stats(star: Star) -> DataFrame:
+    """One row: books read and failed (books.status), recipes, ingredients, links, mean confidence to three places, recipes
+    with an image, with a time the book states, with a meal and with a cuisine (tags of these kinds)."""
+    books = star.books.agg(F.count_if(F.col("status") == "indexed").alias("books"), F.count_if(F.col("status") == "failed").alias("books_failed"))
+    recipes = star.recipes.agg(
+        F.count("*").alias("recipes"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("avg_confidence"),
+        F.count_if(F.coalesce("image", F.lit("")) != "").alias("with_photo"), F.count_if(F.col("time_source").isin("label", "labels-summed")).alias("timed"),
+    )
+    of = lambda kind, name: F.countDistinct(F.when(F.col("kind") == kind, F.col("recipe_id"))).alias(name)
+    tags = star.tags.where("kind in ('meal', 'cuisine')").agg(of("meal", "tagged"), of("cuisine", "with_cuisine"))
+    whole = [star.ingredients.agg(F.count("*").alias("ingredients")), star.links.agg(F.count("*").alias("links")), recipes, tags]
+    return reduce(DataFrame.crossJoin, whole, books)  # one row each
+
+
 def changed(book: DataFrame, now: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(key, changed): names of the fields in which a corrected row differs from the book's, for rows that differ; text is
     compared without white space at its ends."""

@@ -135,6 +135,19 @@ def _facets(s: SparkSession, d: str) -> DataFrame:
     return find.facets(star, dataclasses.replace(DIETARY, stated_only=False), star.recipes.where("id % 3 > 0"))
 
 
+def _named_recipes(s: SparkSession, d: str) -> DataFrame:
+    st = star(s, d)
+    return st.recipes.join(st.books.select(F.col("id").alias("book_id"), "author", F.col("title").alias("book")), "book_id")
+
+
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    st = _rich(s, d)
+    kind = F.when(F.col("kind") == "flag", "meal").when(F.col("kind") == "priority", "cuisine").otherwise("diet")
+    image = F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, None).otherwise("a.jpg")
+    status = F.when(F.col("id") % 10 == 0, "failed").when(F.col("id") % 10 == 1, None).otherwise("indexed")
+    return library.stats(Star(st.recipes.withColumn("image", image), st.books.withColumn("status", status), st.ingredients, st.links, st.tags.where("value <> 'N'").withColumn("kind", kind)))
+
+
 def _one_edition(s: SparkSession, d: str) -> DataFrame:
     """Dishes of one title and one core name, those of every seventh recipe saved."""
     st = _rich(s, d)
@@ -175,9 +188,11 @@ def _pantries(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pantry_batch": lambda s, d: match.matched_many(star(s, d), _pantries(s, d)).where("missing <= 1"),
     "suggest_ingredients": lambda s, d: library.suggestions(star(s, d), "red"),
-    "complete_author": lambda s, d: library.completions(star(s, d).recipes.join(star(s, d).books.select(F.col("id").alias("book_id"), "author"), "book_id"), "author", "customer#00000000"),
+    "complete_author": lambda s, d: library.containing(_named_recipes(s, d), "author", "#00000001"),
+    "complete_book": lambda s, d: library.containing(_named_recipes(s, d), "book", "u", 3),
     "books_by_use": lambda s, d: library.books_by_use(star(s, d)),
     "library_figures": lambda s, d: library.headline(star(s, d)),
+    "library_stats": _stats,
     "diet_profile": _profile,
     "diet_strict": lambda s, d: diet.fits(diet.profile(*_classes(s, d)), ["vegetarian"], ["milk"], True).select("recipe_id"),
     "find_best": _find("best", pantry=PANTRY, tolerance=2, max_minutes=150, least_confidence=0.2, no_long_wait=True, tags={"flag": ["R"], "priority": ["1-URGENT", "5-LOW"]}),
@@ -204,9 +219,13 @@ n AS (SELECT recipe_id, count(*) FILTER (p_type <> 'ECONOMY') AS n_core FROM lin
 m AS (SELECT name, recipe_id, count(*) FILTER (p_type <> 'ECONOMY') AS n_matched FROM links JOIN part ON p_partkey = ingredient_id JOIN w ON contains(' ' || lower(p_name) || ' ', ' ' || name || ' ') GROUP BY ALL)
 SELECT 'of ' || name AS pantry, recipe_id, n_core, n_matched, n_core - n_matched AS missing, CASE WHEN n_core > 0 THEN n_matched / n_core ELSE 1.0 END AS coverage
 FROM m JOIN n USING (recipe_id) WHERE n_core - n_matched <= 1""",
-    "suggest_ingredients": f"WITH {_LINKS}, u AS (SELECT ingredient_id, count(*) AS k FROM links GROUP BY 1) SELECT lower(p_name) AS canonical, sum(k)::BIGINT AS n FROM part JOIN u ON p_partkey = ingredient_id WHERE lower(p_name) LIKE '%red%' GROUP BY 1 ORDER BY canonical <> 'red', n DESC, length(canonical), canonical LIMIT 20",
-    "complete_author": "SELECT c_name AS value, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE lower(c_name) LIKE 'customer#00000000%' GROUP BY 1 ORDER BY n DESC, length(value), lower(value) LIMIT 8",
+    "suggest_ingredients": f"WITH {_LINKS}, u AS (SELECT ingredient_id, count(*) AS k FROM links GROUP BY 1) SELECT lower(p_name) AS canonical, sum(k)::BIGINT AS n FROM part JOIN u ON p_partkey = ingredient_id WHERE lower(p_name) LIKE '%red%' GROUP BY 1 ORDER BY canonical <> 'red', n DESC, length(canonical), canonical LIMIT 12",
+    "complete_author": "SELECT c_name AS value, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE lower(c_name) LIKE '%#00000001%' GROUP BY 1 ORDER BY n DESC, value LIMIT 8",
+    "complete_book": "SELECT c_mktsegment AS value, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE lower(c_mktsegment) LIKE '%u%' GROUP BY 1 ORDER BY n DESC, value LIMIT 3",
     "books_by_use": "SELECT c_custkey AS book_id, c_name AS author, c_mktsegment AS title, count(o_orderkey) AS recipes FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
+    "library_stats": f"""WITH {_RICH}, {_LINKS} SELECT (SELECT count(*) FROM customer WHERE c_custkey % 10 > 1) AS books, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS books_failed,
+  count(*) AS recipes, (SELECT count(*) FROM part) AS ingredients, (SELECT count(*) FROM links) AS links, round(avg(confidence), 3) AS avg_confidence, count(*) FILTER (id % 4 > 1) AS with_photo,
+  count(*) FILTER (id % 6 IN (1, 2)) AS timed, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag <> 'N') AS tagged, count(*) AS with_cuisine FROM r""",
     "library_figures": f"""WITH {_LINKS}, b AS (SELECT c_custkey, c_name, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL)
 SELECT count(*) AS books, count(*) FILTER (n = 0) AS empty_books, count(DISTINCT c_name) AS authors, count(DISTINCT c_mktsegment) AS titles, (SELECT count(*) FROM orders) AS recipes,
 (SELECT count(o_totalprice) FROM orders) AS timed_recipes, (SELECT count(*) FROM part) AS ingredients, (SELECT count(*) FROM part WHERE p_type = 'ECONOMY') AS staples,
