@@ -137,7 +137,8 @@ class PrefixTree:
     """Conversations merged on the turns they begin with.
 
     turns: rows (conv_id, turn, role, text). Turns are ordered by turn, then role, then text, nulls first; a null role
-    or text is empty; rows without a conv_id are one conversation. Other columns are ignored. Tokens are code points.
+    or text is empty; rows without a conv_id are one conversation; repeated rows are turns of their own. Texts may be of any
+    length. Other columns are ignored; an empty table gives no nodes and no paths. Tokens are code points.
 
     nodes() has every distinct prefix's last turn once: its formatted text, its place `start` in the emitted stream,
     which is depth-first, so that a subtree is one run; `position`, the position id of its first token, equal to the

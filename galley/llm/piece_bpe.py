@@ -252,7 +252,8 @@ def model(path: str) -> PieceModel:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, ids): the ids of every whole text, begin and end ids included. A null text is empty: two ids."""
+    """(id, ids): the ids of every whole text, begin and end ids included. A null text is empty: two ids. Rows that share
+    an id, or have none, are each a row; texts may be of any length; other columns are ignored; an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path).coder()
         for unit in segments.units(batches):
@@ -265,7 +266,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """(id, text) of (id, ids). Null ids give an empty text."""
+    """(id, text) of (id, ids). Null and empty ids give an empty text; each row is decoded by itself; other columns are
+    ignored; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -102,8 +102,8 @@ def classify(
     all documents, the more the fewer documents it has; how much follows from the spread between hosts and between
     paths, found by grouped sums over all documents. quality adds the path's log odds, less those of all documents,
     to the document's own. Null hosts and paths are the empty one; null and empty texts have a score like any other.
-    A result column that docs has already is replaced. Rows that share an id are scored each by its own text; an empty
-    table gives no rows. carry names the columns of docs that the result has, all if None; without the text among them
+    A result column that docs has already is replaced. Rows that share an id are scored each by its own text, which may be
+    of any length; an empty table gives no rows. carry names the columns of docs that the result has, all if None; without the text among them
     the scores are written once and every text is read by the classifier once only.
     """
     weights, mean, scale, rate = document_model(docs, labels, id_col, text_col)

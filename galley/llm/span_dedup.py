@@ -126,8 +126,8 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the sentences that any non-first repeated span covers.
 
     A sentence ends after . ! or ?, at a newline, or at the text's end. A text may end up empty; its row stays. Rows
-    with the same id and text are cut alike. Null and empty texts pass unchanged; all columns are kept and n_chars,
-    if there, is set anew.
+    with the same id and text are cut alike. Null and empty texts pass unchanged; texts may be of any length, a task holds
+    one whole; all columns are kept and n_chars, if there, is set anew; an empty table stays empty.
     """
     return rewrite.cut(docs, covered(docs, id_col, text_col), _drop, id_col, text_col)
 

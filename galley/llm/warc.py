@@ -141,7 +141,8 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Equal means the same SHA-1 and length. Null html is empty. Page ids may repeat: a row whose id is the smallest is
     a response. Rows without an id are responses. Only digests are grouped and matched; a page then meets the row of its
-    own id, so that no payload many pages share is a key.
+    own id, so that no payload many pages share is a key. Other columns are ignored, whatever their names; an empty table
+    gives no rows.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size"))
