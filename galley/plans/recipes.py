@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import nouns, steps
 from galley.operators import blocks, diet, find, library, lines, listing, match, names, recipes
+from galley.sources import store
 from galley.sources.tables import Star, load, star
 
 PANTRY = ["red", "small", "gear"]
@@ -176,7 +177,9 @@ def page_blocks(s: SparkSession, d: str) -> DataFrame:
     rows = blocks.blocks(load(s, d, "pages"))
     level = F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int")
     rows = rows.select(F.col("id").alias("book"), "position", "kind", level.alias("level"), F.lit(False).alias("bold"), "text")
-    return lines.mark_lines(rows, page_vocabulary(rows))
+    path = store.shared(s, "blocks")  # many steps read the blocks: pages are read once
+    lines.mark_lines(rows, page_vocabulary(rows)).write.parquet(path)
+    return s.read.parquet(path)
 
 
 def _pantries(s: SparkSession, d: str) -> DataFrame:
