@@ -18,19 +18,20 @@ ROW = "__galley_row"
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier keeps. Null and empty texts are scored like any other; rows that share an id are judged
-    each by its own text; an empty table stays empty."""
+    each by its own text, of any length; an empty table stays empty."""
     found = quality.classify_documents(docs, common.read(spark, sf_dir, "labels"))
     return found.where("keep").select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated multi-line chunks. Null and empty texts pass; every row stays."""
+    """Documents without repeated multi-line chunks. Null and empty texts pass, long ones are cut whole; every row stays."""
     return line_dedup.line_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, five-word shingles and a similarity of 0.8: that of least id, rows without
-    an id last. Each row counts alone, whether or not others share its id. Rows without words have no copies and stay."""
+    an id last. Each row counts alone, whether or not others share its id. Rows without words have no copies and stay; texts
+    may be of any length; an empty table stays empty. docs must have no column named as ROW."""
     rows = common.materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     groups = JaccardJoin(rows, ROW, k=5, num=4, den=5).groups()
     groups = common.materialize(groups.select(F.col("id").alias(ROW), "component"), "groups")
@@ -44,12 +45,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without sentences that repeated spans cover. Null and empty texts pass; every row stays."""
+    """Documents without sentences that repeated spans cover. Null and empty texts pass, long ones are cut whole; every row
+    stays."""
     return span_dedup.span_dedup(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 ids, each with its sequence and offset. A null or empty text is one piece of one id."""
+    """Pieces of at most 4096 ids, each with its sequence and offset. A null or empty text is one piece of one id, a long
+    one as many pieces as it needs; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
