@@ -13,7 +13,7 @@ def session(master, setting):
 
 
 def test_the_clusters_folder_is_used():
-    assert common.shared_dir(session("spark://x", "s3a://bucket/shared")) == "s3a://bucket/shared/galley-app-1"
+    assert common.shared_dir(session("spark://x", "hdfs:///shared")) == "hdfs:///shared/galley-app-1"
 
 
 def test_without_the_setting_only_one_process_runs():
