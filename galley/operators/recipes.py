@@ -57,6 +57,22 @@ def servings(header: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(found(header), F.lit("")), found(title))
 
 
+def confidence(heading: Column, title: Column, lines: Column, method: Column, time_source: Column, serves: Column, core: Column) -> Column:
+    """How far a recipe's reading can be trusted, from 0 to 1: a quarter to begin with, as much for a heading as title, 0.1 for
+    any title, 0.15 each for five lines or more, a method of 25 words or more and a time that a label states (0.05 for one of the
+    method), 0.05 for servings; less 0.3 where no line of the method opens with a verb of cooking, and a quarter for fewer than
+    two ingredients beside staples. Nulls count as missing."""
+    text = F.coalesce(method, F.lit(""))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    opens = lambda x: F.rtrim(F.lower(F.regexp_extract(x, r"^\s*(\S+)", 1)), F.lit(",.")).isin(*VERBS)
+    when = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    points = (
+        F.lit(0.25) + when(heading, 0.25) + when(title != "", 0.1) + when(lines >= 5, 0.15) + when(words >= 25, 0.15) - when(~F.exists(F.split(text, "\n"), opens), 0.3)
+        + when(time_source.isin("label", "labels-summed"), 0.15) + when(time_source == "method", 0.05) + when(serves != "", 0.05) - when(F.coalesce(core, F.lit(0)) < 2, 0.25)
+    )
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points)), 6)
+
+
 def fitness(kind: Column, level: Column, bold: Column, text: Column) -> Column:
     """How well a block names a recipe, null if it cannot: a heading, best of level 2 or 3, in title case, in bold. A line that
     says how much a recipe makes names none, nor does one that opens with a verb of cooking, unless it is a heading."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley import foods
-from galley.operators import edits
+from galley.operators import edits, text_search
 from galley.sources import store
 from galley.sources.tables import load
 
@@ -57,6 +57,13 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
     return edits.counts(stored, before, before.withColumn("ingredient", F.col("ingredient") - 1))
 
 
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """Documents that hold words beginning with 'the' and 'and', by a stored index."""
+    path = store.shared(s, "words")
+    text_search.write_index(load(s, d, "documents"), "doc_id", ["text", "source"], path)
+    return text_search.search_index(s, path, ["the", "AND"], "text")
+
+
 _KINDS = (" cheese", " oil", " powder", " beef", " bread", "")
 
 
@@ -67,13 +74,14 @@ def _aisles(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("n")).select("name", "n", foods.aisle(F.col("name")).alias("aisle"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"interned_ids": _interned, "snapshot_store": _snapshots, "food_aisles": _aisles, "saved_edits": _edits, "kept_counts": _counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"interned_ids": _interned, "snapshot_store": _snapshots, "food_aisles": _aisles, "saved_edits": _edits, "kept_counts": _counts, "stored_index": _indexed}
 ORACLE_SQL: dict[str, str] = {
     "interned_ids": """WITH w AS (SELECT page_id, unnest(regexp_split_to_array(url, '[^a-z0-9]+')) AS value FROM pages),
 f AS (SELECT value, min(page_id % 2) AS late FROM w WHERE value <> '' GROUP BY value)
 SELECT row_number() OVER (ORDER BY late, ascii(value), value) AS id, value FROM f""",
     "snapshot_store": """SELECT o_custkey AS book, o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders
 WHERE o_custkey % 7 <> 0 AND (o_custkey % 3 = 0 OR o_orderkey % 5 > 0)""",
+    "stored_index": "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])and')",
     "saved_edits": """WITH v AS (SELECT o_orderkey AS id, o_orderpriority AS title, floor(o_totalprice / 1000)::INT AS m FROM orders), t AS (SELECT *, id % 5 = 0 AND m <> 90 AS timed FROM v)
 SELECT id, CASE WHEN id % 3 = 0 THEN title || '!' ELSE title END AS title, CASE WHEN timed THEN 90 ELSE m END AS total_minutes, 30 AS active_minutes, CASE WHEN timed THEN 'edited' ELSE 'label' END AS time_source,
   id % 3 = 0 OR timed AS edited FROM t""",
