@@ -16,8 +16,9 @@ from galley.llm import common, textkit
 #: rounds of re-estimation; expected pieces that the vocabulary's own scores count for; what is taken from each word's
 #: count for words that are spelt.
 GROUPS, ROUNDS, STRENGTH, DISCOUNT = 8, 4, 500.0, 0.75
-#: Most frequent words, of at most SHORT bytes, whose figures all tasks hold; figures of the others are joined. Speed only.
-FREQUENT, SHORT = 65_536, 64
+#: Most frequent words, of at most SHORT bytes, whose figures all tasks hold, of those that are one in SHARE tokens at least;
+#: figures of the others are joined. Speed only.
+FREQUENT, SHORT, SHARE = 65_536, 64, 2**20
 #: Cells of a lattice worked on at once. Memory only.
 CELLS = 1 << 21
 _LOW = -1e30
@@ -266,7 +267,7 @@ def lm_scores(docs: DataFrame, model: str, group_col: str | None = "lang", id_co
     words = counted.groupBy("word").agg(F.sum("n").alias("n"), *each).withColumn("c", sum((F.col(f"c{g}") for g in range(sets)), F.lit(0)))
     words = common.materialize(words.sortWithinPartitions(F.length("word")), "words")
     figures = [f(c).alias(f"{n}{g}") for g in range(sets) for c, f, n in ((F.col(f"c{g}"), F.sum, "t"), (F.least(F.col(f"c{g}"), F.lit(DISCOUNT)), F.sum, "d"))]
-    learnt = words.where("c > 0").agg(F.sum("c").alias("c"), F.count("*").alias("v"), *figures).first()
+    learnt = words.agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), *figures).first()
     train, kinds = (learnt["c"] or 0) + total, learnt["v"] + (total > 0)
     # Half a token each for the end and for spelling, so that neither is impossible in a group.
     tokens = np.array([(learnt[f"t{g}"] or 0) + int(texts[g]) + 1.0 for g in range(sets)])
@@ -287,7 +288,7 @@ def lm_scores(docs: DataFrame, model: str, group_col: str | None = "lang", id_co
     spelt = common.materialize(words.mapInArrow(_spelt(shared, spark.sparkContext.broadcast(weights), tokens, left), "word binary, c long, n long, logs array<double>"), "spelt")
     common.release(words)
 
-    top = spelt.where(F.length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "c", "logs").toArrow()
+    top = spelt.where((F.length("word") <= SHORT) & (F.col("n") * SHARE >= (learnt["n"] or 0))).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "c", "logs").toArrow()
     logs = np.asarray(top["logs"].combine_chunks().flatten()).reshape(-1, sets)
     table = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top["word"].to_pylist())}, np.asarray(top["c"]), logs))
     schema = "row long, doc_id long, held boolean, n long, word binary, known long, base double, logs array<double>"
