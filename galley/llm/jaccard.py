@@ -25,7 +25,10 @@ PICKS = 48
 #: LOCAL of its documents (the TASK_TOP most frequent), and the TABLE most frequent of those with FREQUENT or
 #: more are sent to all tasks, at most 16 bytes each. Any order gives the same result. Speed only.
 LOCAL, TASK_TOP, FREQUENT, TABLE = 4, 50_000, 24, 200_000
-SETS = "id long, n long, d1 long, d2 long, prefix array<long>, mins array<long>"
+#: Words of 64 bits of a set's parity bitmap: each n-gram flips one bit, so that two bitmaps differ in no more bits than
+#: the sets differ in n-grams. Speed only.
+BITMAP = [f"s{i}" for i in range(8)]
+SETS = "id long, n long, d1 long, d2 long, prefix array<long>, mins array<long>, " + ", ".join(f"{c} long" for c in BITMAP)
 
 
 def _grams(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -88,16 +91,21 @@ def _sets(k: int, num: int, den: int, table):
             full, at = n > 0, np.cumsum(n) - n
             digests = np.zeros((2, len(grams)), U)
             mins = np.zeros((len(grams), len(SEEDS)), U)
+            bitmap = np.zeros((len(grams), len(BITMAP)), U)
             if len(flat):
                 for row, seed in enumerate((SEEDS[0], SEEDS[1])):
                     digests[row, full] = np.add.reduceat(textkit.mix(flat ^ seed), at[full])
                 for i, seed in enumerate(SEEDS):
                     mins[full, i] = np.minimum.reduceat((flat ^ (flat >> U(31))) * seed, at[full])
+                # A set's n-grams are sorted, and so are the words of its bitmap that they flip a bit of.
+                word = np.repeat(np.arange(len(grams)) * len(BITMAP), n) + (flat // U(2**64 // len(BITMAP))).astype(np.int64)
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                bitmap.ravel()[word[first]] = np.bitwise_xor.reduceat(U(1) << (textkit.mix(flat ^ SEEDS[2]) >> U(58)), first)
             prefixes = [_prefix(g, len(g) - -(-num * len(g) // den) + 1 if len(g) else 0, common_grams, rank) for g in grams]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
-                 textkit.lists(prefixes, pa.int64()), textkit.lists(list(mins), pa.int64())],
-                ["id", "n", "d1", "d2", "prefix", "mins"],
+                 textkit.lists(prefixes, pa.int64()), textkit.lists(list(mins), pa.int64()), *(pa.array(w.view(np.int64)) for w in bitmap.T.copy())],
+                ["id", "n", "d1", "d2", "prefix", "mins", *BITMAP],
             )
 
     return build
@@ -120,11 +128,11 @@ def _entries(mixed):
             h, ends = np.asarray(prefix.flatten()), np.asarray(prefix.offsets) - prefix.offsets[0].as_py()
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             keep = np.flatnonzero(may_hold(mixed.value, h)) if len(h) else np.zeros(0, np.int64)
-            rows = batch.select(["node", "n", "grp", "size"]).take(pa.array(row[keep]))
+            rows = batch.select(["node", "n", "grp", "size", *BITMAP]).take(pa.array(row[keep]))
             at = pa.array((keep - ends[row[keep]]).astype(np.int32))
             first, last = keep == ends[row[keep]], keep + 1 == ends[row[keep] + 1]
             prev, after = pa.array(h[np.maximum(keep - 1, 0)], mask=first), pa.array(h[np.minimum(keep + 1, len(h) - 1)] if len(h) else h, mask=last)
-            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep]), prev, after], ["node", "n", "grp", "size", "pos", "h", "prev", "next"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, at, pa.array(h[keep]), prev, after], [*rows.schema.names, "pos", "h", "prev", "next"])
 
     return explode
 
@@ -265,18 +273,18 @@ class JaccardJoin:
         return near
 
     def _candidates(self, groups: DataFrame) -> DataFrame:
-        """(a, b, c): pairs of nodes of different groups that may link, by the c prefix n-grams they share."""
+        """(a, b, c, ga, gb): pairs of nodes of different groups ga and gb that may link, by the c prefix n-grams they share."""
         num, den = self.num, self.den
         need, least = overlap(num, den)
         nodes = self.classes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
         nodes = common.materialize(nodes, "nodes")
         nodes = nodes.join(common.large(nodes.groupBy("grp").agg(F.count("*").alias("size"))), "grp")
-        rows = self.sets.where("n > 0").select(F.col("id").alias("node"), "n", "prefix").join(common.large(nodes), "node")
+        rows = self.sets.where("n > 0").select(F.col("id").alias("node"), "n", "prefix", *BITMAP).join(common.large(nodes), "node")
         width = float(np.log(den / num)) * 1.001  # rounding cannot part two partners
         rows = common.materialize(rows, "prefixes")
         mixed = rows.select("grp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         mixed = common.materialize(mixed.where("lo < hi").select("h"), "mixed")
-        entries = rows.mapInArrow(_entries(bloom(mixed)), "node long, n long, grp long, size long, pos int, h long, prev long, next long")
+        entries = rows.mapInArrow(_entries(bloom(mixed)), f"node long, n long, grp long, size long, {', '.join(f'{c} long' for c in BITMAP)}, pos int, h long, prev long, next long")
         entries = entries.withColumn("block", F.floor(F.log("n") / width).cast("int"))
         entries = common.materialize(entries.join(common.large(mixed), "h"), "entries")
         self.used = [rows, mixed, entries]
@@ -297,6 +305,8 @@ class JaccardJoin:
         x = entries.drop("block", "size").join(common.large(close), "node").alias("x")
         y = entries.withColumn("other", F.col("grp")).alias("y")
         fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need('x.n', 'y.n')}"
+        # Near copies that no overlap of prefixes tells apart differ behind them: their bitmaps show it before they are a pair.
+        fits += f" and {' + '.join(f'bit_count(x.{c} ^ y.{c})' for c in BITMAP)} <= x.n + y.n - 2 * ({need('x.n', 'y.n')})"
         # Sets that share one prefix n-gram often share those beside it. A run of shared neighbours is met at its two
         # ends only; the places of the ends in a's prefix give its length, and their sum the shared n-grams.
         first, last = "not coalesce(x.prev = y.prev, false)", "not coalesce(x.next = y.next, false)"
@@ -304,8 +314,9 @@ class JaccardJoin:
         met = x.join(common.large(y), ["h", "block", "other"]).where(f"{fits} and ({first} or {last})").select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
             F.expr(f"if({last}, {pos} + 1, 0) - if({first}, {pos}, 0)").alias("c"), F.expr(least("x.n", "y.n")).alias("least"),
+            F.least("x.grp", "y.grp").alias("ga"), F.greatest("x.grp", "y.grp").alias("gb"),
         )
-        return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b", "c")
+        return met.groupBy("a", "b", "ga", "gb").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b", "c", "ga", "gb")
 
     def links(self) -> DataFrame:
         """(a, b): every link between two classes, named by their smallest ids, a < b."""
@@ -315,15 +326,18 @@ class JaccardJoin:
         """(a, b): links between classes, a < b, enough to connect every group of linked classes.
 
         Of the pairs of two groups the likeliest few are compared first: where one of them links, the groups are one and
-        the others are not compared. All pairs of groups that are still apart are."""
+        the others are not compared. All pairs of groups that are still apart are. Groups only grow together, so that which
+        of them are one by then is asked once for two groups, not for each of their pairs."""
         near = self._near()
         groups = components(near)
         found = common.materialize(self._candidates(groups), "candidates")
         common.release(*self.used)
         self.used = []
-        first = self._apart(found, groups).groupBy("ga", "gb", F.pmod(F.xxhash64("a", "b"), F.lit(PICKS))).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
+        first = found.groupBy("ga", "gb", F.pmod(F.xxhash64("a", "b"), F.lit(PICKS))).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
         near = near.union(self._verified(first.select("p.a", "p.b")))
-        far = self._verified(self._apart(found, components(near)).select("a", "b"))
+        both = found.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+        still = self._apart(common.materialize(both, "both"), components(near)).select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+        far = self._verified(found.join(common.large(still), ["ga", "gb"], "left_semi").select("a", "b"))
         return common.materialize(near.union(far).distinct(), "links")
 
     @staticmethod

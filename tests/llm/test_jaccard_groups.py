@@ -87,3 +87,27 @@ def test_groups_are_the_components_of_all_links(spark, seed):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     assert found == {i: top(i) for i in ids}
+
+
+def test_near_copies_that_do_not_link_are_no_pairs(spark, monkeypatch):
+    """Copies of a text with 5 to 16 words exchanged: most pairs share enough of their prefixes, few link. What differs behind
+    the prefixes leaves few pairs, every link among them, and pairs are not joined with groups once more."""
+    rnd = random.Random(3)
+    core, rows = [f"w{i}" for i in range(146)], []
+    for n in range(300):
+        gone = set(rnd.sample(range(146), rnd.randint(5, 16)))
+        rows.append((n, " ".join(f"own{n}x{i}" if i in gone else w for i, w in enumerate(core))))
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=1, num=4, den=5)
+    sets = {i: set(t.split()) for i, t in rows}
+    links = {(i, j) for i in sets for j in range(i + 1, 300) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    alone = spark.createDataFrame([(i, i) for i in sets], "node long, component long")
+    pairs = {(r.a, r.b) for r in join._candidates(alone).collect()}
+    assert links <= pairs and len(pairs) < 2 * len(links)
+    asked, apart = [], JaccardJoin._apart
+    monkeypatch.setattr(JaccardJoin, "_apart", staticmethod(lambda p, g: asked.append(p.count()) or apart(p, g)))
+    root = {i: i for i in sets}
+    for i, j in sorted(links):
+        a, b = sorted((root[i], root[j]))
+        root = {k: a if r == b else r for k, r in root.items()}
+    assert {r.id: r.component for r in join.groups().collect()} == root
+    assert 1 < len(set(root.values())) < 200 and max(asked) < 10 * len(rows)
