@@ -24,6 +24,17 @@ _COUNT_WORD = "(?i)^(?:" + "|".join(measures.WORDS) + r")\b\s*\S"
 _PAGES = r"^[^,]{2,40},\s*\d+(?:\s*[-–,]\s*\d+)*$"
 
 
+def read_once(lines: DataFrame, read: Column) -> DataFrame:
+    """The fields of `read`, a struct of what is read from "line", of each distinct line that is not null.
+
+    The lines are dealt over as many tasks as a shuffle has, as reading one costs far more than its bytes tell. The fields
+    come out of an array: a filter on one of them, or a join that wants one to be not null, would otherwise be taken over
+    to the rows before they are distinct, and every row would be read for it."""
+    rows = lines.select("line").where("line is not null").distinct()
+    dealt = rows.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line")
+    return dealt.select(F.inline(F.array(read)))
+
+
 def _sure(vocabulary: DataFrame) -> DataFrame:
     """(canonical, sure, staple): names that the vocabulary knows."""
     known = vocabulary.where("kind in ('noun', 'synonym', 'staple')").select(F.when(F.col("kind") == "synonym", F.col("target")).otherwise(F.col("key")).alias("canonical"), "kind")
@@ -97,17 +108,20 @@ def score_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     end with 0.25, eight words or fewer 0.1; a title's capitals without a digit or unit take 0.6, or without an amount 0.3,
     a verb of cooking in front 0.45, more than 14 words 0.3, a sentence's end after more than 8 words 0.2. Blank lines,
     lines of more than 200 characters, labels inside lists, and entries of an index with their pages are 0."""
-    rows = lines.select("line").where("line is not null").distinct().withColumn("text", F.trim(measures.plain(F.col("line"))))
-    low = F.btrim(F.lower("text"), F.lit(" .:-–—"))
-    label = low.startswith("for the") | low.isin(*fixed.SUBHEADS)
-    rows = rows.withColumn("none", (F.length("text") > 200) | (low == "") | label | F.col("text").rlike(_PAGES))
-    read = rows.where("not none").select("line", "text", measures.parse_quantity(F.col("text")).alias("q"), F.filter(F.split(low, r"\s+"), lambda w: w != "").alias("words"))
-    read = read.withColumn("phrase", F.coalesce(F.nullif("q.rest", F.lit("")), "text"))
+    def seen(text: Column) -> Column:
+        low = F.btrim(F.lower(text), F.lit(" .:-–—"))
+        none = (F.length(text) > 200) | (low == "") | low.startswith("for the") | low.isin(*fixed.SUBHEADS) | text.rlike(_PAGES)
+        words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+        read = lambda q: F.struct(q["unit"].alias("unit"), F.coalesce(F.nullif(q["rest"], F.lit("")), text).alias("phrase"), words.alias("words"), leading_amount(text).alias("amount"), is_title_case(text).alias("title"))
+        return F.struct("line", text.alias("text"), F.when(~none, let(measures.parse_quantity(text), read)).alias("read"))
+
+    rows = read_once(lines, let(F.trim(measures.plain(F.col("line"))), seen))
+    read = rows.where("read is not null").select("line", "text", "read.*")
     sure = names.canonical(read.select("phrase"), vocabulary).join(_sure(vocabulary).where("sure"), "canonical", "left_semi").select("phrase", F.lit(True).alias("sure"))
     ends = names.kept(read.select(F.col("text").alias("phrase")), vocabulary).select(F.col("phrase").alias("text"), F.explode("rest").alias("word"))
     ends = ends.join(_heads(vocabulary), "word", "left_semi").select("text", F.lit(True).alias("ends")).distinct()
     read = read.join(sure, "phrase", "left").join(ends, "text", "left")
-    n, unit, amount, title = F.size("words"), F.col("q.unit").isNotNull(), leading_amount(F.col("text")), is_title_case(F.col("text"))
+    n, unit, amount, title = F.size("words"), F.col("unit").isNotNull(), F.col("amount"), F.col("title")
     when = lambda c, x: F.when(c, x).otherwise(0.0)
     points = (
         when(amount, 0.5) + when(unit, 0.2) + F.when(F.col("sure"), 0.4).when(F.col("ends"), 0.25).otherwise(0.0)
@@ -116,7 +130,7 @@ def score_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
         - when(F.col("text").rlike("[.!?]$") & (n > 8), 0.2) + when(n <= 8, 0.1)
     )
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points)), 6)
-    return read.select("line", score.alias("score")).unionByName(rows.where("none").select("line", F.lit(0.0).alias("score")))
+    return read.select("line", score.alias("score")).unionByName(rows.where("read is null").select("line", F.lit(0.0).alias("score")))
 
 
 def mark_lines(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
