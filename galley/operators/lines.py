@@ -47,14 +47,18 @@ def _heads(vocabulary: DataFrame) -> DataFrame:
 
 
 def _noted(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(line, quantity, unit, body, note): a line's name without what is said of its handling. A note begins with one of
+    """(line, quantity, unit, body, note) of the distinct lines: a line's name without what is said of its handling. A note begins with one of
     fixed words; what follows the first comma is one too, unless it holds a word that names end with."""
-    rows = lines.select("line", measures.parse_quantity(F.trim("line")).alias("q")).select("line", "q.quantity", "q.unit", F.col("q.rest").alias("rest"))
-    rows = rows.withColumn("body", F.regexp_replace("rest", _NOTE, "")).withColumn("said", F.btrim(F.substr("rest", F.length("body") + 1), F.lit(" ,;")))
-    tail = F.when(F.contains("body", F.lit(",")), F.substr("body", F.instr("body", ",") + 1))
-    rows = rows.withColumn("tail", tail)
-    words = F.filter(F.split(folded(F.coalesce("tail", F.lit(""))), "[^a-z0-9_]+"), lambda w: w != "")
-    rows = rows.withColumn("words", words)
+    def cut(q: Column) -> Column:
+        return let(F.struct(q.alias("q"), F.regexp_replace(q["rest"], _NOTE, "").alias("body")), apart_from)
+
+    def apart_from(p: Column) -> Column:
+        said = F.btrim(F.substr(p["q"]["rest"], F.length(p["body"]) + 1), F.lit(" ,;"))
+        tail = F.when(F.contains(p["body"], F.lit(",")), F.substr(p["body"], F.locate(",", p["body"]) + 1))
+        words = F.filter(F.split(folded(F.coalesce(tail, F.lit(""))), "[^a-z0-9_]+"), lambda w: w != "")
+        return F.struct("line", p["q"]["quantity"].alias("quantity"), p["q"]["unit"].alias("unit"), p["body"].alias("body"), said.alias("said"), tail.alias("tail"), words.alias("words"))
+
+    rows = read_once(lines, let(measures.parse_quantity(F.trim("line")), cut))
     named = rows.select("line", F.explode("words").alias("word")).join(_heads(vocabulary), "word", "left_semi").select("line", F.lit(True).alias("named")).distinct()
     rows = rows.join(named, "line", "left")
     apart = F.col("named").isNull() & (F.size("words") > 0)
@@ -69,18 +73,19 @@ def parse_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ingredients: array<struct<canonical, display, quantity, unit, note, is_staple>>, in the order of the line. Amount,
     handling note and name are cut apart; a name with 'and' or '&' is several where the vocabulary knows every part. The
     amount goes to the first. A line that names nothing has an empty array."""
-    rows = _noted(lines.where(F.trim("line") != "").select("line").distinct(), vocabulary)
+    rows = _noted(lines.where(F.trim("line") != ""), vocabulary)
     parts = F.split("body", _AND)
-    each = rows.select("line", F.posexplode(F.concat(F.array("body"), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")))).alias("at", "phrase"))
+    each = rows.select("line", "quantity", "unit", "note", F.posexplode(F.concat(F.array("body"), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")))).alias("at", "phrase"))
     named = names.canonical(each.select("phrase"), vocabulary).join(_sure(vocabulary), "canonical", "left")
     each = each.join(named, "phrase")
     display = F.regexp_replace(F.regexp_replace(F.regexp_replace("phrase", r"\([^)]*\)", " "), r"\s*\[[^\]]*\]", " "), r"\s+", " ")
     display = let(F.btrim(display, F.lit(" ,;:-")), lambda d: F.lower(F.when(d == "", F.col("canonical")).otherwise(d)))
     item = F.struct("at", "canonical", display.alias("display"), F.coalesce("staple", F.lit(False)).alias("is_staple"))
     sure = F.coalesce("sure", F.lit(False)) | (F.col("canonical") == "")
-    found = each.groupBy("line").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bool_and(F.when(F.col("at") > 0, sure)).alias("split"))
+    same = [F.first(c).alias(c) for c in ("quantity", "unit", "note")]
+    found = each.groupBy("line").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bool_and(F.when(F.col("at") > 0, sure)).alias("split"), *same)
     wanted = F.filter("items", lambda x: (x["canonical"] != "") & F.when(F.col("split"), x["at"] > 0).otherwise(x["at"] == 0))
-    found = found.select("line", wanted.alias("items")).join(rows, "line")
+    found = found.select("line", wanted.alias("items"), "quantity", "unit", "note")
     first = lambda c, i: F.when(i == 0, F.col(c)).alias(c)
     out = F.transform("items", lambda x, i: F.struct(x["canonical"].alias("canonical"), x["display"].alias("display"), first("quantity", i), first("unit", i), F.col("note").alias("note"), x["is_staple"].alias("is_staple")))
     return found.select("line", out.alias("ingredients"))
@@ -162,9 +167,10 @@ def metric_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     vocabulary knows what a cup of the line's first ingredient weighs ('grams' rows, which liquids have none of), else to
     millilitres. In what is left, and in a line without such an amount, measures inside the text are converted. Only lines
     with a volume in front are looked up in the vocabulary. Metric lines stay as they are, blank ones too."""
-    rows = lines.select("line").where("line is not null").distinct()
+    line = F.col("line")
     bare = measures.parse_quantity(F.regexp_replace("line", r"\([^)]*\)|\[[^\]]*\]", " "))["rest"]
-    rows = rows.select("line", measures.parse_quantity(F.col("line")).alias("q"), measures.printed_metric(F.col("line")).alias("printed"), _closed(bare).alias("bare"))
+    read = F.struct("line", measures.parse_quantity(line).alias("q"), measures.printed_metric(line).alias("printed"), _closed(bare).alias("bare"), prose.convert_text(line).alias("told"))
+    rows = read_once(lines, read)
     weighed = rows.where(F.col("q.unit").isin(*_VOLUMES) & F.col("q.quantity").isNotNull() & F.col("printed").isNull())
     grams = vocabulary.where("kind = 'grams'").select(F.col("key").alias("canonical"), F.col("target").try_cast("double").alias("grams"))
     first = parse_lines(weighed.select("line"), vocabulary).select("line", F.try_element_at("ingredients", F.lit(1))["canonical"].alias("canonical"))
@@ -172,7 +178,7 @@ def metric_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     amount = measures.to_metric(F.col("q.quantity"), F.col("q.unit"), F.col("grams"))
     own = F.when(F.col("bare") == "", F.col("line")).otherwise(F.concat("printed", F.lit(" "), "bare"))
     new = (
-        F.when(F.trim("line") == "", F.col("line")).when(F.col("q.unit").isin(*_SPOONS), prose.convert_text(F.col("line"))).when(F.col("printed").isNotNull(), own)
-        .otherwise(F.coalesce(F.trim(F.concat(amount, F.lit(" "), "q.rest")), prose.convert_text(F.col("line"))))
+        F.when(F.trim("line") == "", F.col("line")).when(F.col("q.unit").isin(*_SPOONS), F.col("told")).when(F.col("printed").isNotNull(), own)
+        .otherwise(F.coalesce(F.trim(F.concat(amount, F.lit(" "), "q.rest")), "told"))
     )
     return rows.select("line", new.alias("metric"))

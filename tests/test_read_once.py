@@ -33,3 +33,9 @@ def test_scores_are_read_once(rows, words):
     got = rows.join(lines.score_lines(rows, words), "line")
     assert read_by_row(got) == []
     assert {(r.line[0], r.score, r.n) for r in got.groupBy("line", "score").agg(F.count("*").alias("n")).collect()} == {(str(i), 1.0, 429 if i < 4 else 428) for i in range(6)}
+
+
+def test_metric_lines_are_read_once(rows, words):
+    got = rows.join(lines.metric_lines(rows, words), "line")
+    assert read_by_row(got) == []
+    assert {(r.line[0], r.metric, r.n) for r in got.groupBy("line", "metric").agg(F.count("*").alias("n")).collect()} == {(str(i), f"{200 * i} g {MARK} rice, rinsed" if i < 5 else f"1 kg {MARK} rice, rinsed", 429 if i < 4 else 428) for i in range(6)}
