@@ -95,10 +95,13 @@ def recipe_ingredients(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(recipe, position, canonical, display, raw, quantity, unit, note, is_staple) of rows (recipe, position, line): the
     ingredients of each recipe's lines, each once, at its first mention, numbered from 0. Ties of position go by the line."""
     read = rows.select("recipe", "position", "line").join(parse_lines(rows, vocabulary), "line")
-    each = read.select("recipe", "position", F.trim("line").alias("raw"), F.posexplode("ingredients").alias("part", "i"))
-    first = each.groupBy("recipe", F.col("i.canonical").alias("canonical")).agg(F.min(F.struct("position", "raw", "part", "i")).alias("m"))
-    place = F.row_number().over(Window.partitionBy("recipe").orderBy("m.position", "m.raw", "m.part")) - 1
-    return first.select("recipe", place.alias("position"), "canonical", "m.i.display", "m.raw", "m.i.quantity", "m.i.unit", "m.i.note", "m.i.is_staple")
+    # Dealt by recipe once, before the lists are taken apart: that serves both windows.
+    dealt = read.select("recipe", "position", F.trim("line").alias("raw"), "ingredients").repartition("recipe")
+    each = dealt.select("recipe", "position", "raw", F.posexplode("ingredients").alias("part", "i"))
+    order = ("position", "raw", "part")
+    first = each.withColumn("mention", F.row_number().over(Window.partitionBy("recipe", "i.canonical").orderBy(*order))).where("mention = 1")
+    place = F.row_number().over(Window.partitionBy("recipe").orderBy(*order)) - 1
+    return first.select("recipe", place.alias("position"), "i.canonical", "i.display", "raw", "i.quantity", "i.unit", "i.note", "i.is_staple")
 
 
 def leading_amount(text: Column) -> Column:

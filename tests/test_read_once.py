@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from galley.operators import lines
 
-#: Stands in every line, and with it in every expression that is worked out for each row.
+#: Stands in every line.
 MARK = "marked"
 READING = ("RLIKE", "regexp_", "replace(", "translate(", "split(", "transform(")
 
@@ -22,11 +22,11 @@ def rows(spark):
     return spark.range(3000).withColumn("shape", F.col("id") % 7).select("id", line.alias("line"))
 
 
-def read_by_row(frame):
-    """The nodes of the plan that read the line of each row."""
+def read_by_row(frame, mark=f" cups {MARK} rice"):
+    """The nodes of the plan that read the line of each row: a part of every line stands in them, and a function that reads."""
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
-    assert MARK in plan
-    return [n for n in plan.split("\n") if f" cups {MARK} rice" in n and any(r in n for r in READING)]
+    assert mark in plan
+    return [n for n in plan.split("\n") if mark in n and any(r in n for r in READING)]
 
 
 def test_scores_are_read_once(rows, words):
@@ -39,3 +39,13 @@ def test_metric_lines_are_read_once(rows, words):
     got = rows.join(lines.metric_lines(rows, words), "line")
     assert read_by_row(got) == []
     assert {(r.line[0], r.metric, r.n) for r in got.groupBy("line", "metric").agg(F.count("*").alias("n")).collect()} == {(str(i), f"{200 * i} g {MARK} rice, rinsed" if i < 5 else f"1 kg {MARK} rice, rinsed", 429 if i < 4 else 428) for i in range(6)}
+
+
+def test_recipes_are_dealt_once(rows, words):
+    some = rows.select((F.col("id") % 100).alias("recipe"), (F.col("id") / 100).cast("int").alias("position"), "line")
+    got = lines.recipe_ingredients(some, words)
+    assert read_by_row(got) == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(recipe" in n for n in plan.split("\n")) == 1
+    first = {r.recipe: (r.position, r.canonical, r.raw[0]) for r in got.collect()}
+    assert first == {i: (0, f"{MARK} rice", str(i % 7 if i % 7 < 6 else (i + 100) % 7)) for i in range(100)}
