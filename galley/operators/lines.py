@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley import vocabulary as fixed
-from galley.functions import measures, prose
+from galley.functions import measures, prose, scaling
 from galley.functions.classify import folded
 from galley.functions.measures import let
 from galley.operators import names
@@ -152,6 +152,11 @@ def mark_lines(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.withColumn("is_line", F.coalesce(possible & (F.col("score") >= least), F.lit(False))).drop("score").select(*[c for c in blocks.columns if c != "is_line"], "is_line")
 
 
+def scaled_lines(lines: DataFrame, factor: float) -> DataFrame:
+    """(line, scaled, changed) of the distinct lines that are not null: each times a factor, as scaling.scale_lines has it."""
+    return scaling.scale_lines(read_once(lines, F.struct("line")), factor).select("line", "scaled", "changed")
+
+
 #: Volumes that are weighed where the ingredient's density is known; spoons stay spoons.
 _VOLUMES, _SPOONS = ("cup", "fl oz", "pint", "quart", "gallon"), ("tsp", "tbsp")
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import scaling
 from galley.operators import lines
 from galley.sources.tables import load
 
@@ -53,7 +52,8 @@ def vocabulary(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scaled(s: SparkSession, d: str) -> DataFrame:
-    return scaling.scale_lines(amounts(s, d), 2.0).select(*KEYS, "line", "scaled", "changed")
+    rows = amounts(s, d)
+    return rows.join(lines.scaled_lines(rows, 2.0), "line", "left").select(*KEYS, "line", "scaled", F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 def _metric(s: SparkSession, d: str) -> DataFrame:

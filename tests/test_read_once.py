@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galley.operators import lines
+from galley.plans import lines as plans
 
 #: Stands in every line.
 MARK = "marked"
@@ -49,3 +50,20 @@ def test_recipes_are_dealt_once(rows, words):
     assert sum("Exchange hashpartitioning(recipe" in n for n in plan.split("\n")) == 1
     first = {r.recipe: (r.position, r.canonical, r.raw[0]) for r in got.collect()}
     assert first == {i: (0, f"{MARK} rice", str(i % 7 if i % 7 < 6 else (i + 100) % 7)) for i in range(100)}
+
+
+def test_lines_are_scaled_once(rows, words):
+    got = rows.join(lines.scaled_lines(rows, 2.0), "line", "left")
+    assert read_by_row(got) == []
+    found = got.groupBy("line", "scaled", "changed").agg(F.count("*").alias("n")).collect()
+    right = ["⅛ cup", *(f"{2 * i} cups" for i in range(1, 6))]
+    assert {(r.line and r.line[0], r.scaled, r.changed, r.n) for r in found} == {(str(i), f"{x} {MARK} rice, rinsed", True, 429 if i < 4 else 428) for i, x in enumerate(right)} | {(None, None, None, 428)}
+
+
+def test_the_query_keeps_rows_without_a_line(spark, tmp_path):
+    spark.createDataFrame([(1, "red bolt")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(1, 1, 4, 3.0), (1, 1, 4, 3.0), (2, 1, 1, None)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.QUERIES["scale_lines"](spark, str(tmp_path))
+    assert read_by_row(got, "2 x ") == [] and "Aggregate [line" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.l_orderkey, r.line, r.scaled, r.changed) for r in got.collect()) == [(1, "2 x 3 g red bolt", "4 x 3 g red bolt", True)] * 2 + [(2, None, None, False)]
