@@ -42,6 +42,13 @@ def test_metric_lines_are_read_once(rows, words):
     assert {(r.line[0], r.metric, r.n) for r in got.groupBy("line", "metric").agg(F.count("*").alias("n")).collect()} == {(str(i), f"{200 * i} g {MARK} rice, rinsed" if i < 5 else f"1 kg {MARK} rice, rinsed", 429 if i < 4 else 428) for i in range(6)}
 
 
+def test_ingredients_are_read_once(rows, words):
+    got = rows.join(lines.parse_lines(rows, words), "line").select("id", "line", F.posexplode("ingredients").alias("part", "i"))
+    assert read_by_row(got) == []
+    found = got.groupBy("line", "part", "i.canonical", "i.quantity", "i.unit", "i.note").agg(F.count("*").alias("n")).collect()
+    assert {tuple(r)[1:] for r in found} == {(0, f"{MARK} rice", float(i), "cup", "rinsed", 429 if i < 4 else 428) for i in range(6)}
+
+
 def test_recipes_are_dealt_once(rows, words):
     some = rows.select((F.col("id") % 100).alias("recipe"), (F.col("id") / 100).cast("int").alias("position"), "line")
     got = lines.recipe_ingredients(some, words)
